@@ -57,12 +57,24 @@ def expand(term: Column, prefixes: Mapping[str, str] | Column = PREFIXES) -> Col
 
 
 def compact(full: Column, prefixes: Mapping[str, str] = PREFIXES) -> Column:
-    """IRI -> prefixed name, longest namespace first; ``<iri>`` when no prefix fits."""
+    """IRI -> prefixed name, longest namespace first; ``<iri>`` when no prefix fits.
+
+    A local part holds no ``/`` or ``#``, so a namespace that ends with one of them fits
+    only if it is all that comes before the local name: those are found by one lookup.
+    """
+    plain_local = r"^[A-Za-z0-9_][A-Za-z0-9_-]*+$"
+    listed = {ns: prefix + ":" for prefix, ns in prefixes.items() if ns.endswith(("/", "#"))}
     candidates = []
     for prefix, namespace in sorted(prefixes.items(), key=lambda kv: -len(kv[1])):
-        local = full.substr(F.lit(len(namespace) + 1), F.length(full))
-        fits = full.startswith(namespace) & local.rlike(r"^[A-Za-z0-9_](?:[A-Za-z0-9_-]*[A-Za-z0-9_])?$")
-        candidates.append(F.when(fits, F.concat(F.lit(prefix + ":"), local)))
+        if namespace not in listed:
+            local = full.substr(F.lit(len(namespace) + 1), F.length(full))
+            fits = full.startswith(namespace) & local.rlike(plain_local)
+            candidates.append(F.when(fits, F.concat(F.lit(prefix + ":"), local)))
+    if listed:
+        local = local_name(full)
+        namespace = full.substr(F.lit(1), F.length(full) - F.length(local))
+        shown = F.try_element_at(_prefix_map(listed), namespace)
+        candidates.append(F.when(shown.isNotNull() & local.rlike(plain_local), F.concat(shown, local)))
     return F.coalesce(*candidates, F.concat(F.lit("<"), escape_iri(full), F.lit(">")))
 
 
@@ -116,14 +128,15 @@ def escape_literal(lexical: Column) -> Column:
 
 
 # Characters that must not stand raw between < and >.
-_IRI_UNSAFE = '\\ <>"{}|^`\n\r\t'
+_IRI_UNSAFE = r'[\x00-\x20<>"{}|^`\\]'
 
 
 def escape_iri(full: Column) -> Column:
-    escaped = full
-    for char in _IRI_UNSAFE:
-        escaped = F.replace(escaped, F.lit(char), F.lit(f"\\u{ord(char):04X}"))
-    return F.when(full.rlike(r'[\\ <>"{}|^`\n\r\t]'), escaped).otherwise(full)
+    """Unsafe characters, all of them ASCII, as ``\\u00XX``; nearly always nothing to do."""
+    escaped = F.transform(
+        F.split(full, ""), lambda c: F.when(c.rlike(_IRI_UNSAFE), F.concat(F.lit("\\u00"), F.hex(c))).otherwise(c)
+    )
+    return F.when(full.rlike(_IRI_UNSAFE), F.array_join(escaped, "")).otherwise(full)
 
 
 def unescape(text: Column) -> Column:

@@ -32,20 +32,30 @@ def _short(full: Column, prefixes: Mapping[str, str]) -> Column:
     return F.when(full.startswith("_:"), full).otherwise(terms.compact(full, prefixes))
 
 
-def _turtle_tokens(prefixes: Mapping[str, str]) -> tuple[Column, Column, Column]:
-    s, p = _short(F.col("s"), prefixes), terms.compact(F.col("p"), prefixes)
-    obj = F.when(F.col("o_kind") == "iri", terms.compact(F.col("o"), prefixes)).otherwise(
-        terms.term_token(
-            F.col("o"), F.col("o_kind"), F.col("o_dtype"), F.col("o_lang"), terms.compact(F.col("o_dtype"), prefixes)
-        )
+def _turtle_tokens(triples: DataFrame, prefixes: Mapping[str, str]) -> DataFrame:
+    """Columns ``s st pt ot``: the subject, and the three terms as Turtle writes them."""
+    # An object has one name at most, its own or that of its datatype: shorten it once.
+    name = F.when(F.col("o_kind") == "iri", F.col("o")).otherwise(F.col("o_dtype"))
+    short = triples.select(
+        "s",
+        _short(F.col("s"), prefixes).alias("st"),
+        terms.compact(F.col("p"), prefixes).alias("pt"),
+        F.when(name.isNotNull(), terms.compact(name, prefixes)).alias("name"),
+        "o",
+        "o_kind",
+        "o_dtype",
+        "o_lang",
+    )
+    literal = terms.term_token(F.col("o"), F.col("o_kind"), F.col("o_dtype"), F.col("o_lang"), F.col("name"))
+    return short.select(
+        "s", "st", "pt", F.when(F.col("o_kind") == "iri", F.col("name")).otherwise(literal).alias("ot")
     )
-    return s, p, obj
 
 
 def turtle_lines(triples: DataFrame, prefixes: Mapping[str, str] = PREFIXES) -> DataFrame:
     """One column ``value``: each triple as a flat Turtle statement with prefixed names."""
-    s, p, obj = _turtle_tokens(prefixes)
-    return triples.select(F.concat(s, F.lit(" "), p, F.lit(" "), obj, F.lit(" .")).alias("value"))
+    tokens = _turtle_tokens(triples, prefixes)
+    return tokens.select(F.concat("st", F.lit(" "), "pt", F.lit(" "), "ot", F.lit(" .")).alias("value"))
 
 
 def turtle_header(prefixes: Mapping[str, str] = PREFIXES) -> str:
@@ -77,9 +87,11 @@ def turtle_subject_blocks(
     comes from a count that is combined before its shuffle; usually there are none, and
     then the triples are shuffled once.
     """
-    s, p, obj = _turtle_tokens(prefixes)
-    entries = triples.select(
-        s.alias("subject"), (F.col("p") != RDF_TYPE).alias("later"), p.alias("p_token"), obj.alias("o_token")
+    entries = _turtle_tokens(triples, prefixes).select(
+        F.col("st").alias("subject"),
+        (F.col("pt") != terms.compact(F.lit(RDF_TYPE), prefixes)).alias("later"),
+        F.col("pt").alias("p_token"),
+        F.col("ot").alias("o_token"),
     )
     sizes = triples.groupBy("s").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_block)
     heavy = sizes.select(_short(F.col("s"), prefixes).alias("subject"), F.ceil(F.col("n") / max_block).alias("parts"))

@@ -36,33 +36,52 @@ def decode_terms(parts: DataFrame) -> DataFrame:
 
     `parts` also carries ``file`` (scope of blank nodes), ``g`` and ``ok``. A row whose
     escapes cannot be decoded ends with ``ok = false``; so does one that came in so.
+    The steps are separate projections, so that each piece of text is cut out once.
     """
-    st, pt, ot = F.col("st"), F.col("pt"), F.col("ot")
 
-    def resource(token: Column) -> Column:
-        inner = terms.unescape(token.substr(F.lit(2), F.length(token) - 2))
-        return F.when(token.startswith("_:"), terms.scoped_bnode(token, F.col("file"))).otherwise(inner)
+    def inner(token: Column) -> Column:
+        return token.substr(F.lit(2), F.length(token) - 2)
 
+    def bnode(name: str) -> Column:
+        return F.col(name).startswith("_:")
+
+    literal = F.col("ot").startswith('"')
     # A literal token ends its lexical form at its last quote: no suffix has one.
-    suffix = F.substring_index(ot, '"', -1)
-    body = ot.substr(F.lit(2), F.length(ot) - F.length(suffix) - 2)
-    literal = ot.startswith('"')
-    dtype = F.when(
-        literal & suffix.startswith("^^"),
-        terms.plain_string_dtype(terms.unescape(suffix.substr(F.lit(4), F.length(suffix) - 4))),
+    cut = parts.select(
+        "st", "pt", "ot", "file", "g", "ok", F.when(literal, F.substring_index("ot", '"', -1)).alias("suffix")
+    )
+    suffix = F.col("suffix")
+    raw = cut.select(
+        *[F.when(bnode(t), F.col(t)).otherwise(inner(F.col(t))).alias(t) for t in ("st", "pt")],
+        F.when(literal, F.col("ot").substr(F.lit(2), F.length("ot") - F.length(suffix) - 2))
+        .when(bnode("ot"), F.col("ot"))
+        .otherwise(inner(F.col("ot")))
+        .alias("ot"),
+        F.when(literal, "literal").when(bnode("ot"), "bnode").otherwise("iri").alias("o_kind"),
+        F.when(suffix.startswith("^^"), suffix.substr(F.lit(4), F.length(suffix) - 4)).alias("dtype"),
+        F.when(suffix.startswith("@"), suffix.substr(F.lit(2), F.length(suffix))).alias("o_lang"),
+        "file",
+        "g",
+        "ok",
+    )
+    plain = raw.select(
+        *[terms.unescape(F.col(c)).alias(c) for c in ("st", "pt", "ot", "dtype")], "o_kind", "o_lang", "file", "g", "ok"
     )
-    decoded = parts.select(
-        resource(st).alias("s"),
-        resource(pt).alias("p"),
-        F.when(literal, terms.unescape(body)).otherwise(resource(ot)).alias("o"),
-        F.when(literal, "literal").when(ot.startswith("_:"), "bnode").otherwise("iri").alias("o_kind"),
-        dtype.alias("o_dtype"),
-        F.when(literal & suffix.startswith("@"), suffix.substr(F.lit(2), F.length(suffix))).alias("o_lang"),
-        F.col("g"),
-        F.col("ok").alias("_ok"),
+    decoded = plain.select(
+        F.when(bnode("st"), terms.scoped_bnode(F.col("st"), F.col("file"))).otherwise(F.col("st")).alias("s"),
+        F.col("pt").alias("p"),
+        F.when(F.col("o_kind") == "bnode", terms.scoped_bnode(F.col("ot"), F.col("file")))
+        .otherwise(F.col("ot"))
+        .alias("o"),
+        "o_kind",
+        terms.plain_string_dtype(F.col("dtype")).alias("o_dtype"),
+        "o_lang",
+        "g",
+        (F.col("ok") & F.col("st").isNotNull() & F.col("pt").isNotNull() & F.col("ot").isNotNull()).alias("ok"),
     )
-    complete = F.col("s").isNotNull() & F.col("p").isNotNull() & F.col("o").isNotNull()
-    return decoded.withColumn("ok", F.col("_ok") & complete).drop("_ok")
+    # Inlined as a one-row array: a filter on `ok` can then not be pushed down into the
+    # projections, which would evaluate all these expressions twice.
+    return decoded.select(F.inline(F.array(F.struct(*decoded.columns))))
 
 
 def parse_ntriples(lines: DataFrame, graph: str | None = None) -> DataFrame:

@@ -1,9 +1,8 @@
 """Turtle as a splittable text source: one statement per record.
 
 Records end with `` .`` and a line feed, so Spark splits a file between statements.
-A record is cut into tokens, the tokens are joined with line feeds (no token holds
-one), and statements, predicate lists and object lists are then plain splits on
-``.``, ``;`` and ``,`` standing alone on a line: linear work, no UDF.
+A record is cut into tokens by one regular expression and then split further on
+separators; linear work in generated code, no UDF.
 
 Supported: ``@prefix`` / ``PREFIX``, ``a``, ``;`` and ``,`` lists, double-quoted
 literals with ``^^`` or ``@``, bare numbers and booleans, comments. Anything else
@@ -20,14 +19,23 @@ from pyspark.sql import functions as F
 
 from trilake.functions import terms
 from trilake.operators.joins import lookup_join
-from trilake.sources.ntriples import IRI, LANG, LITERAL_BODY, accepted, decode_terms
+from trilake.sources.ntriples import BNODE, IRI, LANG, LITERAL_BODY, accepted, decode_terms
 from trilake.vocab import RDF_TYPE, XSD_BOOLEAN, XSD_DECIMAL, XSD_DOUBLE, XSD_INTEGER
 
 # A line that binds a prefix. No literal of the profile spans lines, so a line start is safe.
 PREFIX_LINE = r"(?m)^[ \t]*(?:@prefix|(?i:PREFIX))[ \t]+([^\s:<]*):[ \t]*<([^<>\s]*)>[ \t]*\.?[ \t]*"
 
-_NAME = r'(?:[^\s;,"<#\\.]++|\\.|\.(?=[^\s;,"<#.]))++'
-TOKEN = rf'({LITERAL_BODY}(?:\^\^(?:{IRI}|{_NAME})|{LANG})?|{IRI}|#[^\n]*|[;,.]|{_NAME}|\S)'
+_NAME = r"""(?:[^\s;,"'<>\[\](){}@#\\.]++|\\.|\.(?=[^\s;,"'<>\[\](){}@#.]))++"""
+# What stands between tokens, then a token. Characters that start no token of the
+# profile are tokens of their own, which makes their statement unsound.
+TOKEN = (
+    r"(?:\s|#[^\n]*+)*+"
+    rf"({LITERAL_BODY}(?:\^\^(?:{IRI}|{_NAME})|{LANG})?+|{IRI}|[;,.]|{_NAME}|\S|$)"
+)
+# Tokens one a line: subject, predicate, objects with "," between, more after ";".
+_TERM = r"""(?:[^\n,;.'"\[\](){}@][^\n]*+|\.[^\n]++|"[^\n]++)"""
+_OBJECTS = rf"{_TERM}\n(?:,\n{_TERM}\n)*+"
+SOUND = rf"^{_TERM}\n{_TERM}\n{_OBJECTS}(?:(?:;\n)++(?:{_TERM}\n{_OBJECTS})?+)*+$"
 
 _NUMBERS = (
     (r"^[+-]?\d+$", XSD_INTEGER),
@@ -78,89 +86,91 @@ def file_facts(records: DataFrame) -> DataFrame:
     )
 
 
-def _statements(text: Column) -> Column:
-    """Record text -> array of ``(st, pt, ot)`` token triples.
+def _token_rows(records: DataFrame, keep: list[str]) -> DataFrame:
+    """One row ``(st, pt, ot, sound)`` per object of each statement, tokens as written.
 
-    A statement with a missing or surplus token anywhere comes out with an empty
-    subject in all its rows, so that no part of it is taken for a triple.
+    The tokens of a record are put one a line (none of them holds a line feed), so that
+    statements, predicate lists and object lists are splits at ``.``, ``;`` and ``,``
+    standing alone on a line. Plain splits and explodes, all in generated code.
+    A statement with a missing or surplus token anywhere is not taken apart: it gives
+    one row with ``sound = false``.
     """
-    tokens = F.filter(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(1)), lambda t: ~t.startswith("#"))
-    joined = F.concat(F.array_join(tokens, "\n"), F.lit("\n"))
+    value = F.col("value")
+    bare = F.when(value.contains("prefix") | value.contains("PREFIX"), F.regexp_replace(value, PREFIX_LINE, ""))
+    lined = F.regexp_replace(F.coalesce(bare, value), TOKEN, "$1\n")
+    statements = (
+        records.select(*keep, F.concat(F.lit("\n"), F.regexp_replace(lined, r"\n++$", "\n")).alias("lined"))
+        .select(*keep, F.explode(F.split("lined", r"(?<=\n)\.\n")).alias("statement"))
+        .select(*keep, F.ltrim(F.col("statement"), F.lit("\n")).alias("statement"))
+        .where(F.col("statement") != "")
+    )
 
-    def head(lines: Column) -> Column:
+    def head(lines: str) -> Column:
         return F.substring_index(lines, "\n", 1)
 
-    def rest(lines: Column) -> Column:
-        return lines.substr(F.length(head(lines)) + 2, F.length(lines))
+    def rest(lines: str) -> Column:
+        return F.col(lines).substr(F.length(head(lines)) + 2, F.length(lines))
 
-    def objects(predicate_list: Column) -> Column:
-        listed = F.split(F.regexp_replace(rest(predicate_list), r"\n$", ""), r"\n,\n")
-        return F.transform(listed, lambda o: F.struct(head(predicate_list).alias("pt"), o.alias("ot")))
-
-    def predicates(statement: Column) -> Column:
-        # "; ;" and a final ";" are allowed, a ";" right after the subject is not.
-        lists = F.filter(F.split(rest(statement), r"(?<=\n)(?:;\n)+"), lambda x: x != "")
-        pairs = F.flatten(F.transform(F.when(F.size(lists) > 0, lists).otherwise(F.array(F.lit(""))), objects))
-        sound = F.forall(
-            pairs,
-            lambda x: ~x["pt"].isin("", ",", ";") & ~x["ot"].isin("", ",", ";") & ~x["ot"].contains("\n"),
-        )
-        subject = F.when(sound, head(statement)).otherwise("")
-        return F.transform(pairs, lambda x: F.struct(subject.alias("st"), x["pt"].alias("pt"), x["ot"].alias("ot")))
+    def last_feed_off(column: Column) -> Column:
+        return F.regexp_replace(column, r"\n$", "")
 
-    statements = F.filter(F.split(joined, r"(?:(?<=^|\n)\.\n)+"), lambda x: x != "")
-    return F.flatten(F.transform(statements, predicates))
+    checked = statements.select(
+        *keep,
+        F.col("statement").rlike(SOUND).alias("sound"),
+        head("statement").alias("st"),
+        rest("statement").alias("lists"),
+    )
+    split_lists = F.when(F.col("sound"), F.split("lists", r"(?<=\n)(?:;\n)++")).otherwise(F.array(F.lit("")))
+    lists = checked.select(*keep, "sound", "st", F.explode(split_lists).alias("list")).where(
+        (F.col("list") != "") | ~F.col("sound")
+    )
+    return lists.select(
+        *keep,
+        "sound",
+        "st",
+        head("list").alias("pt"),
+        F.explode(F.split(last_feed_off(rest("list")), r"\n,\n")).alias("ot"),
+    )
 
 
 def parse_turtle(records: DataFrame, graph: str | None = None) -> DataFrame:
     """Records (``value``, ``file``, ``prefixes``, ``long_strings``) -> triple columns + ``ok``."""
-    text = F.regexp_replace("value", PREFIX_LINE, "")
-    rows = (
-        records.select(text.alias("text"), "file", "prefixes", "long_strings")
-        .where(~F.col("text").rlike(r"^(?:\s*(?:#[^\n]*)?(?:\n|$))*+$|^\s*\.\s*$"))
-        .select("file", "prefixes", "long_strings", F.explode(_statements(F.col("text"))).alias("t"))
-        .select("file", "prefixes", "long_strings", "t.st", "t.pt", "t.ot")
-    )
-    namespaces = F.coalesce("prefixes", F.create_map().cast("map<string,string>"))
+    rows = _token_rows(records, ["file", "prefixes", "long_strings"])
 
     def full(token: Column) -> Column:
         """IRI reference or prefixed name -> ``<absolute IRI>``; null if it is neither."""
         prefix = F.substring_index(token, ":", 1)
-        local = F.regexp_replace(token.substr(F.length(prefix) + 2, F.length(token)), r"\\(.)", "$1")
-        namespace = F.try_element_at(namespaces, prefix)
-        named = token.rlike(r"^[^<>\"'\[\](){}@:]*:[^<>\"'\[\](){}@]*$") & namespace.isNotNull()
-        return F.when(token.rlike(r"^<[A-Za-z][A-Za-z0-9+.-]*:.*>$"), token).when(
-            named, F.concat(F.lit("<"), namespace, local, F.lit(">"))
+        local = token.substr(F.length(prefix) + 2, F.length(token))
+        unescaped = F.when(local.contains("\\"), F.regexp_replace(local, r"\\(.)", "$1")).otherwise(local)
+        named = F.concat(F.lit("<"), F.try_element_at("prefixes", prefix), unescaped, F.lit(">"))
+        return (
+            F.when(token.startswith("<"), F.when(token.rlike("^<[A-Za-z][A-Za-z0-9+.-]*:"), token))
+            .when(token.contains(":"), named)
         )
 
-    bnode = r"^_:[^\s<>\"'\[\](){}]+$"
+    def resource(token: Column) -> Column:
+        return F.when(token.startswith("_:"), F.when(token.rlike(rf"^{BNODE}$"), token)).otherwise(full(token))
+
+    ot = F.col("ot")
     suffix = F.substring_index("ot", '"', -1)
-    quoted = F.col("ot").substr(F.lit(1), F.length("ot") - F.length(suffix))
-    literal = F.col("ot").rlike(r'^"') & F.col("ot").rlike(r'"[^"\s]*$') & (F.length("ot") > 1)
-    literal_token = (
-        F.when(suffix == "", F.col("ot"))
-        .when(suffix.startswith("@"), F.col("ot"))
-        .when(suffix.startswith("^^"), F.concat(quoted, F.lit("^^"), full(suffix.substr(F.lit(3), F.length(suffix)))))
+    quoted = ot.substr(F.lit(1), F.length("ot") - F.length(suffix))
+    literal = F.when(~suffix.startswith("^^"), ot).otherwise(
+        F.concat(quoted, F.lit("^^"), full(suffix.substr(F.lit(3), F.length(suffix))))
     )
-    number = F.coalesce(*[F.when(F.col("ot").rlike(shape), F.lit(dtype)) for shape, dtype in _NUMBERS])
-    one_token = ~F.col("ot").contains("\n")
+    shorthand = F.coalesce(*[F.when(ot.rlike(shape), F.lit(dtype)) for shape, dtype in _NUMBERS])
     resolved = rows.select(
-        F.when(F.col("st").rlike(bnode), F.col("st")).otherwise(full(F.col("st"))).alias("st"),
-        F.when(F.col("pt") == "a", F.lit(f"<{RDF_TYPE}>")).otherwise(full(F.col("pt"))).alias("pt"),
-        F.when(
-            one_token,
-            F.when(literal, literal_token)
-            .when(number.isNotNull(), F.concat(F.lit('"'), "ot", F.lit('"^^<'), number, F.lit(">")))
-            .when(F.col("ot").rlike(bnode), F.col("ot"))
-            .otherwise(full(F.col("ot"))),
-        ).alias("ot"),
+        resource(F.col("st")).alias("st"),
+        F.when(F.col("pt") == "a", f"<{RDF_TYPE}>").otherwise(full(F.col("pt"))).alias("pt"),
+        F.when(ot.startswith('"'), literal)
+        .when(ot.contains(":"), resource(ot))
+        .otherwise(F.concat(F.lit('"'), "ot", F.lit('"^^<'), shorthand, F.lit(">")))
+        .alias("ot"),
         "file",
         F.lit(graph).cast("string").alias("g"),
-        "long_strings",
+        (F.col("sound") & ~F.coalesce("long_strings", F.lit(False))).alias("sound"),
     )
     complete = F.col("st").isNotNull() & F.col("pt").isNotNull() & F.col("ot").isNotNull()
-    readable = ~F.coalesce("long_strings", F.lit(False))
-    return decode_terms(resolved.withColumn("ok", complete & readable))
+    return decode_terms(resolved.withColumn("ok", F.col("sound") & complete))
 
 
 def scan_turtle(
