@@ -15,6 +15,8 @@ def session(app: str = "trilake", master: str | None = None, **conf: str) -> Spa
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        # The JVM does not compile methods beyond 8000 bytes of code: let Spark split those.
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
     )
     if master:
         builder = builder.master(master)

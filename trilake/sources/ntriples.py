@@ -31,44 +31,49 @@ STATEMENT = (
 )
 
 
-def decode_terms(parts: DataFrame) -> DataFrame:
-    """Columns ``st pt ot`` (tokens as N-Triples writes them) -> triple columns + ``ok``.
+def cut_tokens(parts: DataFrame) -> DataFrame:
+    """Columns ``st pt ot`` (tokens as N-Triples writes them) -> the pieces of each term.
 
-    `parts` also carries ``file`` (scope of blank nodes), ``g`` and ``ok``. A row whose
-    escapes cannot be decoded ends with ``ok = false``; so does one that came in so.
-    The steps are separate projections, so that each piece of text is cut out once.
+    Pieces are still escaped: IRIs without their brackets, labels of blank nodes, and
+    for a literal its lexical form, ``dtype`` and ``o_lang``.
     """
 
     def inner(token: Column) -> Column:
         return token.substr(F.lit(2), F.length(token) - 2)
 
-    def bnode(name: str) -> Column:
-        return F.col(name).startswith("_:")
-
-    literal = F.col("ot").startswith('"')
+    ot = F.col("ot")
+    literal = ot.startswith('"')
     # A literal token ends its lexical form at its last quote: no suffix has one.
-    cut = parts.select(
-        "st", "pt", "ot", "file", "g", "ok", F.when(literal, F.substring_index("ot", '"', -1)).alias("suffix")
-    )
+    cut = parts.select("st", "pt", "ot", "file", "g", "ok", F.when(literal, F.substring_index("ot", '"', -1)).alias("suffix"))
     suffix = F.col("suffix")
-    raw = cut.select(
-        *[F.when(bnode(t), F.col(t)).otherwise(inner(F.col(t))).alias(t) for t in ("st", "pt")],
-        F.when(literal, F.col("ot").substr(F.lit(2), F.length("ot") - F.length(suffix) - 2))
-        .when(bnode("ot"), F.col("ot"))
-        .otherwise(inner(F.col("ot")))
+    return cut.select(
+        *[F.when(F.col(t).startswith("_:"), F.col(t)).otherwise(inner(F.col(t))).alias(t) for t in ("st", "pt")],
+        F.when(literal, ot.substr(F.lit(2), F.length("ot") - F.length(suffix) - 2))
+        .when(ot.startswith("_:"), ot)
+        .otherwise(inner(ot))
         .alias("ot"),
-        F.when(literal, "literal").when(bnode("ot"), "bnode").otherwise("iri").alias("o_kind"),
+        F.when(literal, "literal").when(ot.startswith("_:"), "bnode").otherwise("iri").alias("o_kind"),
         F.when(suffix.startswith("^^"), suffix.substr(F.lit(4), F.length(suffix) - 4)).alias("dtype"),
         F.when(suffix.startswith("@"), suffix.substr(F.lit(2), F.length(suffix))).alias("o_lang"),
         "file",
         "g",
         "ok",
     )
-    plain = raw.select(
+
+
+def decode_pieces(pieces: DataFrame) -> DataFrame:
+    """Pieces of terms -> triple columns + ``ok``.
+
+    A row whose escapes cannot be decoded ends with ``ok = false``; so does one that
+    came in so. `file` is the scope of blank node labels.
+    """
+    plain = pieces.select(
         *[terms.unescape(F.col(c)).alias(c) for c in ("st", "pt", "ot", "dtype")], "o_kind", "o_lang", "file", "g", "ok"
     )
     decoded = plain.select(
-        F.when(bnode("st"), terms.scoped_bnode(F.col("st"), F.col("file"))).otherwise(F.col("st")).alias("s"),
+        F.when(F.col("st").startswith("_:"), terms.scoped_bnode(F.col("st"), F.col("file")))
+        .otherwise(F.col("st"))
+        .alias("s"),
         F.col("pt").alias("p"),
         F.when(F.col("o_kind") == "bnode", terms.scoped_bnode(F.col("ot"), F.col("file")))
         .otherwise(F.col("ot"))
@@ -96,7 +101,7 @@ def parse_ntriples(lines: DataFrame, graph: str | None = None) -> DataFrame:
         F.lit(graph).cast("string").alias("g"),
         (F.size("f") == 3).alias("ok"),
     )
-    return decode_terms(parts)
+    return decode_pieces(cut_tokens(parts))
 
 
 def scan_ntriples(spark: SparkSession, path: str | list[str], graph: str | None = None, **options: str) -> DataFrame:

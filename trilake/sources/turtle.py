@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from trilake.functions import terms
 from trilake.operators.joins import lookup_join
-from trilake.sources.ntriples import BNODE, IRI, LANG, LITERAL_BODY, accepted, decode_terms
+from trilake.sources.ntriples import BNODE, IRI, LANG, LITERAL_BODY, accepted, decode_pieces
 from trilake.vocab import RDF_TYPE, XSD_BOOLEAN, XSD_DECIMAL, XSD_DOUBLE, XSD_INTEGER
 
 # A line that binds a prefix. No literal of the profile spans lines, so a line start is safe.
@@ -96,14 +96,11 @@ def _token_rows(records: DataFrame, keep: list[str]) -> DataFrame:
     one row with ``sound = false``.
     """
     value = F.col("value")
-    bare = F.when(value.contains("prefix") | value.contains("PREFIX"), F.regexp_replace(value, PREFIX_LINE, ""))
-    lined = F.regexp_replace(F.coalesce(bare, value), TOKEN, "$1\n")
-    statements = (
-        records.select(*keep, F.concat(F.lit("\n"), F.regexp_replace(lined, r"\n++$", "\n")).alias("lined"))
-        .select(*keep, F.explode(F.split("lined", r"(?<=\n)\.\n")).alias("statement"))
-        .select(*keep, F.ltrim(F.col("statement"), F.lit("\n")).alias("statement"))
-        .where(F.col("statement") != "")
-    )
+    feed = F.lit("\n")
+
+    def cut(lines: Column, separator: str, marks: str) -> Column:
+        """Split at a separator line; most lines of text have none, which is cheap to see."""
+        return F.when(lines.contains(f"\n{marks}\n"), F.split(lines, separator)).otherwise(F.array(lines))
 
     def head(lines: str) -> Column:
         return F.substring_index(lines, "\n", 1)
@@ -111,26 +108,28 @@ def _token_rows(records: DataFrame, keep: list[str]) -> DataFrame:
     def rest(lines: str) -> Column:
         return F.col(lines).substr(F.length(head(lines)) + 2, F.length(lines))
 
-    def last_feed_off(column: Column) -> Column:
-        return F.regexp_replace(column, r"\n$", "")
-
+    bare = F.when(value.contains("prefix") | value.contains("PREFIX"), F.regexp_replace(value, PREFIX_LINE, ""))
+    lined = F.regexp_replace(F.coalesce(bare, value), TOKEN, "$1\n")
+    statements = (
+        records.select(*keep, F.concat(feed, F.rtrim(lined, feed), feed).alias("lined"))
+        .select(*keep, F.explode(cut(F.col("lined"), r"(?<=\n)\.\n", ".")).alias("statement"))
+        .select(*keep, F.ltrim(F.col("statement"), feed).alias("statement"))
+        .where(F.col("statement") != "")
+    )
     checked = statements.select(
         *keep,
         F.col("statement").rlike(SOUND).alias("sound"),
         head("statement").alias("st"),
         rest("statement").alias("lists"),
     )
-    split_lists = F.when(F.col("sound"), F.split("lists", r"(?<=\n)(?:;\n)++")).otherwise(F.array(F.lit("")))
+    split_lists = F.when(F.col("sound"), cut(F.col("lists"), r"(?<=\n)(?:;\n)++", ";")).otherwise(F.array(F.lit("")))
     lists = checked.select(*keep, "sound", "st", F.explode(split_lists).alias("list")).where(
         (F.col("list") != "") | ~F.col("sound")
     )
-    return lists.select(
-        *keep,
-        "sound",
-        "st",
-        head("list").alias("pt"),
-        F.explode(F.split(last_feed_off(rest("list")), r"\n,\n")).alias("ot"),
+    objects = lists.select(
+        *keep, "sound", "st", head("list").alias("pt"), F.rtrim(rest("list"), feed).alias("objects")
     )
+    return objects.select(*keep, "sound", "st", "pt", F.explode(cut(F.col("objects"), r"\n,\n", ",")).alias("ot"))
 
 
 def parse_turtle(records: DataFrame, graph: str | None = None) -> DataFrame:
@@ -138,39 +137,47 @@ def parse_turtle(records: DataFrame, graph: str | None = None) -> DataFrame:
     rows = _token_rows(records, ["file", "prefixes", "long_strings"])
 
     def full(token: Column) -> Column:
-        """IRI reference or prefixed name -> ``<absolute IRI>``; null if it is neither."""
+        """IRI reference or prefixed name -> absolute IRI; null if it is neither."""
         prefix = F.substring_index(token, ":", 1)
         local = token.substr(F.length(prefix) + 2, F.length(token))
         unescaped = F.when(local.contains("\\"), F.regexp_replace(local, r"\\(.)", "$1")).otherwise(local)
-        named = F.concat(F.lit("<"), F.try_element_at("prefixes", prefix), unescaped, F.lit(">"))
-        return (
-            F.when(token.startswith("<"), F.when(token.rlike("^<[A-Za-z][A-Za-z0-9+.-]*:"), token))
-            .when(token.contains(":"), named)
+        absolute = F.when(token.rlike("^<[A-Za-z][A-Za-z0-9+.-]*:"), token.substr(F.lit(2), F.length(token) - 2))
+        return F.when(token.startswith("<"), absolute).when(
+            token.contains(":"), F.concat(F.try_element_at("prefixes", prefix), unescaped)
         )
 
     def resource(token: Column) -> Column:
         return F.when(token.startswith("_:"), F.when(token.rlike(rf"^{BNODE}$"), token)).otherwise(full(token))
 
-    ot = F.col("ot")
-    suffix = F.substring_index("ot", '"', -1)
-    quoted = ot.substr(F.lit(1), F.length("ot") - F.length(suffix))
-    literal = F.when(~suffix.startswith("^^"), ot).otherwise(
-        F.concat(quoted, F.lit("^^"), full(suffix.substr(F.lit(3), F.length(suffix))))
-    )
+    ot, suffix = F.col("ot"), F.col("suffix")
+    quoted = ot.startswith('"')
     shorthand = F.coalesce(*[F.when(ot.rlike(shape), F.lit(dtype)) for shape, dtype in _NUMBERS])
-    resolved = rows.select(
+    # One name per object: its own, or that of its datatype.
+    name = F.when(suffix.startswith("^^"), suffix.substr(F.lit(3), F.length(suffix))).when(~quoted, ot)
+    named = (
+        rows.withColumn("suffix", F.when(quoted, F.substring_index("ot", '"', -1)))
+        .withColumn("name", resource(name))
+        .withColumn("shorthand", F.when(~quoted & ~ot.contains(":"), shorthand))
+    )
+    readable = F.col("sound") & ~F.coalesce("long_strings", F.lit(False))
+    pieces = named.select(
         resource(F.col("st")).alias("st"),
-        F.when(F.col("pt") == "a", f"<{RDF_TYPE}>").otherwise(full(F.col("pt"))).alias("pt"),
-        F.when(ot.startswith('"'), literal)
-        .when(ot.contains(":"), resource(ot))
-        .otherwise(F.concat(F.lit('"'), "ot", F.lit('"^^<'), shorthand, F.lit(">")))
+        F.when(F.col("pt") == "a", RDF_TYPE).otherwise(full(F.col("pt"))).alias("pt"),
+        F.when(quoted, ot.substr(F.lit(2), F.length("ot") - F.length(suffix) - 2))
+        .when(F.col("shorthand").isNotNull(), ot)
+        .otherwise(F.col("name"))
         .alias("ot"),
+        F.when(quoted | F.col("shorthand").isNotNull(), "literal")
+        .when(F.col("name").startswith("_:"), "bnode")
+        .otherwise("iri")
+        .alias("o_kind"),
+        F.when(quoted, F.col("name")).otherwise(F.col("shorthand")).alias("dtype"),
+        F.when(suffix.startswith("@"), suffix.substr(F.lit(2), F.length(suffix))).alias("o_lang"),
         "file",
         F.lit(graph).cast("string").alias("g"),
-        (F.col("sound") & ~F.coalesce("long_strings", F.lit(False))).alias("sound"),
+        (readable & ~(suffix.startswith("^^") & F.col("name").isNull()).eqNullSafe(True)).alias("ok"),
     )
-    complete = F.col("st").isNotNull() & F.col("pt").isNotNull() & F.col("ot").isNotNull()
-    return decode_terms(resolved.withColumn("ok", F.col("sound") & complete))
+    return decode_pieces(pieces)
 
 
 def scan_turtle(
