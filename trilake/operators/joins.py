@@ -42,3 +42,51 @@ def lookup_join(
 def _hashable(df: DataFrame) -> list[str]:
     """Columns that xxhash64 accepts (maps are not)."""
     return [f.name for f in df.schema.fields if not f.dataType.simpleString().startswith("map")]
+
+
+# Rows of one join key that a single task may get.
+HOT_ROWS = 1_000_000
+
+
+def hot_keys(rows: DataFrame, on: Sequence[str], hot_rows: int | None = None) -> DataFrame | None:
+    """Keys with more than `hot_rows` rows and the number of parts to cut each into.
+
+    Reads the key columns only and counts before the shuffle. At most `BROADCAST_ROWS`
+    keys come back, the hottest; any other key has too few rows to matter. The result
+    is a local table, or None if no key is hot.
+    """
+    limit = hot_rows or HOT_ROWS
+    counts = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
+    hottest = counts.orderBy(F.desc("_n")).limit(BROADCAST_ROWS)
+    found = hottest.select(*on, F.ceil(F.col("_n") / limit).cast("int").alias("_parts")).collect()
+    if not found:
+        return None
+    schema = ", ".join(f"`{c}` {t}" for c, t in hottest.select(*on).dtypes) + ", _parts int"
+    return rows.sparkSession.createDataFrame(found, schema)
+
+
+def hot_join(
+    many: DataFrame, one: DataFrame, on: Sequence[str], hot: DataFrame | None, how: str = "inner"
+) -> DataFrame:
+    """Join in which single keys may hold a large share of the rows of `many`.
+
+    Adaptive execution splits such keys only where both sides come straight from a
+    shuffle; this works anywhere in a chain of joins. Rows of a hot key are spread over
+    as many parts as it needs, and the matching rows of `one`, few per key, are copied to
+    each. Other keys keep one part. ``how="keep"`` also keeps the rows of `one` without
+    a match. Columns come as those of `one`, then the new ones of `many`.
+    """
+    on = list(on)
+    new = [c for c in many.columns if c not in one.columns]
+    shown = [*one.columns, *new]
+    if hot is None:
+        return one.join(many, on, "left" if how == "keep" else "inner").select(*shown)
+    parts = F.coalesce("_parts", F.lit(1))
+    spread = many.join(F.broadcast(hot), on, "left").withColumn("_part", F.pmod(F.xxhash64(*_hashable(many)), parts).cast("int"))
+    copied = one.join(F.broadcast(hot), on, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    matched = copied.drop("_parts").join(spread.drop("_parts"), [*on, "_part"]).select(*shown)
+    if how != "keep":
+        return matched
+    unmatched = one.join(many.select(*on).distinct(), on, "left_anti")
+    blank = {c: F.lit(None).cast(many.schema[c].dataType) for c in new}
+    return matched.unionByName(unmatched.withColumns(blank).select(*shown))

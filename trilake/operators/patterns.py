@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trilake.functions import terms
+from trilake.operators.joins import hot_join, hot_keys
 from trilake.sources.store import predicate_filter
 from trilake.vocab import PREFIXES
 
@@ -129,7 +130,8 @@ def _maybe_unbound(df: DataFrame) -> set[str]:
     return {f.name for f in df.schema.fields if (f.metadata or {}).get("maybe_unbound")}
 
 
-def _join(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+def _join(left: DataFrame, right: DataFrame, how: str, piled: DataFrame | None = None) -> DataFrame:
+    """`piled` are the bindings (of the right side) that may pile up on one shared value."""
     shared = [c for c in right.columns if c in left.columns]
     open_ = (_maybe_unbound(left) | _maybe_unbound(right)) & set(shared)
     if open_:
@@ -141,6 +143,10 @@ def _join(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
     if how == "inner" and only_shared:
         # A constant-only pattern binds nothing new, and a graph holds each triple once.
         how = "left_semi"
+    elif piled is not None:
+        keys = [c for c in shared if c in piled.columns]
+        if keys == shared:
+            return hot_join(right, left, shared, hot_keys(piled, keys), "keep" if how == "left" else "inner")
     return left.join(right, shared, how)
 
 
@@ -186,6 +192,7 @@ def _group(
     prefixes: Mapping[str, str],
     resources: Collection[str],
     tracked: Collection[str],
+    skewed: Collection[str] = (),
 ) -> DataFrame:
     """Join of all patterns of one group; hidden columns included."""
     typed = {x.name for one in patterns for x in one if isinstance(x, V) and x.as_type}
@@ -216,12 +223,33 @@ def _group(
             bound = _scan(triples, step[0], prefixes, resources, tracked)
         else:
             bound = _star(triples, step[0][0].name, step, prefixes, resources, tracked)
-        result = bound if result is None else _join(result, bound, "inner")
+        piled = bound if len(step) == 1 and _is_skewed(step[0], skewed, prefixes) else None
+        result = bound if result is None else _join(result, bound, "inner", piled)
     if result is None:
         raise ValueError("a group needs at least one pattern")
     return result
 
 
+def _is_skewed(one: Pattern, skewed: Collection[str], prefixes: Mapping[str, str]) -> bool:
+    p = one[1]
+    return isinstance(p, str) and terms.iri(p, prefixes) in {terms.iri(x, prefixes) for x in skewed}
+
+
+def _piled(
+    triples: DataFrame,
+    group: Sequence[Pattern],
+    skewed: Collection[str],
+    prefixes: Mapping[str, str],
+    resources: Collection[str],
+    tracked: Collection[str],
+) -> DataFrame | None:
+    """Bindings of the first skewed pattern of a group: enough to see where rows pile up."""
+    for one in group:
+        if _is_skewed(one, skewed, prefixes):
+            return _scan(triples, one, prefixes, resources, tracked)
+    return None
+
+
 def _mark_optional(joined: DataFrame, names: Sequence[str]) -> DataFrame:
     marked = {n: F.col(n).alias(n, metadata={"maybe_unbound": True}) for n in names}
     return joined.select(*[marked.get(c, F.col(c)) for c in joined.columns])
@@ -237,6 +265,7 @@ def bgp(
     optionals: Sequence[Sequence[Pattern]] = (),
     strategy: str = "join",
     single_valued: Collection[str] = (),
+    skewed: Collection[str] = (),
     prefixes: Mapping[str, str] = PREFIXES,
 ) -> DataFrame:
     """Bindings of a basic graph pattern, then of its OPTIONAL groups in turn.
@@ -245,6 +274,10 @@ def bgp(
     aggregation. That is right only for predicates with one value per subject, so just
     those named in `single_valued` take part; the rest are joined as usual.
 
+    `skewed` names predicates whose triples may pile up on one value of the variable they
+    are joined on (a customer with a third of all orders). Their keys are counted first,
+    and hot ones are spread over several tasks.
+
     Terms are compared as terms: a literal never joins an IRI of the same text.
     `triples` is one graph, so without repeated triples; pick it with `dump_graph`, or
     merge several with `graph_union`, where there are named graphs.
@@ -254,12 +287,13 @@ def bgp(
     whole = [*patterns, *[one for group in optionals for one in group]]
     required = _resources(patterns)
     tracked = _compared(whole) - required
-    result = _group(triples, patterns, strategy, single_valued, prefixes, required, tracked)
+    result = _group(triples, patterns, strategy, single_valued, prefixes, required, tracked, skewed)
     for group in optionals:
         resources = required | _resources(group)
-        right = _group(triples, group, strategy, single_valued, prefixes, resources, tracked)
+        right = _group(triples, group, strategy, single_valued, prefixes, resources, tracked, skewed)
+        piled = _piled(triples, group, skewed, prefixes, resources, tracked)
         fresh = [c for c in right.columns if c not in result.columns]
-        result = _mark_optional(_join(result, right, "left"), fresh)
+        result = _mark_optional(_join(result, right, "left", piled), fresh)
     return _visible(result)
 
 
@@ -270,6 +304,7 @@ def optional(
     where: Column | None = None,
     strategy: str = "join",
     single_valued: Collection[str] = (),
+    skewed: Collection[str] = (),
     prefixes: Mapping[str, str] = PREFIXES,
 ) -> DataFrame:
     """OPTIONAL over any binding table: the group is joined first, then left-joined.
@@ -281,11 +316,13 @@ def optional(
     """
     shared = set(bindings.columns) & set(variables(patterns))
     resources = _resources(patterns) | shared
-    right = _visible(_group(triples, patterns, strategy, single_valued, prefixes, resources, _compared(patterns) - resources))
+    tracked = _compared(patterns) - resources
+    right = _visible(_group(triples, patterns, strategy, single_valued, prefixes, resources, tracked, skewed))
+    piled = _piled(triples, patterns, skewed, prefixes, resources, ())
     if where is not None:
         right = right.where(where)
     fresh = [c for c in right.columns if c not in bindings.columns]
-    return _mark_optional(_join(bindings, right, "left"), fresh)
+    return _mark_optional(_join(bindings, right, "left", piled), fresh)
 
 
 def semi_join(

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trilake.functions.terms import local_name
+from trilake.operators.joins import hot_join, hot_keys
 from trilake.vocab import RDF_TYPE
 
 
@@ -103,10 +104,12 @@ def expand(edges: DataFrame, edge_type: str, sources: DataFrame, targets: DataFr
     """``(source)-[:edge_type]->(target)``.
 
     `sources` and `targets` are already filtered and projected node tables with their
-    keys in columns ``src`` and ``dst``; all their columns are kept.
+    keys in columns ``src`` and ``dst``; all their columns are kept. Nodes with very many
+    edges, at either end, are spread over several tasks.
     """
     typed = edges.where(F.col("type") == edge_type).select("src", "dst")
-    return typed.join(sources, "src").join(targets, "dst")
+    leaving = hot_join(typed, sources, ["src"], hot_keys(typed, ["src"]))
+    return hot_join(leaving, targets, ["dst"], hot_keys(typed, ["dst"]))
 
 
 def node_count(nodes: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from trilake.functions.terms import local_name
 from trilake.operators import propgraph as pg
 from trilake.operators.graphs import count_triples
+from trilake.operators.joins import hot_join, hot_keys
 from trilake.operators.patterns import Pattern, V, bgp, optional, pattern, semi_join
 
 MONEY = "decimal(18,2)"
@@ -21,6 +22,8 @@ COUNTRY = ":Norway"
 
 # What holds for every subject of the benchmark graph: one value per predicate.
 ORDER_FACTS = (":placedBy", ":totalAmount", ":orderStatus")
+# Where triples can pile up: on one customer, on one order.
+SKEWED = (":placedBy", ":contains")
 
 
 def _total(amount: Column, empty_sum: str) -> Column:
@@ -85,6 +88,7 @@ def q3_join_3_entities(
         ],
         strategy=strategy,
         single_valued=ORDER_FACTS,
+        skewed=SKEWED,
     )
     shown = rows.select("customer_name", "product_name", "amount", "status")
     return shown.orderBy(F.desc_nulls_last("amount"), "customer_name", "product_name", "status").limit(limit)
@@ -131,7 +135,7 @@ def revenue_by_group(
         rows = members.join(_order_totals(kept), "customer", "left")
         customers, n_orders, revenue = F.count("customer"), F.coalesce(F.sum("n"), F.lit(0)), F.col("spend")
     else:
-        rows = optional(members, graph, order_group, where=where)
+        rows = optional(members, graph, order_group, where=where, skewed=SKEWED)
         customers, n_orders, revenue = F.count_distinct("customer"), F.count_distinct("order"), F.col("amount")
     grouped = rows.groupBy("country", "segment").agg(
         customers.alias("customers"),
@@ -197,9 +201,10 @@ def pg_q3_join_3_entities(
     )
     placed = edges.where(F.col("type") == "placedBy").select(F.col("src").alias("order"), F.col("dst").alias("customer"))
     contains = edges.where(F.col("type") == "contains").select(F.col("src").alias("order"), F.col("dst").alias("product"))
-    rows = (
-        placed.join(customers, "customer").join(orders, "order").join(contains, "order").join(products, "product")
-    ).select("customer_name", "product_name", "amount", "status")
+    of_country = hot_join(placed, customers, ["customer"], hot_keys(placed, ["customer"]))
+    with_items = hot_join(contains, of_country.join(orders, "order"), ["order"], hot_keys(contains, ["order"]))
+    named = hot_join(with_items, products, ["product"], hot_keys(contains, ["product"]))
+    rows = named.select("customer_name", "product_name", "amount", "status")
     return rows.orderBy(F.desc_nulls_last("amount"), "customer_name", "product_name", "status").limit(limit)
 
 

@@ -388,6 +388,7 @@ def optional_unmatched(spark, sf_dir):
         dt.graph(spark, sf_dir),
         [(V("order"), ":orderStatus", V("status"))],
         optionals=[[(V("order"), ":contains", V("product"))]],
+        skewed=ec.SKEWED,
     )
     return rows.groupBy("status").agg(
         F.count("product").alias("products"), F.count_if(F.col("product").isNull()).alias("empty_orders")
@@ -440,17 +441,20 @@ def q4_optional_aggregation(spark, sf_dir):
 
 @query
 def group_by_label(spark, sf_dir):
-    """Orders and amount per product label; products with equal labels are one group."""
-    rows = bgp(
-        dt.graph(spark, sf_dir),
-        [
-            (V("order"), ":totalAmount", V("amount", ec.MONEY)),
-            (V("order"), ":contains", V("product")),
-            (V("product"), "rdfs:label", V("product_name")),
-        ],
+    """Orders and amount per product label; products with equal labels are one group.
+
+    Summed per product first, so that one row per product is joined with its label.
+    """
+    graph = dt.graph(spark, sf_dir)
+    items = bgp(
+        graph, [(V("order"), ":totalAmount", V("amount", ec.MONEY)), (V("order"), ":contains", V("product"))]
     )
-    return rows.groupBy("product_name").agg(
-        F.count("order").alias("order_count"), F.sum("amount").cast("double").alias("total_amount")
+    per_product = items.groupBy("product").agg(F.count("order").alias("n"), F.sum("amount").alias("amount"))
+    labels = pattern(graph, V("product"), "rdfs:label", V("product_name"))
+    return (
+        per_product.join(labels, "product")
+        .groupBy("product_name")
+        .agg(F.sum("n").alias("order_count"), F.sum("amount").cast("double").alias("total_amount"))
     )
 
 
