@@ -144,13 +144,14 @@ def unescape(text: Column) -> Column:
 
     Text without a backslash is passed through. The rest is read as a one-string
     JSON array, which has the same escapes but for ``\U``: those are replaced by
-    the character itself beforehand.
+    the character itself beforehand (or by an invalid escape if there is none).
     """
+    code = r"^\\U00(?:0(?!0[Dd][89A-Fa-f])[0-9A-Fa-f]|10)[0-9A-Fa-f]{4}$"
     long_form = F.transform(
         F.regexp_extract_all(text, F.lit(r"(\\U[0-9A-Fa-f]{8}|\\[^U]|[^\\]++)"), F.lit(1)),
         lambda part: F.when(
             part.startswith("\\U"),
-            F.decode(F.unhex(part.substr(F.lit(3), F.lit(8))), "UTF-32"),
+            F.when(part.rlike(code), F.decode(F.unhex(part.substr(F.lit(3), F.lit(8))), "UTF-32")).otherwise("\\q"),
         ).otherwise(part),
     )
     json_text = F.when(F.locate("\\U", text) > 0, F.array_join(long_form, "")).otherwise(text)

@@ -268,7 +268,8 @@ def bgp(
     skewed: Collection[str] = (),
     prefixes: Mapping[str, str] = PREFIXES,
 ) -> DataFrame:
-    """Bindings of a basic graph pattern, then of its OPTIONAL groups in turn.
+    """Bindings of a basic graph pattern, then of its OPTIONAL groups in turn; one column
+    per variable, in order of first use.
 
     ``strategy="star"`` reads consecutive patterns of one subject in a single
     aggregation. That is right only for predicates with one value per subject, so just
@@ -294,7 +295,7 @@ def bgp(
         piled = _piled(triples, group, skewed, prefixes, resources, tracked)
         fresh = [c for c in right.columns if c not in result.columns]
         result = _mark_optional(_join(result, right, "left", piled), fresh)
-    return _visible(result)
+    return result.select(*variables(whole))
 
 
 def optional(
@@ -322,7 +323,8 @@ def optional(
     if where is not None:
         right = right.where(where)
     fresh = [c for c in right.columns if c not in bindings.columns]
-    return _mark_optional(_join(bindings, right, "left", piled), fresh)
+    joined = _mark_optional(_join(bindings, right, "left", piled), fresh)
+    return joined.select(*bindings.columns, *[v for v in variables(patterns) if v in fresh])
 
 
 def semi_join(
@@ -333,4 +335,4 @@ def semi_join(
     new = set(variables([one])) - known
     if new:
         raise ValueError(f"pattern binds new variables: {sorted(new)}")
-    return _join(bindings, _scan(triples, one, prefixes, known), "inner")
+    return _join(bindings, _scan(triples, one, prefixes, known), "inner").select(*bindings.columns)

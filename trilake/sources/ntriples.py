@@ -21,7 +21,7 @@ UCHAR = (
     r"|\\U00(?:0(?!0[Dd][89A-Fa-f])[0-9A-Fa-f]|10)[0-9A-Fa-f]{4}"
 )
 IRI = r'<(?:[^<>"{}|^`\\\x00-\x20]++|' + UCHAR + r")*+>"
-BNODE = r'_:[^\s<>"]*[^\s<>".]'
+BNODE = r'_:[^\s<>"\\]*[^\s<>".\\]'
 LITERAL_BODY = r'"(?:[^"\\\n]++|\\[tbnrf"\'\\]|' + UCHAR + r')*+"'
 LANG = r"@[A-Za-z]+(?:-[A-Za-z0-9]+)*"
 
@@ -93,13 +93,12 @@ def parse_ntriples(lines: DataFrame, graph: str | None = None) -> DataFrame:
     """Lines (``value``, ``file``) -> triple columns + ``ok``; comments and blank lines go."""
     content = lines.where(~F.col("value").rlike(r"^\s*(?:#.*)?$"))
     fields = F.split(F.regexp_replace("value", STATEMENT, "$1\n$2\n$3"), "\n")
+    matched = F.size("f") == 3
     parts = content.select(fields.alias("f"), "file").select(
-        F.get("f", F.lit(0)).alias("st"),
-        F.get("f", F.lit(1)).alias("pt"),
-        F.get("f", F.lit(2)).alias("ot"),
+        *[F.when(matched, F.get("f", F.lit(i))).alias(name) for i, name in enumerate(("st", "pt", "ot"))],
         "file",
         F.lit(graph).cast("string").alias("g"),
-        (F.size("f") == 3).alias("ok"),
+        matched.alias("ok"),
     )
     return decode_pieces(cut_tokens(parts))
 
