@@ -61,7 +61,7 @@ def main() -> None:
     seconds["write_ntriples"] = once(lambda: rdf.write_ntriples(graph, paths["nt"]))
     seconds["read_turtle"] = once(lambda: drain(read_turtle(spark, paths["ttl"])))
     seconds["read_ntriples"] = once(lambda: drain(read_ntriples(spark, paths["nt"])))
-    seconds["persist_graph"] = once(lambda: store.persist_graph(graph, paths["store"]))
+    seconds["persist_graph"] = once(lambda: store.persist_graph(graph, paths["store"], layout="predicate"))
 
     stored = store.open_graph(spark, paths["store"])
     runs = {

@@ -22,9 +22,9 @@ def read_files(
 
 
 def file_count(spark: SparkSession, directory: str, glob: str) -> DataFrame:
-    """One row: how many non-empty files `read_files` would load."""
-    lines = spark.read.option("pathGlobFilter", glob).text(directory)
-    return lines.agg(F.count_distinct(F.col("_metadata.file_path")).alias("files"))
+    """One row: how many non-empty files `read_files` would load. Lists, does not read."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(directory)
+    return found.where(F.col("length") > 0).agg(F.count(F.lit(1)).alias("files"))
 
 
 def load_stats(parsed: DataFrame) -> DataFrame:
