@@ -14,8 +14,11 @@ from pyspark.sql import functions as F
 
 from trilake.functions.terms import local_name
 from trilake.operators.joins import hot_join, hot_keys
+from trilake.sources.store import local_name_filter
 from trilake.vocab import RDF_TYPE
 
+TYPE_NAME = "type"  # local name of rdf:type
+
 
 def _facts(triples: DataFrame, edges_as_props: Sequence[str], keys: Collection[str] | None) -> DataFrame:
     """Rows ``(uri, label, key, value)``: what each triple says about its nodes."""
@@ -37,7 +40,8 @@ def _facts(triples: DataFrame, edges_as_props: Sequence[str], keys: Collection[s
     )
     if keys is not None:
         # Only nodes with a label or one of the keys are asked for.
-        return triples.where(is_type | wanted).select(F.inline(F.array(about_subject)))
+        named = triples.where(local_name_filter(triples, [*keys, TYPE_NAME]))
+        return named.where(is_type | wanted).select(F.inline(F.array(about_subject)))
     about_object = fact(F.col("o"), null, null, null)
     return triples.select(F.inline(F.when(linked, F.array(about_subject, about_object)).otherwise(F.array(about_subject))))
 
@@ -73,8 +77,9 @@ def to_nodes(
 def to_edges(triples: DataFrame, types: Sequence[str] = ()) -> DataFrame:
     """Rows ``(src, type, dst)`` for IRI-valued triples; `types` narrows the scan."""
     linked = triples.where((F.col("o_kind") != "literal") & (F.col("p") != RDF_TYPE))
-    edges = linked.select(F.col("s").alias("src"), local_name(F.col("p")).alias("type"), F.col("o").alias("dst"))
-    return edges.where(F.col("type").isin(*types)) if types else edges
+    if types:
+        linked = linked.where(local_name_filter(triples, types))
+    return linked.select(F.col("s").alias("src"), local_name(F.col("p")).alias("type"), F.col("o").alias("dst"))
 
 
 def prop(key: str, as_type: str | None = None) -> Column:

@@ -7,6 +7,8 @@ gives the row groups narrow subject ranges.
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +52,14 @@ def predicate_filter(df: DataFrame, *predicates: str) -> Column:
     return wanted
 
 
+def local_name_filter(df: DataFrame, names: Collection[str]) -> Column:
+    """Rows whose predicate has one of these local names, pruned by directory if `df` allows."""
+    wanted = terms.local_name(F.col("p")).isin(*names)
+    if "p_local" in df.columns:
+        wanted = wanted & F.col("p_local").isin(*[local_part(F.lit(name)) for name in names])
+    return wanted
+
+
 def graph_filter(df: DataFrame, graph: str | None) -> Column:
     """Rows of one graph (None = the default graph)."""
     wanted = F.col("g").isNull() if graph is None else F.col("g") == graph
