@@ -1,7 +1,7 @@
 from conftest import as_set
 from pyspark.sql import functions as F
 
-from trilake.operators.joins import bounded_rows, hot_join, hot_keys, lookup_join
+from trilake.operators.joins import bounded_rows, hot_join, hot_keys, hot_values, lookup_join
 
 
 def tables(spark):
@@ -43,3 +43,11 @@ def test_hot_join_is_the_same_as_a_join(spark):
             joined = hot_join(many, one, ["k"], keys, how)
             assert joined.columns == ["k", "w", "v"] and as_set(joined) == wanted
             assert joined.count() == len(wanted)
+
+
+def test_hot_values_counts_each_side_on_its_own(spark):
+    rows = spark.range(100).select(F.lit(1).alias("a"), F.when(F.col("id") < 60, 1).otherwise(F.col("id")).alias("b"))
+    ids = spark.range(100)
+    a, b, c = hot_values([(rows, "a"), (rows, "b"), (ids, "id")], 25)
+    assert as_set(a) == {(1, 4)} and as_set(b) == {(1, 3)} and c is None
+    assert hot_values([(ids, "id")], 25) == [None]

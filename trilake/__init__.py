@@ -1,0 +1 @@
+"""Graph data on Spark: triples, patterns, property graphs, measurement logs. See README.md."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -65,6 +66,19 @@ def hot_keys(rows: DataFrame, on: Sequence[str], hot_rows: int | None = None) ->
     return rows.sparkSession.createDataFrame(found, schema)
 
 
+def hot_values(sides: Sequence[tuple[DataFrame, str]], hot_rows: int | None = None) -> list[DataFrame | None]:
+    """`hot_keys` for several ``(rows, column)`` of one type, counted in a single job."""
+    keys = [rows.select(F.lit(i).alias("_side"), F.col(column).alias("_key")) for i, (rows, column) in enumerate(sides)]
+    found = hot_keys(reduce(DataFrame.unionByName, keys), ["_side", "_key"], hot_rows)
+    if found is None:
+        return [None] * len(sides)
+    split = []
+    for i, (_, column) in enumerate(sides):
+        own = found.where(F.col("_side") == i).select(F.col("_key").alias(column), "_parts")
+        split.append(None if own.isEmpty() else own)
+    return split
+
+
 def hot_join(
     many: DataFrame, one: DataFrame, on: Sequence[str], hot: DataFrame | None, how: str = "inner"
 ) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trilake.functions.terms import local_name
-from trilake.operators.joins import hot_join, hot_keys
+from trilake.operators.joins import hot_join, hot_values
 from trilake.sources.store import local_name_filter
 from trilake.vocab import RDF_TYPE
 
@@ -113,8 +113,9 @@ def expand(edges: DataFrame, edge_type: str, sources: DataFrame, targets: DataFr
     edges, at either end, are spread over several tasks.
     """
     typed = edges.where(F.col("type") == edge_type).select("src", "dst")
-    leaving = hot_join(typed, sources, ["src"], hot_keys(typed, ["src"]))
-    return hot_join(leaving, targets, ["dst"], hot_keys(typed, ["dst"]))
+    hot_sources, hot_targets = hot_values([(typed, "src"), (typed, "dst")])
+    leaving = hot_join(typed, sources, ["src"], hot_sources)
+    return hot_join(leaving, targets, ["dst"], hot_targets)
 
 
 def node_count(nodes: DataFrame) -> DataFrame:

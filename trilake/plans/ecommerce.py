@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from trilake.functions.terms import local_name
 from trilake.operators import propgraph as pg
 from trilake.operators.graphs import count_triples
-from trilake.operators.joins import hot_join, hot_keys
+from trilake.operators.joins import hot_join, hot_values
 from trilake.operators.patterns import Pattern, V, bgp, optional, pattern, semi_join
 
 MONEY = "decimal(18,2)"
@@ -201,9 +201,10 @@ def pg_q3_join_3_entities(
     )
     placed = edges.where(F.col("type") == "placedBy").select(F.col("src").alias("order"), F.col("dst").alias("customer"))
     contains = edges.where(F.col("type") == "contains").select(F.col("src").alias("order"), F.col("dst").alias("product"))
-    of_country = hot_join(placed, customers, ["customer"], hot_keys(placed, ["customer"]))
-    with_items = hot_join(contains, of_country.join(orders, "order"), ["order"], hot_keys(contains, ["order"]))
-    named = hot_join(with_items, products, ["product"], hot_keys(contains, ["product"]))
+    hot = hot_values([(placed, "customer"), (contains, "order"), (contains, "product")])
+    of_country = hot_join(placed, customers, ["customer"], hot[0])
+    with_items = hot_join(contains, of_country.join(orders, "order"), ["order"], hot[1])
+    named = hot_join(with_items, products, ["product"], hot[2])
     rows = named.select("customer_name", "product_name", "amount", "status")
     return rows.orderBy(F.desc_nulls_last("amount"), "customer_name", "product_name", "status").limit(limit)
 
