@@ -1,6 +1,5 @@
 import pytest
 from conftest import as_set
-from pyspark.sql import functions as F
 
 from trilake.operators import graphs
 from trilake.operators.patterns import V, bgp, pattern

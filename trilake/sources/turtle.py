@@ -17,7 +17,6 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trilake.functions import terms
 from trilake.operators.joins import lookup_join
 from trilake.sources.ntriples import BNODE, IRI, LANG, LITERAL_BODY, accepted, decode_pieces
 from trilake.vocab import RDF_TYPE, XSD_BOOLEAN, XSD_DECIMAL, XSD_DOUBLE, XSD_INTEGER
