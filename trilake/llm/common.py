@@ -14,7 +14,7 @@ from trilake.session import scratch_dir
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows that one cell of a running total is meant to hold.
-CELL_ROWS = 50_000
+CELL_ROWS = 4_000
 ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 ARROW_BATCH = 16 << 20
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import re
+import string
 from collections.abc import Callable, Iterator
 
 import ahocorasick
@@ -23,6 +24,7 @@ NORMAL = bytes(
     c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 32 for c in range(256)
 )
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 
 
 def normal_words(raw: bytes) -> list[bytes]:
@@ -75,7 +77,7 @@ class Matcher:
         _, hit, _ = self.find(text.encode())
         if not hit:
             return []
-        words = [m.span() for m in WORD.finditer(text)]
+        words = [m.span() for m in WORD.finditer(text.translate(LOWER))]
         inside = np.zeros(len(words), bool)
         inside[hit] = True
         edges = np.flatnonzero(np.diff(np.r_[False, inside, False]))

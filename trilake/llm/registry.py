@@ -42,7 +42,7 @@ def op4_decontaminate(spark, sf_dir):
 
 @query
 def op5_warc(spark, sf_dir):
-    shown = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured_at"]
+    shown = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", F.unix_timestamp("captured_at").alias("captured_epoch")]
     return warc.capture_histories(table(spark, sf_dir, "pages")).select(*shown)
 
 

@@ -123,7 +123,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     number = lambda c: F.regexp_extract(c, r"<urn:page:(-?\d+)>", 1).try_cast("long")
     kind = header("WARC-Type")
     payload = F.when(F.instr(http, "Content-Transfer-Encoding: base64") > 0, F.unbase64(body)).otherwise(body.cast("binary"))
-    address = header("WARC-Target-URI")
+    # an empty address has a line, a null one has none
+    address = F.when(F.instr("head", "\nWARC-Target-URI: ") > 0, F.coalesce(header("WARC-Target-URI"), F.lit("")))
     restored = address
     for plain, code in reversed(ESCAPES):
         restored = F.replace(restored, F.lit(code), F.lit(plain))
