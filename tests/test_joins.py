@@ -1,7 +1,7 @@
 from conftest import as_set
 from pyspark.sql import functions as F
 
-from trilake.operators.joins import bounded_rows, hot_join, hot_keys, hot_values, lookup_join
+from trilake.operators.joins import hot_join, hot_keys, hot_values, lookup_join, measured_bytes
 
 
 def tables(spark):
@@ -21,10 +21,9 @@ def test_lookup_join_is_the_same_either_way(spark):
         assert sorted(map(tuple, joined.collect()), key=str) == wanted
 
 
-def test_bounded_rows(spark):
-    assert bounded_rows(spark.range(5), 4) is None
-    assert as_set(bounded_rows(spark.range(5), 5)) == {(i,) for i in range(5)}
-    assert bounded_rows(spark.range(0), 5).count() == 0
+def test_measured_bytes(spark):
+    assert measured_bytes(spark.range(0)) == 0
+    assert 100 * len('{"id":1}') <= measured_bytes(spark.range(100)) < 100 * len('{"id":100}')
 
 
 def test_hot_keys(spark):

@@ -62,13 +62,16 @@ def test_sparql_style_prefix_and_given_prefixes(spark, tmp_path):
     path = write(tmp_path / "a.ttl", "PREFIX x: <http://x/>\nx:s x:p x:o .\n")
     assert {r.s for r in read_turtle(spark, path).collect()} == {"http://x/s"}
     bare = write(tmp_path / "b.ttl", "rdfs:s :p xsd:o .\n")
-    assert read_turtle(spark, bare).count() == 0
+    assert read_turtle(spark, bare, on_reject="count").count() == 0
+    with pytest.raises(Exception, match="can't be read"):
+        read_turtle(spark, bare).count()
     assert read_turtle(spark, bare, prefixes=PREFIXES).first().s == PREFIXES["rdfs"] + "s"
 
 
-def test_a_prefix_bound_twice_is_not_guessed(spark, tmp_path):
-    path = write(tmp_path / "a.ttl", "@prefix x: <http://1/> .\nx:s x:p x:o .\n@prefix x: <http://2/> .\nx:s x:p x:o .\n")
-    assert stats(spark, path) == (0, 0, 2)
+def test_a_prefix_bound_twice_holds_from_its_place_on(spark, tmp_path):
+    path = write(tmp_path / "a.ttl", "@prefix x: <http://1/> .\nx:s x:p x:o .\nPREFIX x: <http://2/>\nx:s x:p x:o .\n")
+    assert {r.s for r in read_turtle(spark, path).collect()} == {"http://1/s", "http://2/s"}
+    assert stats(spark, path) == (2, 2, 0)
 
 
 @pytest.mark.parametrize(
@@ -96,15 +99,30 @@ def test_unsupported_statements_are_counted(spark, tmp_path, statement):
     assert stats(spark, path) == (2, 2, 1)
 
 
-def test_a_comment_that_looks_like_a_statement_end_makes_no_triples(spark, tmp_path):
-    path = write(tmp_path / "a.ttl", HEAD + ":a :p :b ; # note .\n  :q :c ; :r :d .\n:a :p :b , # note .\n  :q ; :r :d .\n")
-    assert triples(spark, path) == {(":a", ":p", ":b")}
+def test_a_comment_that_looks_like_a_statement_end(spark, tmp_path):
+    path = write(tmp_path / "a.ttl", HEAD + ":a :p :b ; # note .\n  :q :c ; :r :d .\n:a :p :e , # note .\n  :f ; :r :d .\n# end .\n")
+    assert triples(spark, path) == {(":a", ":p", ":b"), (":a", ":q", ":c"), (":a", ":r", ":d"), (":a", ":p", ":e"), (":a", ":p", ":f")}
 
 
-def test_a_file_with_long_strings_is_not_read_wrongly(spark, tmp_path):
-    write(tmp_path / "a.ttl", HEAD + ':a :p """text .\n:x :y :z .\n""" .\n')
-    write(tmp_path / "b.ttl", HEAD + ":a :p \"it'''s\" .\n")
-    assert triples(spark, str(tmp_path)) == {(":a", ":p", "it'''s")}
+def test_long_strings(spark, tmp_path):
+    write(tmp_path / "a.ttl", HEAD + ':a :p """text "q" \\"e\\" .\n:x :y :z .\n"""@en ; :q \'\'\'no .\n\'\'\' .\n:b :p :c .\n')
+    write(tmp_path / "b.ttl", HEAD + ":a :p \"it\'\'\'s\" .\n# a \"\"\" comment\n:a :p :d .\n")
+    assert triples(spark, str(tmp_path), on_reject="count") == {(":b", ":p", ":c"), (":a", ":p", "it\'\'\'s"), (":a", ":p", ":d")}
+    write(tmp_path / "a.ttl", HEAD + ':a :p """text "q" \\"e\\" .\n:x :y :z .\n"""@en .\n:b :p :c .\n')
+    assert {(r.o, r.o_lang) for r in read_turtle(spark, str(tmp_path)).where("o_lang is not null").collect()} == {('text "q" "e" .\n:x :y :z .\n', "en")}
+
+
+def test_windows_line_ends(spark, tmp_path):
+    path = write(tmp_path / "a.ttl", (HEAD + ":a :p :b .\n:c :p :d.\n:e :p :f .\n").replace("\n", "\r\n"))
+    assert triples(spark, path) == {(":a", ":p", ":b"), (":c", ":p", ":d"), (":e", ":p", ":f")}
+
+
+def test_blank_nodes_of_one_dataset(spark, tmp_path, graph_of):
+    graph = graph_of([("_:b0", ":p", ":x"), ("_:b0", ":q", ":y"), (":s", ":r", "_:b0")]).repartition(3)
+    write_turtle(graph, str(tmp_path / "ttl"))
+    write_ntriples(graph, str(tmp_path / "nt"))
+    for read, path in ((read_turtle, "ttl"), (read_ntriples, "nt")):
+        assert as_set(read(spark, str(tmp_path / path), bnode_scope="dataset")) == as_set(graph)
 
 
 AWKWARD = [

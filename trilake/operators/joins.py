@@ -8,35 +8,33 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 20_000
-SALTS = 64
+from trilake.session import kept
 
+#: Measured size up to which a lookup is sent to every executor.
+BROADCAST_BYTES = 8 << 20
+#: Copies of a lookup beyond that size, and so tasks that rows of one key are spread over at least.
+SALTS = 16
 
-def bounded_rows(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame | None:
-    """`df` as a local table if it has at most `limit` rows, else None.
 
-    Fetches at most ``limit + 1`` rows, whatever the size of `df`.
-    """
-    rows = df.limit(limit + 1).collect()
-    if len(rows) > limit:
-        return None
-    return df.sparkSession.createDataFrame(rows, df.schema)
+def measured_bytes(df: DataFrame) -> int:
+    """About what the rows take, by their JSON text."""
+    return df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
 
 
 def lookup_join(
-    big: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "left", limit: int = BROADCAST_ROWS
+    big: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "left", limit: int = BROADCAST_BYTES
 ) -> DataFrame:
     """Join `big` with a `lookup` that has one row per key and is expected to be small.
 
-    The lookup is evaluated once. Up to `limit` rows it is broadcast, and `big` is not
-    shuffled. Beyond that, both sides are shuffled with the key salted: `big` rows of one
-    hot key spread over `SALTS` tasks, each of which holds a copy of the lookup row.
+    The lookup is evaluated once, into a written table, and its bytes are measured. Up to
+    `limit` it is broadcast, and `big` is not shuffled. Beyond that, both sides are
+    shuffled with the key salted, and adaptive execution splits what is still large.
     """
-    small = bounded_rows(lookup, limit)
-    if small is not None:
+    small = kept(lookup, "lookup")
+    if measured_bytes(small) <= limit:
         return big.join(F.broadcast(small), list(on), how)
     salted = big.withColumn("_salt", F.pmod(F.xxhash64(*_hashable(big)), F.lit(SALTS)).cast("int"))
-    copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return salted.join(copies, [*on, "_salt"], how).drop("_salt")
 
 
@@ -50,20 +48,15 @@ HOT_ROWS = 1_000_000
 
 
 def hot_keys(rows: DataFrame, on: Sequence[str], hot_rows: int | None = None) -> DataFrame | None:
-    """Keys with more than `hot_rows` rows and the number of parts to cut each into.
+    """All keys with more than `hot_rows` rows and the number of parts to cut each into.
 
-    Reads the key columns only and counts before the shuffle. At most `BROADCAST_ROWS`
-    keys come back, the hottest; any other key has too few rows to matter. The result
-    is a local table, or None if no key is hot.
+    Reads the key columns only and counts before the shuffle. The result is a written
+    table, or None if no key is hot.
     """
     limit = hot_rows or HOT_ROWS
     counts = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
-    hottest = counts.orderBy(F.desc("_n")).limit(BROADCAST_ROWS)
-    found = hottest.select(*on, F.ceil(F.col("_n") / limit).cast("int").alias("_parts")).collect()
-    if not found:
-        return None
-    schema = ", ".join(f"`{c}` {t}" for c, t in hottest.select(*on).dtypes) + ", _parts int"
-    return rows.sparkSession.createDataFrame(found, schema)
+    found = kept(counts.select(*on, F.ceil(F.col("_n") / limit).cast("int").alias("_parts")), "hot-keys")
+    return None if found.isEmpty() else found
 
 
 def hot_values(sides: Sequence[tuple[DataFrame, str]], hot_rows: int | None = None) -> list[DataFrame | None]:
@@ -96,8 +89,9 @@ def hot_join(
     if hot is None:
         return one.join(many, on, "left" if how == "keep" else "inner").select(*shown)
     parts = F.coalesce("_parts", F.lit(1))
-    spread = many.join(F.broadcast(hot), on, "left").withColumn("_part", F.pmod(F.xxhash64(*_hashable(many)), parts).cast("int"))
-    copied = one.join(F.broadcast(hot), on, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    # a written table: small ones are broadcast by their measured size, others joined by a shuffle
+    spread = many.join(hot, on, "left").withColumn("_part", F.pmod(F.xxhash64(*_hashable(many)), parts).cast("int"))
+    copied = one.join(hot, on, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
     matched = copied.drop("_parts").join(spread.drop("_parts"), [*on, "_part"]).select(*shown)
     if how != "keep":
         return matched

@@ -107,9 +107,14 @@ def enumerated_order(
     scales: Sequence[str] = tuple(SCALES),
     operations: Sequence[str] = tuple(OPERATIONS.values()),
 ) -> DataFrame:
-    """Sort by the order in which the names are listed."""
-    return log.orderBy(
-        listed_position(F.col("framework"), frameworks),
-        listed_position(F.col("scale"), scales),
-        listed_position(F.col("operation"), operations),
-    )
+    """Sort by the order in which the names are listed, others after them by name; then by
+    all columns, so that equal names don't have to meet in one range of the sort."""
+    named = (("framework", frameworks), ("scale", scales), ("operation", operations))
+    keys = [k for name, listing in named for k in (listed_last(F.col(name), listing), F.col(name))]
+    return log.orderBy(*keys, *[c for c in log.columns if c not in ("framework", "scale", "operation")])
+
+
+def listed_last(column: Column, listing: Sequence[str]) -> Column:
+    """Place of a value in a listing; values that are not listed come after all others."""
+    place = listed_position(column, listing)
+    return F.when(place > 0, place).otherwise(len(listing) + 1)

@@ -14,10 +14,10 @@ def validate_counts(triples: DataFrame, expected: DataFrame, tolerance: float =
     A load is fine when it reached `tolerance` of what was expected; a graph that is
     missing has zero triples.
     """
-    default = "urn:default-graph"
-    sizes = graph_sizes(triples).select(F.coalesce("g", F.lit(default)).alias("_g"), "triples")
-    wanted = expected.select("g", F.coalesce("g", F.lit(default)).alias("_g"), F.col("expected").cast("bigint"))
-    joined = wanted.join(sizes, "_g", "left")  # one row per graph on both sides
+    sizes = graph_sizes(triples).select(F.col("g").alias("_g"), "triples")
+    wanted = expected.select("g", F.col("expected").cast("bigint"))
+    # one row per graph on both sides; the default graph is null
+    joined = wanted.join(sizes, F.col("g").eqNullSafe(F.col("_g")), "left")
     loaded = F.coalesce("triples", F.lit(0).cast("bigint"))
     floor = F.col("expected").cast("decimal(30,0)") * F.lit(str(tolerance)).cast("decimal(10,6)")
     return joined.select("g", "expected", loaded.alias("triples"), (loaded >= floor).alias("ok"))

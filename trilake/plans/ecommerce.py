@@ -1,7 +1,8 @@
 """The four benchmark queries over a graph, and their twins over its property graph.
 
 Each function takes any triples DataFrame (virtual, in memory, or a store) and returns
-the result table. Sums run over decimals, so they do not depend on the order of rows.
+the result table. Sums run over decimals of twelve digits after the point, so they do not
+depend on the order of rows; amounts too large for those are added as doubles.
 """
 
 from __future__ import annotations
@@ -17,7 +18,8 @@ from trilake.operators.graphs import count_triples
 from trilake.operators.joins import hot_join, hot_values
 from trilake.operators.patterns import Pattern, V, bgp, optional, pattern, semi_join
 
-MONEY = "decimal(18,2)"
+MONEY = "double"
+EXACT = "decimal(38,12)"
 COUNTRY = ":Norway"
 
 # What holds for every subject of the benchmark graph: one value per predicate.
@@ -26,8 +28,19 @@ ORDER_FACTS = (":placedBy", ":totalAmount", ":orderStatus")
 SKEWED = (":placedBy", ":contains")
 
 
-def _total(amount: Column, empty_sum: str) -> Column:
-    total = F.sum(amount).cast("double")
+def exact_sum(amount: Column, exact: str = EXACT) -> Column:
+    """The sum of doubles as a struct of an exact part and of what does not fit in it."""
+    fits = amount.try_cast(exact)
+    return F.struct(F.sum(fits).alias("fits"), F.sum(F.when(fits.isNull(), amount)).alias("large"))
+
+
+def sum_of_sums(parts: Column) -> Column:
+    """The total of structs made by `exact_sum`; null if none has a value."""
+    fits, large = F.sum(parts["fits"]).cast("double"), F.sum(parts["large"])
+    return F.coalesce(fits + large, fits, large)
+
+
+def _total(total: Column, empty_sum: str) -> Column:
     return F.coalesce(total, F.lit(0.0)) if empty_sum == "zero" else total
 
 
@@ -38,11 +51,11 @@ def _order_totals(orders: DataFrame) -> DataFrame:
     is joined in place of one per order, and a customer with very many orders is one
     row like any other. Sums and counts of the parts add up to those of the whole.
     """
-    return orders.groupBy("customer").agg(F.count("order").alias("n"), F.sum("amount").alias("spend"))
+    return orders.groupBy("customer").agg(F.count("order").alias("n"), exact_sum(F.col("amount")).alias("spend"))
 
 
 def q1_count(graph: DataFrame) -> DataFrame:
-    """``SELECT (COUNT(*) AS ?count) WHERE { ?s ?p ?o }``"""
+    """The number of all triples."""
     return count_triples(graph)
 
 
@@ -62,7 +75,7 @@ def q2_customer_orders(graph: DataFrame, limit: int = 20, strategy: str = "join"
         _order_totals(orders)
         .join(names, "customer")
         .groupBy("customer_name")
-        .agg(F.sum("n").alias("order_count"), F.sum("spend").cast("double").alias("total_spend"))
+        .agg(F.sum("n").alias("order_count"), sum_of_sums(F.col("spend")).alias("total_spend"))
     )
     return grouped.orderBy(F.desc_nulls_last("total_spend"), "customer_name", "order_count").limit(limit)
 
@@ -95,9 +108,13 @@ def q3_join_3_entities(
 
 
 def q4_optional_aggregation(
-    graph: DataFrame, empty_sum: str = "null", single_valued: Collection[str] = ORDER_FACTS, strategy: str = "join"
+    graph: DataFrame, empty_sum: str = "null", single_valued: Collection[str] = (), strategy: str = "join"
 ) -> DataFrame:
-    """Customers, orders and revenue per country and segment; customers without orders count."""
+    """Customers, orders and revenue per country and segment; customers without orders count.
+
+    Where the graph is known to hold one value per order and predicate, name those in
+    `single_valued` (``ORDER_FACTS``): orders are then totalled before the join.
+    """
     members = bgp(
         graph,
         [
@@ -118,7 +135,7 @@ def revenue_by_group(
     graph: DataFrame,
     order_group: Sequence[Pattern],
     empty_sum: str = "null",
-    single_valued: Collection[str] = ORDER_FACTS,
+    single_valued: Collection[str] = (),
     strategy: str = "join",
     where: Column | None = None,
 ) -> DataFrame:
@@ -133,10 +150,12 @@ def revenue_by_group(
         orders = bgp(graph, order_group, strategy=strategy, single_valued=single_valued)
         kept = orders.where(where) if where is not None else orders
         rows = members.join(_order_totals(kept), "customer", "left")
-        customers, n_orders, revenue = F.count("customer"), F.coalesce(F.sum("n"), F.lit(0)), F.col("spend")
+        customers, n_orders, revenue = F.count("customer"), F.coalesce(F.sum("n"), F.lit(0)), sum_of_sums(F.col("spend"))
     else:
         rows = optional(members, graph, order_group, where=where, skewed=SKEWED)
-        customers, n_orders, revenue = F.count_distinct("customer"), F.count_distinct("order"), F.col("amount")
+        customers, n_orders = F.count_distinct("customer"), F.count_distinct("order")
+        fits = F.col("amount").try_cast(EXACT)
+        revenue = sum_of_sums(F.struct(fits.alias("fits"), F.when(fits.isNull(), F.col("amount")).alias("large")))
     grouped = rows.groupBy("country", "segment").agg(
         customers.alias("customers"),
         n_orders.cast("bigint").alias("orders"),
@@ -158,7 +177,7 @@ def orders_of_country(graph: DataFrame, country: str = COUNTRY) -> DataFrame:
 
 
 def pg_q1_count(nodes: DataFrame) -> DataFrame:
-    """``MATCH (n) RETURN count(n)``: nodes, not triples."""
+    """The number of all nodes, not triples."""
     return pg.node_count(nodes)
 
 
@@ -173,13 +192,13 @@ def pg_q2_customer_orders(nodes: DataFrame, edges: DataFrame, limit: int = 20) -
     spend = (
         placed.join(_amounts(nodes), "src")
         .groupBy("dst")
-        .agg(F.count("src").alias("n"), F.sum("amount").alias("spend"))
+        .agg(F.count("src").alias("n"), exact_sum(F.col("amount")).alias("spend"))
     )
     names = pg.has_props(nodes, "label").select(F.col("uri").alias("dst"), pg.prop("label").alias("customer_name"))
     grouped = (
         spend.join(names, "dst")
         .groupBy("customer_name")
-        .agg(F.sum("n").alias("order_count"), F.sum("spend").cast("double").alias("total_spend"))
+        .agg(F.sum("n").alias("order_count"), sum_of_sums(F.col("spend")).alias("total_spend"))
     )
     return grouped.orderBy(F.desc_nulls_last("total_spend"), "customer_name", "order_count").limit(limit)
 
@@ -217,14 +236,14 @@ def pg_q4_optional_aggregation(nodes: DataFrame, edges: DataFrame, empty_sum: st
     # The condition on the order belongs to the optional side, before the left join.
     placed = edges.where(F.col("type") == "placedBy").select("src", "dst").join(_amounts(nodes), "src")
     # An edge set: a customer and an order meet once, and an order has one customer.
-    totals = placed.groupBy("dst").agg(F.count("src").alias("n"), F.sum("amount").alias("spend"))
+    totals = placed.groupBy("dst").agg(F.count("src").alias("n"), exact_sum(F.col("amount")).alias("spend"))
     grouped = (
         members.join(totals, "dst", "left")
         .groupBy("country", "segment")
         .agg(
             F.count("dst").alias("customers"),
             F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("orders"),
-            _total(F.col("spend"), empty_sum).alias("revenue"),
+            _total(sum_of_sums(F.col("spend")), empty_sum).alias("revenue"),
         )
     )
     return grouped.orderBy(F.desc_nulls_last("revenue"), "country", "segment")

@@ -237,16 +237,28 @@ _STAR = (
     f'SELECT {ORD.format("o_orderkey")} AS "order", {C.format("o_custkey")} AS customer, o_totalprice AS amount, '
     "o_orderstatus AS status FROM orders"
 )
-_LITERAL_ORDERS = [
-    ("totalAmount", "orders", "o_orderkey", "o_totalprice", "NULL", "NULL", "NULL"),
-    ("quantity", QUANTITIES, "l_orderkey", "NULL", "quantity", "NULL", "NULL"),
-    ("orderDate", "orders", "o_orderkey", "NULL", "NULL", "CAST(o_orderdate AS DATE)", "NULL"),
-    ("orderStatus", "orders", "o_orderkey", "NULL", "NULL", "NULL", "TRY_CAST(o_orderstatus AS BIGINT)"),
+_CUST, _PART, _ORDER = C.format("c_custkey"), P.format("p_partkey"), ORD.format("o_orderkey")
+_LITERALS = [
+    ("totalAmount", "orders", _ORDER, "o_totalprice", "NULL", "NULL", "NULL"),
+    ("quantity", QUANTITIES, ORD.format("l_orderkey"), "NULL", "quantity", "NULL", "NULL"),
+    ("orderDate", "orders", _ORDER, "NULL", "NULL", "CAST(o_orderdate AS DATE)", "NULL"),
+    ("orderStatus", "orders", _ORDER, "NULL", "NULL", "NULL", "TRY_CAST(o_orderstatus AS BIGINT)"),
+    ("acctBal", "customer", _CUST, "c_acctbal", "NULL", "NULL", "NULL"),
+    ("email", "customer", _CUST, "NULL", "NULL", "NULL", "NULL"),
+    ("unitPrice", "part", _PART, "p_retailprice", "NULL", "NULL", "NULL"),
+    ("stockLevel", "part", _PART, "NULL", "p_size", "NULL", "NULL"),
+    ("category", "part", _PART, "NULL", "NULL", "NULL", "TRY_CAST(p_type AS BIGINT)"),
 ]
 _TYPED = " UNION ALL ".join(
-    f"SELECT {ORD.format(key)} AS s, '{NS}{p}' AS p, CAST({d} AS DOUBLE) AS as_double, CAST({i} AS BIGINT) AS as_integer, "
-    f"CAST({t} AS DATE) AS as_date, CAST({x} AS BIGINT) AS from_text FROM {source}"
-    for p, source, key, d, i, t, x in _LITERAL_ORDERS
+    [
+        f"SELECT {key} AS s, '{NS}{p}' AS p, CAST({d} AS DOUBLE) AS as_double, CAST({i} AS BIGINT) AS as_integer, "
+        f"CAST({t} AS DATE) AS as_date, CAST({x} AS BIGINT) AS from_text FROM {source}"
+        for p, source, key, d, i, t, x in _LITERALS
+    ]
+    + [
+        f"SELECT {key}, '{RDFS_LABEL}', NULL, NULL, NULL, TRY_CAST({name} AS BIGINT) FROM {source}"
+        for source, key, name in (("customer", _CUST, "c_name"), ("part", _PART, "p_name"))
+    ]
 )
 _EXPANDED = " UNION ALL ".join(
     f"SELECT c_custkey, '{prefix}:' || c_mktsegment AS term, '{namespace}' || c_mktsegment AS iri FROM customer"
@@ -277,6 +289,7 @@ UNION ALL SELECT 'type', 'Order', count(*) FROM orders
 UNION ALL SELECT 'country', n_name, count(*) FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name
 UNION ALL SELECT 'segment', c_mktsegment, count(*) FROM customer GROUP BY c_mktsegment
 UNION ALL SELECT 'placedBy', printf('C%06d', o_custkey), count(*) FROM orders GROUP BY o_custkey
+UNION ALL SELECT 'contains', printf('P%06d', l_partkey), count(*) FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) GROUP BY l_partkey
 """
 _PG_NODES = f"""
 SELECT {C.format('c_custkey')} AS uri, 'Customer' AS labels,
@@ -347,6 +360,31 @@ ORACLE: dict[str, str] = {
             _graph(_row("part", P.format("p_partkey"), NS + "category", "p_type"), "parts"),
         ]
     ),
+    "replace_stored_graph": " UNION ALL ".join(
+        [
+            _graph(CUSTOMERS, "customers"),
+            _graph(ORDERS),
+            _graph(_row("part", P.format("p_partkey"), NS + "category", "p_type"), "parts"),
+        ]
+    ),
+    "clear_stored_graph": _graph(CUSTOMERS, "customers") + " UNION ALL " + _graph(ORDERS),
+    "roundtrip_bnodes": (
+        f"SELECT {C.format('o_custkey')} AS customer, o_orderstatus AS status, count(*) AS orders FROM orders GROUP BY 1, 2"
+    ),
+    "read_turtle_hard": f"""
+        SELECT 'http://one.example/c' || c_custkey AS s, 'http://one.example/name' AS p, c_name AS o, 'literal' AS o_kind, CAST(NULL AS VARCHAR) AS o_dtype FROM customer
+        UNION ALL SELECT 'http://one.example/c' || c_custkey, 'http://one.example/note',
+            'A "' || c_mktsegment || '" .' || chr(10) || ':no :triple :here .' || chr(10), 'literal', NULL FROM customer
+        UNION ALL SELECT 'http://two.example/c' || c_custkey, 'http://two.example/nation', CAST(c_nationkey AS VARCHAR), 'literal', '{XSD}integer' FROM customer
+        UNION ALL SELECT 'http://two.example/o' || o_orderkey, 'http://two.example/status', 'http://two.example/' || o_orderstatus, 'iri', NULL FROM orders
+    """,
+    "load_file_count": "SELECT CAST(c_nationkey % 5 AS VARCHAR) AS part, count(DISTINCT c_custkey) AS triples FROM customer GROUP BY 1",
+    "select_star_limit": f"SELECT least(5, count(*)) AS n_rows, CAST(0 AS BIGINT) AS strangers FROM ({ALL})",
+    "pg_sample_nodes": (
+        "SELECT least(3, (SELECT count(*) FROM customer) + (SELECT count(*) FROM part) + (SELECT count(*) FROM orders)) AS n_rows, "
+        "CAST(0 AS BIGINT) AS strangers"
+    ),
+    "q4_single_valued": _Q4.format(orders="orders"),
     "bindings_json": _JSON,
     "roundtrip_results": f"WITH {LOG} SELECT framework, scale, operation, seconds FROM log",
     "report_rows": f"WITH {LOG}, {_WIDE} SELECT framework, scale, '{{' || {_REPORT} || '}}' AS json FROM wide",

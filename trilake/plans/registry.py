@@ -103,7 +103,17 @@ def load_named_graph(spark, sf_dir):
 
 @query
 def load_file_count(spark, sf_dir):
-    return files.file_count(spark, _ntriples_path(spark, sf_dir), "part-*.txt")
+    """Files of one region's customers each, found by pattern and read: triples per file."""
+
+    def write(path: str) -> None:
+        rows = dt.table(spark, sf_dir, "customer").select(F.pmod("c_nationkey", F.lit(5)).alias("part"), "c_custkey").distinct()
+        subject = F.concat(F.lit("<http://benchmark.example/C"), F.col("c_custkey").cast("string"), F.lit("> <http://benchmark.example/part> "))
+        line = F.concat(subject, F.lit('"'), F.col("part").cast("string"), F.lit('" .'))
+        rows.select("part", line.alias("value")).repartition("part").write.partitionBy("part").text(path)
+
+    path = _scratch(spark, sf_dir, "parts", write)
+    read = files.read_files(spark, path, "part-*.txt")
+    return read.groupBy(F.col("o").alias("part")).agg(F.count(F.lit(1)).alias("triples"))
 
 
 @query
@@ -124,6 +134,57 @@ def open_graph(spark, sf_dir):
     return shown(store.open_graph(spark, path))
 
 
+@query
+def replace_stored_graph(spark, sf_dir):
+    """A store with one directory per graph and hashed predicates; the parts' graph is replaced."""
+
+    def write(path: str) -> None:
+        store.persist_graph(dt.named_graphs(spark, sf_dir, "rows"), path, by_graph=True, layout="hash")
+        categories = dt.product_triples(spark, sf_dir).where(F.col("p") == terms.iri(":category"))
+        store.replace_stored_graph(categories, path, dt.PARTS_GRAPH)
+
+    return shown(store.open_graph(spark, _scratch(spark, sf_dir, "store-replaced", write)))
+
+
+@query
+def clear_stored_graph(spark, sf_dir):
+    def write(path: str) -> None:
+        store.persist_graph(dt.named_graphs(spark, sf_dir, "rows"), path, by_graph=True)
+        store.clear_stored_graph(spark, path, dt.PARTS_GRAPH)
+
+    return shown(store.open_graph(spark, _scratch(spark, sf_dir, "store-cleared", write)))
+
+
+@query
+def roundtrip_bnodes(spark, sf_dir):
+    """Orders as blank nodes in several files, joined on them after reading."""
+    orders = dt.order_triples(spark, sf_dir, "rows").where(F.col("p").isin(terms.iri(":placedBy"), terms.iri(":orderStatus")))
+    blank = orders.withColumn("s", F.concat(F.lit("_:"), terms.local_name(F.col("s"))))
+    path = _scratch(spark, sf_dir, "bnodes", lambda p: rdf.write_turtle(blank.repartition(3, "p"), p))
+    read = read_turtle(spark, path, bnode_scope="dataset")
+    rows = bgp(read, [(V("order"), ":placedBy", V("customer")), (V("order"), ":orderStatus", V("status"))])
+    return rows.groupBy("customer", "status").agg(F.count("order").alias("orders"))
+
+
+@query
+def read_turtle_hard(spark, sf_dir):
+    """Texts that can not be cut at line ends: comments within statements, long strings,
+    Windows line ends, and one prefix bound twice in a file."""
+    customer, orders = dt.table(spark, sf_dir, "customer"), dt.table(spark, sf_dir, "orders")
+    name = F.concat(F.lit("x:c"), F.col("c_custkey").cast("string"))
+    first = F.concat(
+        F.lit("@prefix x: <http://one.example/> .\r\n# a comment with \"\"\" .\n"), name, F.lit(" x:name "), F.lit('"'), "c_name", F.lit('" ; # more to come .\n  x:note '),
+        F.lit('"""A "'), "c_mktsegment", F.lit('" .\n:no :triple :here .\n""" .\n@prefix x: <http://two.example/> .\n'), name, F.lit(" x:nation "), F.col("c_nationkey").cast("string"), F.lit(" ."),
+    )
+    second = F.concat(F.lit("PREFIX x: <http://two.example/>\r\nx:o"), F.col("o_orderkey").cast("string"), F.lit(" x:status x:"), "o_orderstatus", F.lit("."))
+
+    def write(path: str) -> None:
+        texts = customer.select(first.alias("value")).unionByName(orders.select(second.alias("value")))
+        texts.write.text(path)
+
+    return read_turtle(spark, _scratch(spark, sf_dir, "hard", write)).select("s", "p", "o", "o_kind", "o_dtype")
+
+
 @query
 def generate_entities(spark, sf_dir):
     """Three tables of the sizes of customer, part and orders, under one heading."""
@@ -302,7 +363,7 @@ def literal_split(spark, sf_dir):
 @query
 def typed_values(spark, sf_dir):
     """Typed access by declared datatype; text read as a number has no value."""
-    facts = dt.order_triples(spark, sf_dir).where(F.col("o_kind") == "literal")
+    facts = dt.graph(spark, sf_dir, "rows").where(F.col("o_kind") == "literal")
     o, dtype = F.col("o"), F.col("o_dtype")
     return facts.select(
         "s",
@@ -331,7 +392,7 @@ def round_values(spark, sf_dir):
 @query
 def local_names(spark, sf_dir):
     """Local names of predicates and of IRI objects, with their number of triples."""
-    graph = dt.graph(spark, sf_dir).where((F.col("o_kind") == "iri") & (F.col("p") != terms.iri(":contains")))
+    graph = dt.graph(spark, sf_dir, "rows").where(F.col("o_kind") == "iri")
     named = graph.select(terms.local_name(F.col("p")).alias("predicate"), terms.local_name(F.col("o")).alias("object"))
     return named.groupBy("predicate", "object").agg(F.count(F.lit(1)).alias("triples"))
 
@@ -356,7 +417,13 @@ def pattern_type(spark, sf_dir):
 
 @query
 def select_star_limit(spark, sf_dir):
-    return pattern(dt.graph(spark, sf_dir), V("s"), V("p"), V("o")).limit(1)
+    """How many rows a limit of 5 gives, and how many of them are not in the graph."""
+    graph = dt.graph(spark, sf_dir, "rows")
+    some = pattern(graph, V("s"), V("p"), V("o")).limit(5)
+    known = graph.select("s", "p", "o", F.lit(1).alias("known")).distinct()
+    return some.join(known, ["s", "p", "o"], "left").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("known").isNull()).alias("strangers")
+    )
 
 
 ORDER_STAR = [
@@ -439,6 +506,12 @@ def q4_optional_aggregation(spark, sf_dir):
     return ec.q4_optional_aggregation(dt.graph(spark, sf_dir))
 
 
+@query
+def q4_single_valued(spark, sf_dir):
+    """q4 where an order is known to have one customer and one amount."""
+    return ec.q4_optional_aggregation(dt.graph(spark, sf_dir), single_valued=ec.ORDER_FACTS)
+
+
 @query
 def group_by_label(spark, sf_dir):
     """Orders and amount per product label; products with equal labels are one group.
@@ -449,12 +522,12 @@ def group_by_label(spark, sf_dir):
     items = bgp(
         graph, [(V("order"), ":totalAmount", V("amount", ec.MONEY)), (V("order"), ":contains", V("product"))]
     )
-    per_product = items.groupBy("product").agg(F.count("order").alias("n"), F.sum("amount").alias("amount"))
+    per_product = items.groupBy("product").agg(F.count("order").alias("n"), ec.exact_sum(F.col("amount")).alias("amount"))
     labels = pattern(graph, V("product"), "rdfs:label", V("product_name"))
     return (
         per_product.join(labels, "product")
         .groupBy("product_name")
-        .agg(F.sum("n").alias("order_count"), F.sum("amount").cast("double").alias("total_amount"))
+        .agg(F.sum("n").alias("order_count"), ec.sum_of_sums(F.col("amount")).alias("total_amount"))
     )
 
 
@@ -567,8 +640,12 @@ def pg_schema(spark, sf_dir):
 
 @query
 def pg_sample_nodes(spark, sf_dir):
-    sample = pg.sample_nodes(pg.to_nodes(dt.graph(spark, sf_dir)))
-    return sample.select(F.array_join("labels", ",").alias("labels"), F.array_join("keys", ",").alias("keys"))
+    """How many nodes a sample of 3 has, and how many of them look like no node there is."""
+    nodes = pg.to_nodes(dt.graph(spark, sf_dir, "rows"))
+    known = nodes.select("labels", F.array_sort(F.map_keys("props")).alias("keys"), F.lit(1).alias("known")).distinct()
+    return pg.sample_nodes(nodes).join(known, ["labels", "keys"], "left").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("known").isNull()).alias("strangers")
+    )
 
 
 @query

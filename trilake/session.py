@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "trilake", master: str | None = None, **conf: str) -> SparkSession:
@@ -37,4 +37,15 @@ def scratch_dir(spark: SparkSession, label: str = "run") -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="trilake-")
-    return f"{base.rstrip('/')}/trilake-{label}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/trilake-{label}-{uuid.uuid4().hex}"
+    # gone when the application ends
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return path
+
+
+def kept(df: DataFrame, label: str) -> DataFrame:
+    """The same rows, written to the shared folder and read from there: computed once."""
+    path = scratch_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

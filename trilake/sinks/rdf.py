@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trilake.functions import terms
-from trilake.operators.joins import bounded_rows, lookup_join
+from trilake.session import kept
 from trilake.vocab import PREFIXES, RDF_TYPE
 
 MAX_BLOCK = 1_000
@@ -82,10 +82,10 @@ def turtle_subject_blocks(
 ) -> DataFrame:
     """Rows ``(subject, block)``: the triples of a subject as one ``s p o ;`` statement.
 
-    A subject with more than `max_block` triples gets several statements (Turtle allows
-    that), so no task ever holds all triples of a hot subject. Which subjects those are
-    comes from a count that is combined before its shuffle; usually there are none, and
-    then the triples are shuffled once.
+    A block has about `max_block` triples at most; a subject with more gets several
+    statements (Turtle allows that), so no task ever holds all triples of a hot subject.
+    Which subjects those are comes from a count that is combined before its shuffle and
+    written down; usually there are none, and then the triples are shuffled once.
     """
     entries = _turtle_tokens(triples, prefixes).select(
         F.col("st").alias("subject"),
@@ -95,12 +95,12 @@ def turtle_subject_blocks(
     )
     sizes = triples.groupBy("s").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_block)
     heavy = sizes.select(_short(F.col("s"), prefixes).alias("subject"), F.ceil(F.col("n") / max_block).alias("parts"))
-    small = bounded_rows(heavy)
-    if small is not None and small.isEmpty():
+    heavy = kept(heavy, "heavy-subjects")
+    if heavy.isEmpty():
         keyed, keys = entries, ["subject"]
     else:
         # Uneven hashing may exceed max_block a little; twice the parts keeps blocks short.
-        joined = lookup_join(entries, small if small is not None else heavy, ["subject"])
+        joined = entries.join(heavy, "subject", "left")
         part = F.pmod(F.xxhash64("p_token", "o_token"), F.coalesce(F.col("parts") * 2, F.lit(1)))
         keyed, keys = joined.withColumn("part", part).repartition("subject", "part"), ["subject", "part"]
     grouped = keyed.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("later", "p_token", "o_token"))).alias("po"))

@@ -61,21 +61,23 @@ def cut_tokens(parts: DataFrame) -> DataFrame:
     )
 
 
-def decode_pieces(pieces: DataFrame) -> DataFrame:
+def decode_pieces(pieces: DataFrame, bnode_scope: str = "file") -> DataFrame:
     """Pieces of terms -> triple columns + ``ok``.
 
     A row whose escapes cannot be decoded ends with ``ok = false``; so does one that
-    came in so. `file` is the scope of blank node labels.
+    came in so. Labels of blank nodes hold in one ``file``, or in the whole ``dataset``.
     """
+    scope = {"file": F.col("file"), "dataset": None}[bnode_scope]
+    bnode = lambda c: F.col(c) if scope is None else terms.scoped_bnode(F.col(c), scope)
     plain = pieces.select(
         *[terms.unescape(F.col(c)).alias(c) for c in ("st", "pt", "ot", "dtype")], "o_kind", "o_lang", "file", "g", "ok"
     )
     decoded = plain.select(
-        F.when(F.col("st").startswith("_:"), terms.scoped_bnode(F.col("st"), F.col("file")))
+        F.when(F.col("st").startswith("_:"), bnode("st"))
         .otherwise(F.col("st"))
         .alias("s"),
         F.col("pt").alias("p"),
-        F.when(F.col("o_kind") == "bnode", terms.scoped_bnode(F.col("ot"), F.col("file")))
+        F.when(F.col("o_kind") == "bnode", bnode("ot"))
         .otherwise(F.col("ot"))
         .alias("o"),
         "o_kind",
@@ -89,7 +91,7 @@ def decode_pieces(pieces: DataFrame) -> DataFrame:
     return decoded.select(F.inline(F.array(F.struct(*decoded.columns))))
 
 
-def parse_ntriples(lines: DataFrame, graph: str | None = None) -> DataFrame:
+def parse_ntriples(lines: DataFrame, graph: str | None = None, bnode_scope: str = "file") -> DataFrame:
     """Lines (``value``, ``file``) -> triple columns + ``ok``; comments and blank lines go."""
     content = lines.where(~F.col("value").rlike(r"^\s*(?:#.*)?$"))
     fields = F.split(F.regexp_replace("value", STATEMENT, "$1\n$2\n$3"), "\n")
@@ -100,26 +102,41 @@ def parse_ntriples(lines: DataFrame, graph: str | None = None) -> DataFrame:
         F.lit(graph).cast("string").alias("g"),
         matched.alias("ok"),
     )
-    return decode_pieces(cut_tokens(parts))
+    return decode_pieces(cut_tokens(parts), bnode_scope)
 
 
-def scan_ntriples(spark: SparkSession, path: str | list[str], graph: str | None = None, **options: str) -> DataFrame:
+def scan_ntriples(
+    spark: SparkSession, path: str | list[str], graph: str | None = None, bnode_scope: str = "file", **options: str
+) -> DataFrame:
     """Parse without dropping anything: valid rows, repeated rows and rejected rows."""
     lines = spark.read.options(**options).text(path).select("value", F.col("_metadata.file_path").alias("file"))
-    return parse_ntriples(lines, graph)
+    return parse_ntriples(lines, graph, bnode_scope)
+
 
+def accepted(parsed: DataFrame, distinct: bool = True, on_reject: str = "error") -> DataFrame:
+    """The triples of a parse. A graph is a set, so repeated statements count once.
 
-def accepted(parsed: DataFrame, distinct: bool = True) -> DataFrame:
-    """The triples of a parse. A graph is a set, so repeated statements count once."""
-    triples = parsed.where("ok").select(*TRIPLE_COLUMNS)
+    ``on_reject="error"``: a rejected statement raises; ``"count"``: it is left out.
+    """
+    if on_reject not in ("error", "count"):
+        raise ValueError(f"on_reject is 'error' or 'count', not {on_reject!r}")
+    refused = F.raise_error(F.lit("a statement can't be read; on_reject='count' leaves such out, load_stats counts them"))
+    ok = F.col("ok") if on_reject == "count" else F.when(F.col("ok"), True).otherwise(refused.cast("boolean"))
+    triples = parsed.where(ok).select(*TRIPLE_COLUMNS)
     return triples.dropDuplicates() if distinct else triples
 
 
 def read_ntriples(
-    spark: SparkSession, path: str | list[str], graph: str | None = None, distinct: bool = True, **options: str
+    spark: SparkSession,
+    path: str | list[str],
+    graph: str | None = None,
+    distinct: bool = True,
+    on_reject: str = "error",
+    bnode_scope: str = "file",
+    **options: str,
 ) -> DataFrame:
-    """N-Triples files -> triples. Lines that do not parse are left out; see `load_stats`.
+    """N-Triples files -> triples; `on_reject` and `bnode_scope` as for `read_turtle`.
 
     `distinct=False` saves the shuffle for input known to hold no repeated statement.
     """
-    return accepted(scan_ntriples(spark, path, graph, **options), distinct)
+    return accepted(scan_ntriples(spark, path, graph, bnode_scope, **options), distinct, on_reject)

@@ -112,7 +112,25 @@ def persist_graph(
 
 def open_graph(spark: SparkSession, path: str) -> DataFrame:
     """A graph written by `persist_graph`; its partition columns stay visible to `pattern`."""
-    return spark.read.parquet(path)
+    columns = _partition_columns(spark, path)
+    if not columns:
+        return spark.createDataFrame([], TRIPLES)
+    fields = ", ".join(f"{c} string" for c in [*TRIPLE_COLUMNS, *columns])
+    return spark.read.schema(fields).parquet(path)
+
+
+def _partition_columns(spark: SparkSession, path: str) -> list[str]:
+    """The partition columns of a store, read from its directories; none if it is empty."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    columns = []
+    while True:
+        inside = [d.getPath() for d in files.listStatus(folder) if d.isDirectory() and "=" in d.getPath().getName()]
+        if not inside:
+            return columns
+        columns.append(inside[0].getName().split("=")[0])
+        # an emptied graph has a directory of its own without predicates
+        folder = next((d for d in inside if any(x.isDirectory() for x in files.listStatus(d))), inside[0])
 
 
 def _graph_dir(spark: SparkSession, path: str, graph: str | None) -> str:
@@ -120,19 +138,20 @@ def _graph_dir(spark: SparkSession, path: str, graph: str | None) -> str:
     return f"{path.rstrip('/')}/g_part={part}"
 
 
-def replace_stored_graph(triples: DataFrame, path: str, graph: str | None, layout: str = "predicate") -> None:
+def replace_stored_graph(triples: DataFrame, path: str, graph: str | None) -> None:
     """Overwrite one graph of a store written with ``by_graph=True``; the others stay.
 
-    `layout` is that of the store.
+    The layout is that of the store.
     """
+    spark = triples.sparkSession
+    layout = "hash" if "p_bucket" in _partition_columns(spark, path) else "predicate"
     moved = triples.withColumn("g", F.lit(graph).cast("string"))
-    _write(moved, _graph_dir(triples.sparkSession, path, graph), "overwrite", False, layout, MAX_DIRECTORIES)
+    _write(moved, _graph_dir(spark, path, graph), "overwrite", False, layout, MAX_DIRECTORIES)
 
 
 def clear_stored_graph(spark: SparkSession, path: str, graph: str | None) -> None:
     """Drop one graph of a store written with ``by_graph=True``; the others stay."""
-    empty = spark.createDataFrame([], TRIPLES).withColumn("p_local", F.lit("p_"))
-    empty.write.mode("overwrite").partitionBy("p_local").parquet(_graph_dir(spark, path, graph))
+    replace_stored_graph(spark.createDataFrame([], TRIPLES), path, graph)
 
 
 def persist_bucketed_graph(triples: DataFrame, table: str, path: str, buckets: int) -> None:

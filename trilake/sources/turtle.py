@@ -4,10 +4,15 @@ Records end with `` .`` and a line feed, so Spark splits a file between statemen
 A record is cut into tokens by one regular expression and then split further on
 separators; linear work in generated code, no UDF.
 
-Supported: ``@prefix`` / ``PREFIX``, ``a``, ``;`` and ``,`` lists, double-quoted
-literals with ``^^`` or ``@``, bare numbers and booleans, comments. Anything else
-(long strings, ``[...]``, ``(...)``, ``@base``, single quotes) is not dropped
-silently: its records come out with ``ok = false``.
+Some files can not be cut like that: those with long strings, with a prefix that is
+bound twice, or with a comment that ends like a statement in the middle of one. They
+are found in the pass that gathers prefixes and are read whole, one task a file, with
+bindings by position; nothing of them is lost.
+
+Supported: ``@prefix`` / ``PREFIX``, ``a``, ``;`` and ``,`` lists, double-quoted and
+long double-quoted literals with ``^^`` or ``@``, bare numbers and booleans, comments.
+Statements with anything else (``[...]``, ``(...)``, ``@base``, single quotes) come out
+with ``ok = false``, and `read_turtle` raises an error unless told to leave them out.
 """
 
 from __future__ import annotations
@@ -18,10 +23,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trilake.operators.joins import lookup_join
+from trilake.session import kept
 from trilake.sources.ntriples import BNODE, IRI, LANG, LITERAL_BODY, accepted, decode_pieces
 from trilake.vocab import RDF_TYPE, XSD_BOOLEAN, XSD_DECIMAL, XSD_DOUBLE, XSD_INTEGER
 
-# A line that binds a prefix. No literal of the profile spans lines, so a line start is safe.
+# A line that binds a prefix. A file with literals that span lines is read another way, so a line start is safe.
 PREFIX_LINE = r"(?m)^[ \t]*(?:@prefix|(?i:PREFIX))[ \t]+([^\s:<]*):[ \t]*<([^<>\s]*)>[ \t]*\.?[ \t]*"
 
 _NAME = r"""(?:[^\s;,"'<>\[\](){}@#\\.]++|\\.|\.(?=[^\s;,"'<>\[\](){}@#.]))++"""
@@ -31,6 +37,20 @@ TOKEN = (
     r"(?:\s|#[^\n]*+)*+"
     rf"({LITERAL_BODY}(?:\^\^(?:{IRI}|{_NAME})|{LANG})?+|{IRI}|[;,.]|{_NAME}|\S|$)"
 )
+# For files read whole: long strings are tokens too.
+_LONG = r'"""(?:[^"\\]++|\\.|"(?!""))*+"""'
+_LONG_SINGLE = r"'''(?:[^'\\]++|\\.|'(?!''))*+'''"
+_SUFFIX = rf"(?:\^\^(?:{IRI}|{_NAME})|{LANG})?+"
+WHOLE_TOKEN = (
+    r"(?s)(?:\s|#[^\n]*+)*+"
+    rf"({_LONG}{_SUFFIX}|{_LONG_SINGLE}|{LITERAL_BODY}{_SUFFIX}|{IRI}|[;,.]|{_NAME}|\S|$)"
+)
+# The last line of a record is, from somewhere on, a comment.
+_IN_COMMENT = rf"^(?:{LITERAL_BODY}|{IRI}|\\.|[^#\"\\])*+#"
+# Strings and comments, to look for long strings outside of them.
+_STRING_OR_COMMENT = rf"{LITERAL_BODY}(?!\")|{IRI}|#[^\n]*+"
+# A prefix directive among tokens one a line.
+_DIRECTIVE = r"@\nprefix\n([^\s:<]*):\n<([^\n]*)>\n\.\n"
 # Tokens one a line: subject, predicate, objects with "," between, more after ";".
 _TERM = r"""(?:[^\n,;.'"\[\](){}@][^\n]*+|\.[^\n]++|"[^\n]++)"""
 _OBJECTS = rf"{_TERM}\n(?:,\n{_TERM}\n)*+"
@@ -51,38 +71,78 @@ def scan_records(spark: SparkSession, path: str | list[str], **options: str) ->
 
 
 def file_facts(records: DataFrame) -> DataFrame:
-    """Rows ``(file, prefixes map, long_strings)``, one per file that has either.
+    """Rows ``(file, prefixes map, hard)``, one per file.
 
-    A long string may hold line ends that look like statement ends, so a file with
-    one is not read at all (its records are rejected) rather than read wrongly.
+    `hard`: the file can not be read record by record. Long strings may hold what looks
+    like a statement end, a comment may cut a statement, and of a prefix bound to two
+    namespaces it depends on the place which one holds.
     """
     value = F.col("value")
-    binds = value.rlike(PREFIX_LINE)
-    long_strings = value.contains('"""') | (
-        value.contains("'''") & F.regexp_replace(value, LITERAL_BODY, "").contains("'''")
+    quotes = value.contains('"""') | value.contains("'''")
+    outside = F.regexp_replace(value, _STRING_OR_COMMENT, "")
+    long_strings = quotes & (outside.contains('"') | outside.contains("'''"))
+    last = F.substring_index(value, "\n", -1)
+    commented = last.contains("#") & last.rlike(_IN_COMMENT)
+    tokens = F.rtrim(F.regexp_replace(F.regexp_replace(value, PREFIX_LINE, ""), TOKEN, "$1\n"), F.lit("\n"))
+    cut = F.when(commented, (tokens != "") & (F.substring_index(tokens, "\n", -1) != ".")).otherwise(F.lit(False))
+    binds = F.when(
+        value.rlike(PREFIX_LINE),
+        F.arrays_zip(
+            F.regexp_extract_all("value", F.lit(PREFIX_LINE), F.lit(1)).alias("prefix"),
+            F.regexp_extract_all("value", F.lit(PREFIX_LINE), F.lit(2)).alias("namespace"),
+        ),
     )
-    found = records.select("file", "value", binds.alias("binds"), long_strings.alias("long")).where("binds OR long")
-    bindings = found.select(
-        "file",
-        "long",
-        F.explode_outer(
-            F.arrays_zip(
-                F.regexp_extract_all("value", F.lit(PREFIX_LINE), F.lit(1)).alias("prefix"),
-                F.regexp_extract_all("value", F.lit(PREFIX_LINE), F.lit(2)).alias("namespace"),
-            )
-        ).alias("b"),
+    found = records.select("file", (long_strings | cut).alias("hard"), F.explode_outer(binds).alias("b"))
+    per_prefix = found.groupBy("file", "b.prefix").agg(
+        F.min("b.namespace").alias("low"), F.max("b.namespace").alias("high"), F.max("hard").alias("hard")
     )
-    # A prefix bound to two namespaces in one file is ambiguous: leave it unbound.
-    per_prefix = bindings.groupBy("file", "b.prefix").agg(
-        F.min("b.namespace").alias("low"), F.max("b.namespace").alias("high"), F.max("long").alias("long")
+    entry = F.when(F.col("prefix").isNotNull(), F.struct("prefix", F.col("low").alias("namespace")))
+    hard = F.max(F.col("hard") | F.coalesce(F.col("low") != F.col("high"), F.lit(False)))
+    return per_prefix.groupBy("file").agg(
+        F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("prefixes"), hard.alias("hard")
     )
-    usable = F.when(
-        F.col("prefix").isNotNull() & (F.col("low") == F.col("high")),
-        F.struct("prefix", F.col("low").alias("namespace")),
+
+
+def _lined(records: DataFrame) -> DataFrame:
+    """`records` with their tokens one a line in place of `value`."""
+    value = F.col("value")
+    bare = F.when(value.contains("prefix") | value.contains("PREFIX"), F.regexp_replace(value, PREFIX_LINE, ""))
+    return records.withColumn("lined", F.regexp_replace(F.coalesce(bare, value), TOKEN, "$1\n")).drop("value")
+
+
+def _lined_whole(files: DataFrame) -> DataFrame:
+    """Rows ``(file, prefixes, lined)``: whole files, cut where a prefix is bound.
+
+    Long strings become short ones. Each part has the bindings of all directives up to
+    its own, the last one of a prefix counting.
+    """
+    inner = lambda t: F.regexp_extract(t, r'(?s)^"""(.*)"""([^"]*)$', 1)
+    quoted = lambda t: F.regexp_replace(inner(t), r'(?s)\G((?:\\.|[^"\\])*+)"', '$1\\\\"')
+
+    def one_line(t: Column) -> Column:
+        short = F.concat(F.lit('"'), quoted(t), F.lit('"'), F.regexp_extract(t, r'(?s)^"""(.*)"""([^"]*)$', 2))
+        held = F.when(t.startswith('"""'), short).otherwise(t)
+        return F.when(t.contains("\n") | t.startswith('"""'), F.replace(F.replace(held, F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r"))).otherwise(held)
+
+    tokens = F.transform(F.regexp_extract_all("value", F.lit(WHOLE_TOKEN), F.lit(1)), one_line)
+    lined = F.concat(F.array_join(tokens, "\n"), F.lit("\n"))
+    # SPARQL directives have no full stop: give them one
+    lined = F.regexp_replace(lined, r"(?m)^(?i:prefix)\n([^\s:<]*:)\n(<[^\n]*>)\n(?!\.\n)", "@\nprefix\n$1\n$2\n.\n")
+    parts = files.select("file", F.split(lined, rf"(?m)(?=^{_DIRECTIVE})").alias("parts"))
+    field = lambda x, n: F.regexp_extract(x, f"^{_DIRECTIVE}", n)
+    bound = F.transform(
+        "parts",
+        lambda x: F.named_struct(
+            F.lit("prefix"), field(x, 1), F.lit("namespace"), field(x, 2), F.lit("binds"), x.rlike(f"^{_DIRECTIVE}")
+        ),
     )
-    return per_prefix.groupBy("file").agg(
-        F.map_from_entries(F.collect_list(usable)).alias("prefixes"), F.max("long").alias("long_strings")
+    placed = parts.select("file", bound.alias("bound"), F.posexplode("parts").alias("at", "part"))
+    known = F.filter(F.slice("bound", F.lit(1), F.col("at") + 1), lambda b: b["binds"])
+    last = F.filter(
+        known, lambda b, i: ~F.exists(F.slice(known, i + 2, F.greatest(F.lit(0), F.size(known) - i - 1)), lambda later: later["prefix"] == b["prefix"])
     )
+    entries = F.transform(last, lambda b: F.named_struct(F.lit("prefix"), b["prefix"], F.lit("namespace"), b["namespace"]))
+    return placed.select("file", F.map_from_entries(entries).alias("prefixes"), F.regexp_replace("part", f"^{_DIRECTIVE}", "").alias("lined"))
 
 
 def _token_rows(records: DataFrame, keep: list[str]) -> DataFrame:
@@ -94,7 +154,6 @@ def _token_rows(records: DataFrame, keep: list[str]) -> DataFrame:
     A statement with a missing or surplus token anywhere is not taken apart: it gives
     one row with ``sound = false``.
     """
-    value = F.col("value")
     feed = F.lit("\n")
 
     def cut(lines: Column, separator: str, marks: str) -> Column:
@@ -107,10 +166,8 @@ def _token_rows(records: DataFrame, keep: list[str]) -> DataFrame:
     def rest(lines: str) -> Column:
         return F.col(lines).substr(F.length(head(lines)) + 2, F.length(lines))
 
-    bare = F.when(value.contains("prefix") | value.contains("PREFIX"), F.regexp_replace(value, PREFIX_LINE, ""))
-    lined = F.regexp_replace(F.coalesce(bare, value), TOKEN, "$1\n")
     statements = (
-        records.select(*keep, F.concat(feed, F.rtrim(lined, feed), feed).alias("lined"))
+        records.select(*keep, F.concat(feed, F.rtrim(F.col("lined"), feed), feed).alias("lined"))
         .select(*keep, F.explode(cut(F.col("lined"), r"(?<=\n)\.\n", ".")).alias("statement"))
         .select(*keep, F.ltrim(F.col("statement"), feed).alias("statement"))
         .where(F.col("statement") != "")
@@ -131,9 +188,9 @@ def _token_rows(records: DataFrame, keep: list[str]) -> DataFrame:
     return objects.select(*keep, "sound", "st", "pt", F.explode(cut(F.col("objects"), r"\n,\n", ",")).alias("ot"))
 
 
-def parse_turtle(records: DataFrame, graph: str | None = None) -> DataFrame:
-    """Records (``value``, ``file``, ``prefixes``, ``long_strings``) -> triple columns + ``ok``."""
-    rows = _token_rows(records, ["file", "prefixes", "long_strings"])
+def parse_turtle(records: DataFrame, graph: str | None = None, bnode_scope: str = "file") -> DataFrame:
+    """Records (``lined``, ``file``, ``prefixes``) -> triple columns + ``ok``."""
+    rows = _token_rows(records, ["file", "prefixes"])
 
     def full(token: Column) -> Column:
         """IRI reference or prefixed name -> absolute IRI; null if it is neither."""
@@ -158,7 +215,6 @@ def parse_turtle(records: DataFrame, graph: str | None = None) -> DataFrame:
         .withColumn("name", resource(name))
         .withColumn("shorthand", F.when(~quoted & ~ot.contains(":"), shorthand))
     )
-    readable = F.col("sound") & ~F.coalesce("long_strings", F.lit(False))
     pieces = named.select(
         resource(F.col("st")).alias("st"),
         F.when(F.col("pt") == "a", RDF_TYPE).otherwise(full(F.col("pt"))).alias("pt"),
@@ -174,9 +230,9 @@ def parse_turtle(records: DataFrame, graph: str | None = None) -> DataFrame:
         F.when(suffix.startswith("@"), suffix.substr(F.lit(2), F.length(suffix))).alias("o_lang"),
         "file",
         F.lit(graph).cast("string").alias("g"),
-        (readable & ~(suffix.startswith("^^") & F.col("name").isNull()).eqNullSafe(True)).alias("ok"),
+        (F.col("sound") & ~(suffix.startswith("^^") & F.col("name").isNull()).eqNullSafe(True)).alias("ok"),
     )
-    return decode_pieces(pieces)
+    return decode_pieces(pieces, bnode_scope)
 
 
 def scan_turtle(
@@ -184,19 +240,41 @@ def scan_turtle(
     path: str | list[str],
     graph: str | None = None,
     prefixes: Mapping[str, str] | None = None,
+    bnode_scope: str = "file",
     **options: str,
 ) -> DataFrame:
     """Parse without dropping anything: valid rows, repeated rows and rejected rows.
 
     Without `prefixes` the files are first scanned for their own bindings (as a
-    schema-inferring source would). With `prefixes` that pass is saved: the given
-    bindings hold for every file, and the caller vouches for the absence of long strings.
+    schema-inferring source would) and for what makes a file hard to cut; that small
+    table is written to the shared folder. The bindings that most files have are a
+    constant of the plan; only other files are looked up. With `prefixes` that pass is
+    saved: the given bindings hold for every file, and the caller vouches that no file is
+    hard to cut.
     """
     records = scan_records(spark, path, **options)
     if prefixes is not None:
         table = F.create_map(*[F.lit(x) for pair in prefixes.items() for x in pair])
-        return parse_turtle(records.withColumns({"prefixes": table, "long_strings": F.lit(False)}), graph)
-    return parse_turtle(lookup_join(records, file_facts(records), ["file"]), graph)
+        return parse_turtle(_lined(records.withColumn("prefixes", table)), graph, bnode_scope)
+    facts = kept(file_facts(records), "turtle-files")
+    entries = F.map_entries("prefixes")
+    usual = facts.where("not hard").groupBy(entries.alias("e")).count().orderBy(F.desc("count"), F.to_json("e")).first()
+    if usual is None:
+        easy = None
+    else:
+        common = F.map_from_entries(F.array(*[F.struct(F.lit(k), F.lit(v)) for k, v in usual.e]).cast("array<struct<key:string,value:string>>"))
+        other = facts.where(F.col("hard") | (F.to_json("prefixes") != F.to_json(common)))
+        joined = lookup_join(records, other.select("file", "hard", F.col("prefixes").alias("own")), ["file"])
+        plain = joined.where(~F.coalesce("hard", F.lit(False))).withColumn("prefixes", F.when(F.col("hard").isNull(), common).otherwise(F.col("own")))
+        easy = parse_turtle(_lined(plain.drop("hard", "own")), graph, bnode_scope)
+    # names of files, as many as the driver lists anyway
+    hard = [r.file for r in facts.where("hard").select("file").collect()]
+    if not hard:
+        return easy if easy is not None else parse_turtle(_lined(records.withColumn("prefixes", F.create_map().cast("map<string,string>"))), graph, bnode_scope)
+    whole = spark.read.options(**options).text(path, wholetext=True)
+    whole = whole.select("value", F.col("_metadata.file_path").alias("file")).where(F.col("file").isin(hard))
+    read = parse_turtle(_lined_whole(whole), graph, bnode_scope)
+    return read if easy is None else easy.unionByName(read)
 
 
 def read_turtle(
@@ -205,7 +283,15 @@ def read_turtle(
     graph: str | None = None,
     prefixes: Mapping[str, str] | None = None,
     distinct: bool = True,
+    on_reject: str = "error",
+    bnode_scope: str = "file",
     **options: str,
 ) -> DataFrame:
-    """Turtle files -> triples. Statements that do not parse are left out; see `load_stats`."""
-    return accepted(scan_turtle(spark, path, graph, prefixes, **options), distinct)
+    """Turtle files -> triples.
+
+    A statement that does not parse raises an error when it is met; with
+    ``on_reject="count"`` it is left out, and `load_stats` tells how many there are.
+    `bnode_scope`: labels of blank nodes hold in one ``file``, or in the whole
+    ``dataset``, as for a directory that one job wrote.
+    """
+    return accepted(scan_turtle(spark, path, graph, prefixes, bnode_scope, **options), distinct, on_reject)
