@@ -11,7 +11,6 @@ import json
 import os
 import time
 
-from trilake.operators.propgraph import to_nodes
 from trilake.plans import driver_tables as dt
 from trilake.plans import ecommerce as ec
 from trilake.plans import registry
@@ -55,6 +54,7 @@ def main() -> None:
     graph = dt.graph(spark, SF_DIR, "rows")
     paths = {kind: scratch_dir(spark, "bench-" + kind) for kind in ("nt", "ttl", "store", "bucketed")}
     seconds: dict[str, float] = {}
+    drain(graph.limit(1_000))  # the first job of a session pays for its start
     seconds["persist_graph"] = once(lambda: store.persist_graph(graph, paths["store"], layout="predicate"))
     stored = store.open_graph(spark, paths["store"])
     seconds["persist_bucketed_graph"] = once(
@@ -72,11 +72,13 @@ def main() -> None:
         "q4": lambda: ec.q4_optional_aggregation(stored),
         "q2_bucketed": lambda: ec.q2_customer_orders(by_subject),
         "q3_bucketed": lambda: ec.q3_join_3_entities(by_subject, COUNTRY),
+        "q4_single_valued": lambda: ec.q4_optional_aggregation(stored, single_valued=ec.ORDER_FACTS),
+        "q2_star": lambda: ec.q2_customer_orders(stored, strategy="star"),
         "q4_bucketed": lambda: ec.q4_optional_aggregation(by_subject),
-        "pg_q1": lambda: ec.pg_q1_count(to_nodes(stored)),
-        "pg_q2": lambda: ec.pg_q2_customer_orders(*ec.pg_view(stored)),
-        "pg_q3": lambda: ec.pg_q3_join_3_entities(*ec.pg_view(stored), COUNTRY[1:]),
-        "pg_q4": lambda: ec.pg_q4_optional_aggregation(*ec.pg_view(stored)),
+        "pg_q1": lambda: ec.pg_q1_count(stored),
+        "pg_q2": lambda: ec.pg_q2_customer_orders(stored),
+        "pg_q3": lambda: ec.pg_q3_join_3_entities(stored, COUNTRY[1:]),
+        "pg_q4": lambda: ec.pg_q4_optional_aggregation(stored),
         "q2_virtual": lambda: registry.QUERIES["q2_customer_orders"](spark, SF_DIR),
         "best_of_runs": lambda: registry.QUERIES["best_of_runs"](spark, SF_DIR),
         "latest_per_key": lambda: registry.QUERIES["latest_per_key"](spark, SF_DIR),

@@ -116,6 +116,27 @@ def term_value(lexical: Column, dtype: str, declared: Column | None = None) -> C
     return value
 
 
+# Which datatypes a typed variable reads: numbers as numbers of any kind, dates, booleans.
+_NUMBER_TYPES = [XSD + n for n in ("integer", "decimal", "double", "float", "long", "int", "short", "byte")] + [
+    XSD + n for n in ("nonNegativeInteger", "positiveInteger", "nonPositiveInteger", "negativeInteger")
+] + [XSD + n for n in ("unsignedLong", "unsignedInt", "unsignedShort", "unsignedByte")]
+_READS = {"date": [XSD_DATE], "timestamp": [XSD + "dateTime"], "boolean": [XSD_BOOLEAN], "string": None}
+
+
+def bound_value(as_type: str) -> Column:
+    """The object of a triple as a value of a Spark type, or as a whole ``term``.
+
+    Only literals of a datatype that fits have a value: text that looks like a number is
+    none. A term is a struct of value, kind, dtype and lang, and terms with the same text
+    stay apart.
+    """
+    if as_type == "term":
+        return F.struct(F.col("o").alias("value"), F.col("o_kind").alias("kind"), F.col("o_dtype").alias("dtype"), F.col("o_lang").alias("lang"))
+    value = term_value(F.col("o"), as_type)
+    reads = _READS.get(as_type, _NUMBER_TYPES)
+    return value if reads is None else F.when(F.col("o_dtype").isin(*reads), value)
+
+
 # ---------------------------------------------------------------- escapes
 
 

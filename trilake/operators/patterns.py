@@ -25,7 +25,8 @@ from trilake.vocab import PREFIXES
 
 @dataclass(frozen=True)
 class V:
-    """A variable. With `as_type` its column holds the typed value (null if malformed)."""
+    """A variable. With `as_type` its column holds the typed value, null if the term is
+    malformed or of another datatype; ``term`` keeps value, kind, datatype and language."""
 
     name: str
     as_type: str | None = None
@@ -112,8 +113,9 @@ def _scan(
     for place, column in ((s, "s"), (p, "p"), (o, "o")):
         if isinstance(place, V) and columns.get(place.name) is not None:
             value = columns.pop(place.name)
-            typed = terms.term_value(value, place.as_type) if place.as_type else value
-            shown.append(typed.alias(place.name))
+            if place.as_type:
+                value = terms.bound_value(place.as_type) if column == "o" else terms.term_value(value, place.as_type)
+            shown.append(value.alias(place.name))
             if place.name in tracked:
                 shown.append((_term_identity() if column == "o" else F.lit("")).alias(_TERM + place.name))
     return rows.select(*shown)
@@ -172,7 +174,7 @@ def _star(
         if o.name in resources:
             here = here & (F.col("o_kind") != "literal")
         wanted.append(F.max(F.when(here, 1)).alias(f"_c{i}"))
-        value = terms.term_value(F.col("o"), o.as_type) if o.as_type else F.col("o")
+        value = terms.bound_value(o.as_type) if o.as_type else F.col("o")
         wanted.append(F.max(F.when(here, value)).alias(f"_v{i}"))
         shown.append(F.col(f"_v{i}").alias(o.name))
         if o.name in tracked:

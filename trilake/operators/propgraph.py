@@ -46,6 +46,39 @@ def _facts(triples: DataFrame, edges_as_props: Sequence[str], keys: Collection[s
     return triples.select(F.inline(F.when(linked, F.array(about_subject, about_object)).otherwise(F.array(about_subject))))
 
 
+def labelled(triples: DataFrame, label: str) -> DataFrame:
+    """Rows ``(uri)``: nodes that carry `label`; reads type statements only."""
+    typed = triples.where(local_name_filter(triples, [TYPE_NAME])).where(F.col("p") == RDF_TYPE)
+    return typed.where(local_name(F.col("o")) == label).select(F.col("s").alias("uri")).distinct()
+
+
+def property_values(triples: DataFrame, key: str, edges_as_props: Collection[str] = ()) -> DataFrame:
+    """Rows ``(uri, value)``: the nodes on which property `key` is set, with its greatest
+    value; reads the statements of that key only. See `to_nodes` for `edges_as_props`."""
+    literal = F.col("o_kind") == "literal"
+    wanted = literal | (F.col("p") != RDF_TYPE) if key in edges_as_props else literal
+    value = F.when(literal, F.col("o")).otherwise(local_name(F.col("o")))
+    found = triples.where(local_name_filter(triples, [key])).where(wanted)
+    return found.groupBy(F.col("s").alias("uri")).agg(F.max(value).alias("value"))
+
+
+def count_nodes(triples: DataFrame) -> DataFrame:
+    """One row ``count``: resources that are not just a class, without gathering their properties."""
+    linked = (F.col("o_kind") != "literal") & (F.col("p") != RDF_TYPE)
+    ends = F.when(linked, F.array("s", "o")).otherwise(F.array("s"))
+    return triples.select(F.explode(ends).alias("uri")).distinct().agg(F.count(F.lit(1)).alias("count"))
+
+
+def schema_of(triples: DataFrame) -> DataFrame:
+    """Rows ``(kind, names array)``: every label, property key and relationship type in
+    use, from one pass over the triples; names are combined before their shuffle."""
+    is_type, literal = F.col("p") == RDF_TYPE, F.col("o_kind") == "literal"
+    kind = F.when(literal, "property").when(is_type, "label").otherwise("relationship")
+    name = F.when(is_type & ~literal, local_name(F.col("o"))).otherwise(local_name(F.col("p")))
+    names = triples.select(kind.alias("kind"), name.alias("name")).distinct()
+    return names.groupBy("kind").agg(F.array_sort(F.collect_set("name")).alias("names"))
+
+
 def overwrite_multival(triples: DataFrame) -> DataFrame:
     """Rows ``(uri, key, value)``: one value per node and literal property, the greatest."""
     literals = triples.where(F.col("o_kind") == "literal")

@@ -176,72 +176,68 @@ def orders_of_country(graph: DataFrame, country: str = COUNTRY) -> DataFrame:
 # ---------------------------------------------------------------- property graph
 
 
-def pg_q1_count(nodes: DataFrame) -> DataFrame:
+# Country and segment are IRIs in the graph; the queries read them as properties too.
+AS_PROPS = ("country", "segment")
+
+
+def pg_q1_count(graph: DataFrame) -> DataFrame:
     """The number of all nodes, not triples."""
-    return pg.node_count(nodes)
+    return pg.count_nodes(graph)
 
 
-def _amounts(nodes: DataFrame, as_type: str = MONEY) -> DataFrame:
-    return pg.has_props(nodes, "totalAmount").select(
-        F.col("uri").alias("src"), pg.prop("totalAmount", as_type).alias("amount")
-    )
+def _prop(graph: DataFrame, key: str, uri: str, value: str, as_type: str | None = None) -> DataFrame:
+    """Nodes with property `key`, under the names `uri` and `value`."""
+    found = pg.property_values(graph, key, AS_PROPS)
+    shown = F.col("value").try_cast(as_type) if as_type else F.col("value")
+    return found.select(F.col("uri").alias(uri), shown.alias(value))
 
 
-def pg_q2_customer_orders(nodes: DataFrame, edges: DataFrame, limit: int = 20) -> DataFrame:
-    placed = edges.where(F.col("type") == "placedBy").select("src", "dst")
-    spend = (
-        placed.join(_amounts(nodes), "src")
-        .groupBy("dst")
-        .agg(F.count("src").alias("n"), exact_sum(F.col("amount")).alias("spend"))
-    )
-    names = pg.has_props(nodes, "label").select(F.col("uri").alias("dst"), pg.prop("label").alias("customer_name"))
+def _placed(graph: DataFrame) -> DataFrame:
+    return pg.to_edges(graph, ["placedBy"]).select(F.col("src").alias("order"), F.col("dst").alias("customer"))
+
+
+def pg_q2_customer_orders(graph: DataFrame, limit: int = 20) -> DataFrame:
+    orders = _placed(graph).join(_prop(graph, "totalAmount", "order", "amount", MONEY), "order")
     grouped = (
-        spend.join(names, "dst")
+        _order_totals(orders)
+        .join(_prop(graph, "label", "customer", "customer_name"), "customer")
         .groupBy("customer_name")
         .agg(F.sum("n").alias("order_count"), sum_of_sums(F.col("spend")).alias("total_spend"))
     )
     return grouped.orderBy(F.desc_nulls_last("total_spend"), "customer_name", "order_count").limit(limit)
 
 
-def pg_q3_join_3_entities(
-    nodes: DataFrame, edges: DataFrame, country: str = "Norway", limit: int = 50
-) -> DataFrame:
-    """Two edge patterns that share the order node."""
-    customers = pg.prop_equals(pg.has_props(nodes, "label"), "country", country).select(
-        F.col("uri").alias("customer"), pg.prop("label").alias("customer_name")
-    )
-    orders = pg.has_props(nodes, "totalAmount", "orderStatus").select(
-        F.col("uri").alias("order"),
-        pg.prop("totalAmount", "double").alias("amount"),
-        pg.prop("orderStatus").alias("status"),
-    )
-    products = pg.has_props(nodes, "label").select(
-        F.col("uri").alias("product"), pg.prop("label").alias("product_name")
-    )
-    placed = edges.where(F.col("type") == "placedBy").select(F.col("src").alias("order"), F.col("dst").alias("customer"))
-    contains = edges.where(F.col("type") == "contains").select(F.col("src").alias("order"), F.col("dst").alias("product"))
+def pg_q3_join_3_entities(graph: DataFrame, country: str = "Norway", limit: int = 50) -> DataFrame:
+    """Two edge patterns that share the order node; the country comes first."""
+    of_country = _prop(graph, "country", "customer", "country").where(F.col("country") == country).select("customer")
+    customers = of_country.join(_prop(graph, "label", "customer", "customer_name"), "customer")
+    amounts = _prop(graph, "totalAmount", "order", "amount", "double")
+    states = _prop(graph, "orderStatus", "order", "status")
+    products = _prop(graph, "label", "product", "product_name")
+    placed = _placed(graph)
+    contains = pg.to_edges(graph, ["contains"]).select(F.col("src").alias("order"), F.col("dst").alias("product"))
     hot = hot_values([(placed, "customer"), (contains, "order"), (contains, "product")])
-    of_country = hot_join(placed, customers, ["customer"], hot[0])
-    with_items = hot_join(contains, of_country.join(orders, "order"), ["order"], hot[1])
-    named = hot_join(with_items, products, ["product"], hot[2])
+    orders = hot_join(placed, customers, ["customer"], hot[0]).join(amounts, "order").join(states, "order")
+    named = hot_join(hot_join(contains, orders, ["order"], hot[1]), products, ["product"], hot[2])
     rows = named.select("customer_name", "product_name", "amount", "status")
     return rows.orderBy(F.desc_nulls_last("amount"), "customer_name", "product_name", "status").limit(limit)
 
 
-def pg_q4_optional_aggregation(nodes: DataFrame, edges: DataFrame, empty_sum: str = "zero") -> DataFrame:
+def pg_q4_optional_aggregation(graph: DataFrame, empty_sum: str = "zero") -> DataFrame:
     """Here, unlike in q4, a group without orders has revenue 0, unless told otherwise."""
-    members = pg.has_props(pg.label_scan(nodes, "Customer"), "country", "segment").select(
-        F.col("uri").alias("dst"), pg.prop("country").alias("country"), pg.prop("segment").alias("segment")
+    members = (
+        pg.labelled(graph, "Customer")
+        .withColumnRenamed("uri", "customer")
+        .join(_prop(graph, "country", "customer", "country"), "customer")
+        .join(_prop(graph, "segment", "customer", "segment"), "customer")
     )
-    # The condition on the order belongs to the optional side, before the left join.
-    placed = edges.where(F.col("type") == "placedBy").select("src", "dst").join(_amounts(nodes), "src")
     # An edge set: a customer and an order meet once, and an order has one customer.
-    totals = placed.groupBy("dst").agg(F.count("src").alias("n"), exact_sum(F.col("amount")).alias("spend"))
+    orders = _placed(graph).join(_prop(graph, "totalAmount", "order", "amount", MONEY), "order")
     grouped = (
-        members.join(totals, "dst", "left")
+        members.join(_order_totals(orders), "customer", "left")
         .groupBy("country", "segment")
         .agg(
-            F.count("dst").alias("customers"),
+            F.count("customer").alias("customers"),
             F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("orders"),
             _total(sum_of_sums(F.col("spend")), empty_sum).alias("revenue"),
         )
@@ -250,10 +246,6 @@ def pg_q4_optional_aggregation(nodes: DataFrame, edges: DataFrame, empty_sum: st
 
 
 def pg_view(graph: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of the benchmark graph with what its queries look at.
-
-    Country and segment are IRIs in the graph; they are shown as properties too, as
-    the queries read them.
-    """
-    keys = ["label", "totalAmount", "orderStatus", "country", "segment"]
-    return pg.to_nodes(graph, ["country", "segment"], keys), pg.to_edges(graph, ["placedBy", "contains"])
+    """Nodes and edges of the benchmark graph with what its queries look at."""
+    keys = ["label", "totalAmount", "orderStatus", *AS_PROPS]
+    return pg.to_nodes(graph, AS_PROPS, keys), pg.to_edges(graph, ["placedBy", "contains"])

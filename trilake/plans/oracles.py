@@ -278,9 +278,10 @@ _ROUNDED = ", ".join(f"round(o_totalprice / CAST(7 AS DOUBLE), {n}) AS round_{n}
 _JSON_URI = """'{{"type":"uri","value":"' || {0} || '"}}'"""
 _JSON = f"""
 SELECT '{{"order":' || {_JSON_URI.format(ORD.format('o_orderkey'))} || ',"customer":' || {_JSON_URI.format(C.format('o_custkey'))}
+       || ',"name":{{"type":"literal","value":"' || c_name || '"}},"amount":{{"type":"literal","value":"' || {MONEY.format('o_totalprice')} || '","datatype":"{XSD}double"}}'
        || CASE WHEN quantity IS NULL THEN ''
           ELSE ',"quantity":{{"type":"literal","value":"' || quantity || '","datatype":"{XSD}integer"}}' END || '}}' AS value
-FROM orders LEFT JOIN {QUANTITIES} ON l_orderkey = o_orderkey
+FROM orders JOIN customer ON c_custkey = o_custkey LEFT JOIN {QUANTITIES} ON l_orderkey = o_orderkey
 """
 _LOCAL = """
 SELECT 'type' AS predicate, 'Customer' AS object, count(*) AS triples FROM customer

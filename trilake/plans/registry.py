@@ -303,13 +303,18 @@ def replace_graph(spark, sf_dir):
 
 @query
 def bindings_json(spark, sf_dir):
-    """Orders with their customer, and the quantity where there is one."""
+    """Orders with their customer, its name, the amount as stored, and the quantity where there is one."""
     rows = bgp(
-        dt.graph(spark, sf_dir),
-        [(V("order"), ":placedBy", V("customer"))],
+        money_text(dt.graph(spark, sf_dir)),
+        [
+            (V("order"), ":placedBy", V("customer")),
+            (V("order"), ":totalAmount", V("amount", "term")),
+            (V("customer"), "rdfs:label", V("name", "term")),
+        ],
         optionals=[[(V("order"), ":quantity", V("quantity", "bigint"))]],
     )
-    return result_sinks.to_sparql_json(rows.select("order", "customer", "quantity"), uris=["order", "customer"])
+    shown = rows.select("order", "customer", "name", "amount", "quantity")
+    return result_sinks.to_sparql_json(shown, uris=["order", "customer"])
 
 
 @query
@@ -488,7 +493,7 @@ def optional_filtered(spark, sf_dir):
 
 @query
 def q1_count(spark, sf_dir):
-    return ec.q1_count(dt.graph(spark, sf_dir))
+    return ec.q1_count(dt.graph(spark, sf_dir, "rows"))
 
 
 @query
@@ -514,7 +519,8 @@ def q4_single_valued(spark, sf_dir):
 
 @query
 def group_by_label(spark, sf_dir):
-    """Orders and amount per product label; products with equal labels are one group.
+    """Orders and amount per product label; products with equal labels are one group,
+    labels with the same text but another language or datatype are not equal.
 
     Summed per product first, so that one row per product is joined with its label.
     """
@@ -523,12 +529,13 @@ def group_by_label(spark, sf_dir):
         graph, [(V("order"), ":totalAmount", V("amount", ec.MONEY)), (V("order"), ":contains", V("product"))]
     )
     per_product = items.groupBy("product").agg(F.count("order").alias("n"), ec.exact_sum(F.col("amount")).alias("amount"))
-    labels = pattern(graph, V("product"), "rdfs:label", V("product_name"))
-    return (
+    labels = pattern(graph, V("product"), "rdfs:label", V("product_name", "term"))
+    grouped = (
         per_product.join(labels, "product")
         .groupBy("product_name")
         .agg(F.sum("n").alias("order_count"), ec.sum_of_sums(F.col("amount")).alias("total_amount"))
     )
+    return grouped.withColumn("product_name", F.col("product_name.value"))
 
 
 # ---------------------------------------------------------------- named graphs, sets
@@ -536,7 +543,7 @@ def group_by_label(spark, sf_dir):
 
 @query
 def graph_sizes(spark, sf_dir):
-    return graphs.graph_sizes(dt.named_graphs(spark, sf_dir))
+    return graphs.graph_sizes(dt.named_graphs(spark, sf_dir, "rows"))
 
 
 @query
@@ -567,19 +574,15 @@ def validate_counts_(spark, sf_dir):
         .unionByName(expected("part", dt.PARTS_GRAPH, 6.25))
         .unionByName(expected("orders", None, 5))
     )
-    return validate_counts(dt.named_graphs(spark, sf_dir), wanted)
+    return validate_counts(dt.named_graphs(spark, sf_dir, "rows"), wanted)
 
 
 # ---------------------------------------------------------------- property graph
 
 
-def _nodes(spark, sf_dir, keys=None):
-    return pg.to_nodes(dt.graph(spark, sf_dir), ["country", "segment"], keys)
-
-
 @query
 def pg_nodes(spark, sf_dir):
-    nodes = pg.to_nodes(money_text(dt.graph(spark, sf_dir)))
+    nodes = pg.to_nodes(money_text(dt.graph(spark, sf_dir, "rows")))
     pairs = F.transform(F.array_sort(F.map_entries("props")), lambda e: F.concat_ws("=", e["key"], e["value"]))
     return nodes.select("uri", F.array_join("labels", ",").alias("labels"), F.array_join(pairs, "|").alias("props"))
 
@@ -591,31 +594,37 @@ def pg_edges(spark, sf_dir):
 
 @query
 def pg_node_count(spark, sf_dir):
-    return ec.pg_q1_count(pg.to_nodes(dt.graph(spark, sf_dir)))
+    return ec.pg_q1_count(dt.graph(spark, sf_dir, "rows"))
 
 
 @query
 def pg_label_scan(spark, sf_dir):
-    return pg.label_scan(_nodes(spark, sf_dir, []), "Customer").select("uri")
+    return pg.labelled(dt.graph(spark, sf_dir), "Customer")
 
 
 @query
 def pg_filter_not_null(spark, sf_dir):
     """Orders with an amount and a quantity: an order without lines has no quantity."""
-    return pg.has_props(_nodes(spark, sf_dir, ["totalAmount", "quantity"]), "totalAmount", "quantity").select("uri")
+    graph = dt.graph(spark, sf_dir)
+    return pg.property_values(graph, "totalAmount").join(pg.property_values(graph, "quantity"), "uri", "left_semi").select("uri")
 
 
 @query
 def pg_filter_equals(spark, sf_dir):
-    return pg.prop_equals(_nodes(spark, sf_dir, ["country"]), "country", "NATION_4").select("uri")
+    countries = pg.property_values(dt.graph(spark, sf_dir), "country", ec.AS_PROPS)
+    return countries.where(F.col("value") == "NATION_4").select("uri")
 
 
 @query
 def pg_expand(spark, sf_dir):
-    nodes, edges = ec.pg_view(dt.graph(spark, sf_dir))
-    orders = pg.label_scan(nodes, "Order").select(F.col("uri").alias("src"), pg.prop("orderStatus").alias("status"))
-    customers = pg.label_scan(nodes, "Customer").select(F.col("uri").alias("dst"), pg.prop("label").alias("customer_name"))
-    return pg.expand(edges, "placedBy", orders, customers).select(
+    graph = dt.graph(spark, sf_dir)
+
+    def ends(label: str, key: str, uri: str, value: str):
+        values = pg.property_values(graph, key).select(F.col("uri"), F.col("value").alias(value))
+        return pg.labelled(graph, label).join(values, "uri", "left").withColumnRenamed("uri", uri)
+
+    orders, customers = ends("Order", "orderStatus", "src", "status"), ends("Customer", "label", "dst", "customer_name")
+    return pg.expand(pg.to_edges(graph, ["placedBy"]), "placedBy", orders, customers).select(
         F.col("src").alias("order"), F.col("dst").alias("customer"), "status", "customer_name"
     )
 
@@ -633,8 +642,7 @@ def pg_overwrite_multival(spark, sf_dir):
 
 @query
 def pg_schema(spark, sf_dir):
-    graph = dt.graph(spark, sf_dir)
-    lists = pg.schema_lists(pg.to_nodes(graph), pg.to_edges(graph))
+    lists = pg.schema_of(dt.graph(spark, sf_dir, "rows"))
     return lists.select("kind", F.array_join("names", ",").alias("names"))
 
 
@@ -656,17 +664,17 @@ def pg_unique_uri_violations(spark, sf_dir):
 
 @query
 def pg_q2_customer_orders(spark, sf_dir):
-    return ec.pg_q2_customer_orders(*ec.pg_view(dt.graph(spark, sf_dir)))
+    return ec.pg_q2_customer_orders(dt.graph(spark, sf_dir))
 
 
 @query
 def pg_q3_join_3_entities(spark, sf_dir):
-    return ec.pg_q3_join_3_entities(*ec.pg_view(dt.graph(spark, sf_dir)), "NATION_4")
+    return ec.pg_q3_join_3_entities(dt.graph(spark, sf_dir), "NATION_4")
 
 
 @query
 def pg_q4_optional_aggregation(spark, sf_dir):
-    return ec.pg_q4_optional_aggregation(*ec.pg_view(dt.graph(spark, sf_dir)))
+    return ec.pg_q4_optional_aggregation(dt.graph(spark, sf_dir))
 
 
 # ---------------------------------------------------------------- measurement log

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trilake.vocab import MEASUREMENTS, XSD_BOOLEAN, XSD_DATE, XSD_DECIMAL, XSD_DOUBLE, XSD_INTEGER
+from trilake.vocab import MEASUREMENTS, XSD, XSD_BOOLEAN, XSD_DATE, XSD_DECIMAL, XSD_DOUBLE, XSD_INTEGER
 
 # Spark type -> datatype of the term shown in a result row.
 _DATATYPES = {
@@ -16,17 +16,28 @@ _DATATYPES = {
     "double": XSD_DOUBLE,
     "date": XSD_DATE,
     "boolean": XSD_BOOLEAN,
+    "float": XSD + "float",
+    "smallint": XSD_INTEGER,
+    "tinyint": XSD_INTEGER,
+    "timestamp": XSD + "dateTime",
+    "timestamp_ntz": XSD + "dateTime",
 }
 
 
 def to_sparql_json(bindings: DataFrame, uris: Sequence[str] = ()) -> DataFrame:
     """Rows of bindings as ``application/sparql-results+json`` binding objects.
 
-    Columns in `uris` hold IRIs (or blank node labels); all others are literals. An
+    Columns in `uris` hold IRIs (or blank node labels); columns of variables bound as
+    ``term`` show kind, datatype and language as stored; all others are literals. An
     unbound variable (null) is left out of its row.
     """
 
     def term(name: str, dtype: str) -> Column:
+        if dtype.startswith("struct"):
+            part = F.col(name)
+            kind = F.when(part["kind"] == "iri", "uri").otherwise(part["kind"])
+            lang, datatype = part["lang"].alias("xml:lang"), part["dtype"].alias("datatype")
+            return F.when(part.isNotNull(), F.struct(kind.alias("type"), part["value"].alias("value"), datatype, lang)).alias(name)
         value = F.col(name).cast("string")
         if name in uris:
             kind = F.when(F.col(name).startswith("_:"), "bnode").otherwise("uri")
@@ -34,7 +45,7 @@ def to_sparql_json(bindings: DataFrame, uris: Sequence[str] = ()) -> DataFrame:
         elif dtype == "string":
             shown = F.struct(F.lit("literal").alias("type"), value.alias("value"))
         else:
-            iri = XSD_DECIMAL if dtype.startswith("decimal") else _DATATYPES[dtype]
+            iri = XSD_DECIMAL if dtype.startswith("decimal") else _DATATYPES.get(dtype)
             shown = F.struct(F.lit("literal").alias("type"), value.alias("value"), F.lit(iri).alias("datatype"))
         return F.when(F.col(name).isNotNull(), shown).alias(name)
 
