@@ -19,6 +19,14 @@ def test_sizes_domains_and_determinism(spark):
     assert products.where("unit_price BETWEEN 29.99 AND 2999.99 AND stock_level BETWEEN 0 AND 500").count() == 200
 
 
+def test_hash_reaches_large_domains(spark):
+    from trilake.functions.values import seeded_hash
+
+    ids = spark.range(100_000).select("id", seeded_hash(F.col("id"), 21).alias("h"), seeded_hash(F.col("id") + 2147483647, 21).alias("far"))
+    low, high, equal = ids.agg(F.min("h"), F.max(F.col("h") % 1_000_000_000), F.count_if(F.col("h") == F.col("far"))).first()
+    assert low >= 0 and high > 990_000_000 and equal < 5
+
+
 def test_benchmark_queries_on_the_generated_graph(spark):
     graph = entity_graph(*generate_entities(spark, 200, 50, 2_000), "branches")
     assert ec.q2_customer_orders(graph).count() == 20

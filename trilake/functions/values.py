@@ -11,14 +11,22 @@ from trilake.vocab import SENTINELS
 
 
 def seeded_hash(number: Column, salt: int, seed: int = 42) -> Column:
-    """A non-negative integer from `(number, salt, seed)` in plain 64-bit arithmetic.
+    """A non-negative integer below 2^62 from `(number, salt, seed)` in plain 64-bit arithmetic.
 
-    Only ``+ * % div`` on integers, so that SQL elsewhere gives the same values.
+    Two remainders side by side; the high one also takes in how often the modulus fits
+    into the number, so numbers that the low one can not tell apart differ there. Only
+    ``+ - * %`` and exact division on integers, so that SQL elsewhere gives the same values.
     """
     modulus = F.lit(2147483647)
-    mixed = (number * F.lit(48271) + F.lit(salt * 40503 + seed)) % modulus
-    spread = (mixed * F.lit(69621 + 2 * salt)) % modulus
-    return F.floor(spread / F.lit(7)).cast("bigint")
+    low_part = number % modulus
+    turns = ((number - low_part) / modulus).cast("bigint")
+
+    def spread(part: Column, step: int, first: int, second: int) -> Column:
+        mixed = (part * F.lit(first) + F.lit(salt * 40503 + seed + step)) % modulus
+        return (mixed * F.lit(second + 2 * salt)) % modulus
+
+    high = spread((low_part + turns * F.lit(65537)) % modulus, 7919, 742938285, 950706376)
+    return high * modulus + spread(low_part, 0, 48271, 69621)
 
 
 def pick(choices: Sequence[str], hashed: Column) -> Column:

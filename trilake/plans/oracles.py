@@ -116,8 +116,13 @@ FROM t GROUP BY subject
 
 
 def _hash(salt: int, seed: int = 42) -> str:
-    mixed = f"(id * 48271 + {salt * 40503 + seed}) % 2147483647"
-    return f"((({mixed}) * {69621 + 2 * salt}) % 2147483647) // 7"
+    m = 2147483647
+
+    def spread(part: str, step: int, first: int, second: int) -> str:
+        return f"(((({part}) * {first} + {salt * 40503 + seed + step}) % {m}) * {second + 2 * salt}) % {m}"
+
+    high = spread(f"(id % {m} + (id // {m}) * 65537) % {m}", 7919, 742938285, 950706376)
+    return f"(({high}) * {m} + ({spread(f'id % {m}', 0, 48271, 69621)}))"
 
 
 def _pick(choices: list[str], salt: int) -> str:
