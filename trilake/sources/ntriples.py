@@ -131,12 +131,14 @@ def read_ntriples(
     path: str | list[str],
     graph: str | None = None,
     distinct: bool = True,
-    on_reject: str = "error",
+    on_reject: str = "count",
     bnode_scope: str = "file",
     **options: str,
 ) -> DataFrame:
     """N-Triples files -> triples; `on_reject` and `bnode_scope` as for `read_turtle`.
 
+    A bad line can not take others with it, so by default it is left out; see `load_stats`.
+
     `distinct=False` saves the shuffle for input known to hold no repeated statement.
     """
     return accepted(scan_ntriples(spark, path, graph, bnode_scope, **options), distinct, on_reject)
