@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trilake.operators.joins import lookup_join
@@ -92,7 +92,9 @@ def file_facts(records: DataFrame) -> DataFrame:
             F.regexp_extract_all("value", F.lit(PREFIX_LINE), F.lit(2)).alias("namespace"),
         ),
     )
-    found = records.select("file", (long_strings | cut).alias("hard"), F.explode_outer(binds).alias("b"))
+    # Inlined as a one-row array: the flag is then computed once a record, not once a binding.
+    flags = F.struct("file", (long_strings | cut).alias("hard"), binds.alias("binds"))
+    found = records.select(F.inline(F.array(flags))).select("file", "hard", F.explode_outer("binds").alias("b"))
     per_prefix = found.groupBy("file", "b.prefix").agg(
         F.min("b.namespace").alias("low"), F.max("b.namespace").alias("high"), F.max("hard").alias("hard")
     )
@@ -128,21 +130,23 @@ def _lined_whole(files: DataFrame) -> DataFrame:
     lined = F.concat(F.array_join(tokens, "\n"), F.lit("\n"))
     # SPARQL directives have no full stop: give them one
     lined = F.regexp_replace(lined, r"(?m)^(?i:prefix)\n([^\s:<]*:)\n(<[^\n]*>)\n(?!\.\n)", "@\nprefix\n$1\n$2\n.\n")
-    parts = files.select("file", F.split(lined, rf"(?m)(?=^{_DIRECTIVE})").alias("parts"))
-    field = lambda x, n: F.regexp_extract(x, f"^{_DIRECTIVE}", n)
-    bound = F.transform(
-        "parts",
-        lambda x: F.named_struct(
-            F.lit("prefix"), field(x, 1), F.lit("namespace"), field(x, 2), F.lit("binds"), x.rlike(f"^{_DIRECTIVE}")
-        ),
+    parts = files.select("file", F.posexplode(F.split(lined, rf"(?m)(?=^{_DIRECTIVE})")).alias("at", "part"))
+    parts = kept(parts, "turtle-parts")
+    directive = f"^{_DIRECTIVE}"
+    bound = parts.where(F.col("part").rlike(directive)).select(
+        "file", "at", F.regexp_extract("part", directive, 1).alias("prefix"), F.regexp_extract("part", directive, 2).alias("namespace")
+    )
+    # each part with each prefix of its file, and what that was bound to last
+    named = parts.select("file", "at").join(bound.select("file", "prefix").distinct(), "file")
+    so_far = Window.partitionBy("file", "prefix").orderBy("at")
+    last = named.join(bound, ["file", "at", "prefix"], "left").withColumn("namespace", F.last("namespace", True).over(so_far))
+    maps = last.where("namespace is not null").groupBy("file", "at").agg(
+        F.map_from_entries(F.collect_list(F.struct("prefix", "namespace"))).alias("prefixes")
     )
-    placed = parts.select("file", bound.alias("bound"), F.posexplode("parts").alias("at", "part"))
-    known = F.filter(F.slice("bound", F.lit(1), F.col("at") + 1), lambda b: b["binds"])
-    last = F.filter(
-        known, lambda b, i: ~F.exists(F.slice(known, i + 2, F.greatest(F.lit(0), F.size(known) - i - 1)), lambda later: later["prefix"] == b["prefix"])
+    none = F.create_map().cast("map<string,string>")
+    return parts.join(maps, ["file", "at"], "left").select(
+        "file", F.coalesce("prefixes", none).alias("prefixes"), F.regexp_replace("part", directive, "").alias("lined")
     )
-    entries = F.transform(last, lambda b: F.named_struct(F.lit("prefix"), b["prefix"], F.lit("namespace"), b["namespace"]))
-    return placed.select("file", F.map_from_entries(entries).alias("prefixes"), F.regexp_replace("part", f"^{_DIRECTIVE}", "").alias("lined"))
 
 
 def _token_rows(records: DataFrame, keep: list[str]) -> DataFrame:
