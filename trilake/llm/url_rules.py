@@ -99,8 +99,12 @@ def judge(pages: DataFrame, labels: DataFrame, rules=RULES, **limits: float) ->
     bad = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").alias("page_id")).agg((F.min("quality") == 0).alias("bad"))
     addresses = pages.select("page_id", "url")
     mined = mine_rules(addresses.join(bad, "page_id").select("url", "bad"), **limits)
-    found = matches(addresses.where("url is not null").select("url", tokens(F.col("url")).alias("tokens")), mined.select("key", F.col("tokens").alias("rule"), "confidence"))
-    found = found.groupBy("url").agg(F.max("confidence").alias("confidence"), F.size(F.collect_set("rule")).cast("long").alias("n_matched"))
+    # each address once, as one may stand on a third of all pages; both inputs of the join
+    # to the pages are tables, so adaptive execution can split such an address
+    urls = addresses.where("url is not null").select("url").distinct().select("url", tokens(F.col("url")).alias("tokens"))
+    found = matches(urls, mined.select("key", F.col("tokens").alias("rule"), "confidence"))
+    found = found.groupBy("url").agg(F.max("confidence").alias("confidence"), F.countDistinct("rule").alias("n_matched"))
+    found = stored(found, "url-matches")
     host, path = host_and_path(F.col("url"))
     judged = addresses.join(found, "url", "left").withColumn("host", host).withColumn("path", path)
     rule, verdict = fixed_rule(F.col("host"), F.col("path"), rules)
