@@ -1,4 +1,3 @@
-import pytest
 from conftest import as_set
 
 from trilake.operators import graphs
@@ -41,10 +40,10 @@ def test_store_prunes_by_predicate(spark, tmp_path, graph_of):
     assert [tuple(r) for r in star.collect()] == [(NS + "a", NS + "x", 1)]
 
 
-def test_store_with_many_predicates_uses_buckets(spark, tmp_path, graph_of):
+def test_store_with_hash_directories(spark, tmp_path, graph_of):
     path = str(tmp_path / "store")
     rows = [(":s", f":p{i}", ":o") for i in range(20)]
-    store.persist_graph(graph_of(rows), path, max_directories=10)
+    store.persist_graph(graph_of(rows), path, layout="hash")
     opened = store.open_graph(spark, path)
     assert "p_bucket" in opened.columns and opened.count() == 20
     scan = pattern(opened, V("s"), ":p7", V("o"))
@@ -76,23 +75,3 @@ def test_scratch_dir_uses_the_shared_folder(spark):
     base = spark.conf.get("spark.checkpoint.dir", None)
     first, second = scratch_dir(spark, "x"), scratch_dir(spark, "x")
     assert first != second and (not base or first.startswith(base))
-
-
-def test_bucketed_star_joins_do_not_shuffle(spark, tmp_path, graph_of, monkeypatch):
-    rows = [(f":o{i}", p, f":x{i % 5}") for i in range(50) for p in (":p", ":q", ":r")]
-    path = str(tmp_path / "bucketed")
-    store.persist_bucketed_graph(graph_of(rows), "bucketed_graph", path, 4)
-    star = [(V("o"), ":p", V("a")), (V("o"), ":q", V("b")), (V("o"), ":r", V("c"))]
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        for _ in range(2):  # as written, then registered anew from its files
-            opened = store.open_bucketed_graph(spark, "bucketed_graph", path, 4)
-            joined = bgp(opened, star)
-            assert joined.count() == 50
-            assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
-            spark.sql("DROP TABLE bucketed_graph")
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    monkeypatch.setattr("trilake.operators.joins.HOT_ROWS", 2)
-    with pytest.raises(ValueError, match="hot"):
-        store.persist_bucketed_graph(graph_of(rows), "bucketed_graph", path, 4)

@@ -13,10 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trilake.functions import terms
-from trilake.operators.joins import hot_keys
 from trilake.vocab import TRIPLE_COLUMNS, TRIPLES
 
-MAX_DIRECTORIES = 1_000
 BUCKETS = 256
 
 
@@ -68,17 +66,11 @@ def graph_filter(df: DataFrame, graph: str | None) -> Column:
     return wanted
 
 
-def _partition_column(triples: DataFrame, layout: str | None, max_directories: int) -> str:
-    if layout is not None:
-        return {"predicate": "p_local", "hash": "p_bucket"}[layout]
-    names = triples.select(local_part(F.col("p")).alias("d")).distinct()
-    return "p_bucket" if names.limit(max_directories + 1).count() > max_directories else "p_local"
+LAYOUTS = {"predicate": "p_local", "hash": "p_bucket"}
 
 
-def _write(
-    triples: DataFrame, path: str, mode: str, by_graph: bool, layout: str | None, max_directories: int
-) -> None:
-    column = _partition_column(triples, layout, max_directories)
+def _write(triples: DataFrame, path: str, mode: str, by_graph: bool, layout: str) -> None:
+    column = LAYOUTS[layout]
     keys = ["g_part", column] if by_graph else [column]
     parts = {column: PREDICATE_PARTS[column](F.col("p")), "g_part": graph_part(F.col("g"))}
     (
@@ -96,18 +88,17 @@ def persist_graph(
     path: str,
     mode: str = "overwrite",
     by_graph: bool = False,
-    layout: str | None = None,
-    max_directories: int = MAX_DIRECTORIES,
+    layout: str = "predicate",
 ) -> None:
     """Write a graph as predicate-partitioned, subject-sorted Parquet.
 
     The rebalance hint clusters rows by (predicate, subject) and lets adaptive
     execution cut partitions to size: a predicate, or one subject, with a large share
     of all rows is written by many tasks, and small predicates do not make small files.
-    Graphs with more than `max_directories` predicates are split by a hash instead: that
-    takes a pass over the predicates first, which `layout` ("predicate" or "hash") saves.
+    `layout` "predicate" has a directory for each predicate, "hash" a fixed number of
+    ``BUCKETS`` directories, for graphs with thousands of predicates.
     """
-    _write(triples, path, mode, by_graph, layout, max_directories)
+    _write(triples, path, mode, by_graph, layout)
 
 
 def open_graph(spark: SparkSession, path: str) -> DataFrame:
@@ -146,45 +137,9 @@ def replace_stored_graph(triples: DataFrame, path: str, graph: str | None) -> No
     spark = triples.sparkSession
     layout = "hash" if "p_bucket" in _partition_columns(spark, path) else "predicate"
     moved = triples.withColumn("g", F.lit(graph).cast("string"))
-    _write(moved, _graph_dir(spark, path, graph), "overwrite", False, layout, MAX_DIRECTORIES)
+    _write(moved, _graph_dir(spark, path, graph), "overwrite", False, layout)
 
 
 def clear_stored_graph(spark: SparkSession, path: str, graph: str | None) -> None:
     """Drop one graph of a store written with ``by_graph=True``; the others stay."""
     replace_stored_graph(spark.createDataFrame([], TRIPLES), path, graph)
-
-
-def persist_bucketed_graph(triples: DataFrame, table: str, path: str, buckets: int) -> None:
-    """Write a graph as a table split by predicate and bucketed by subject.
-
-    Patterns that share their subject are then joined bucket by bucket, without a
-    shuffle. A bucket is written by one task and joined by one task, so a subject with
-    more triples than a task should get is refused: keep such a graph with
-    `persist_graph`, whose joins adaptive execution can split.
-    """
-    if hot_keys(triples, ["s"]) is not None:
-        raise ValueError("a subject is too hot for one bucket; use persist_graph")
-    (
-        triples.select(*TRIPLE_COLUMNS, local_part(F.col("p")).alias("p_local"))
-        .repartition(buckets, "s")
-        .sortWithinPartitions("p_local", "s")
-        .write.mode("overwrite")
-        .format("parquet")
-        .option("path", path)
-        .partitionBy("p_local")
-        .bucketBy(buckets, "s")
-        .sortBy("s")
-        .saveAsTable(table)
-    )
-
-
-def open_bucketed_graph(spark: SparkSession, table: str, path: str, buckets: int) -> DataFrame:
-    """A graph written by `persist_bucketed_graph`, by any session with the same arguments."""
-    if not spark.catalog.tableExists(table):
-        columns = ", ".join(f"{c} STRING" for c in [*TRIPLE_COLUMNS, "p_local"])
-        spark.sql(
-            f"CREATE TABLE {table} ({columns}) USING parquet PARTITIONED BY (p_local) "
-            f"CLUSTERED BY (s) SORTED BY (s) INTO {int(buckets)} BUCKETS LOCATION '{path}'"
-        )
-        spark.sql(f"MSCK REPAIR TABLE {table}")
-    return spark.table(table)
