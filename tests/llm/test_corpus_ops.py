@@ -265,6 +265,29 @@ def test_damage_is_found(spark, tmp_path):
         warc.read_archives(spark, str(tmp_path / "w")).collect()
 
 
+def test_version_text_without_line_end(spark, tmp_path):
+    rows = [
+        (1, "http://a/WARC/1.1", "ends with WARC/1.1"), (2, "WARC/1.1", "WARC/1.1"), (3, "http://a/%2FWARC/1.1%2f/", "WARC/1.1\r"),
+        (4, "http://a/%2F", "x" * 120 + "WARC/1.1"), (5, "http://b/WARC/1.1", "x" * 120 + "WARC/1.1"), (None, "WARC/1.1\r", "WARC/1.1\n"),
+    ]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    warc.write_archives(pages, str(tmp_path / "w"))
+    got = warc.read_archives(spark, str(tmp_path / "w")).collect()
+    want = {(p, u, len(h), hashlib.sha256(h.encode()).hexdigest()) for p, u, h in rows}
+    assert len(got) == len(rows) and {(r.page_id, r.url, r.payload_bytes, r.payload_digest) for r in got} == want
+    assert {r.page_id: bytes(r.payload).decode() for r in got if r.page_id != 5} == {p: h for p, _, h in rows if p != 5}
+    assert [r.refers_to for r in got if r.page_id == 5] == [4]
+
+
+@pytest.mark.parametrize("name", ["WARC-Record-ID", "WARC-Type", "Content-Length", "WARC-Payload-Digest"])
+def test_incomplete_records_are_found(spark, tmp_path, name):
+    pages = spark.createDataFrame([(1, "http://a/", "z" * 20)], "page_id long, url string, html string")
+    text = warc.records(pages).selectExpr(f"replace(value, '\n{name}: ', '\nX-{name}: ') value")
+    text.write.option("lineSep", warc.END).text(str(tmp_path / "w"))
+    with pytest.raises(Exception, match="damaged record of page"):
+        warc.read_archives(spark, str(tmp_path / "w")).collect()
+
+
 # ---------------------------------------------------------------- URL rules
 
 

@@ -17,11 +17,12 @@ from trilake.session import scratch_dir
 
 #: Payloads from this many bytes on are stored once.
 LEAST_SHARED = 100
-VERSION = "WARC/1.1\r\n"
+MARK = "WARC/1.1"
+VERSION = f"{MARK}\r\n"
 END = "\r\n\r\n"
 #: Captures are dated one second apart, as the pages have no time of their own.
 FIRST_CAPTURE = "2024-01-01 00:00:00"
-ESCAPES = (("%", "%25"), ("\r", "%0D"), ("\n", "%0A"))
+ESCAPES = (("%", "%25"), ("\r", "%0D"), ("\n", "%0A"), ("/", "%2F"))
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -55,8 +56,9 @@ def records(pages: DataFrame) -> DataFrame:
     """One WARC record for each page as text, without the two line ends after its block."""
     rows = payloads(pages)
     revisit = F.col("refers_to").isNotNull()
-    # the reader splits archives at the version line, so a payload that holds one is stored in base64
-    unsafe = F.instr("html", VERSION) > 0
+    # the reader splits archives at the version line; a payload that holds its text is stored in
+    # base64, with or without a line end, as the line end after the block would complete it
+    unsafe = F.instr("html", MARK) > 0
     body = F.when(revisit, F.lit("")).when(unsafe, F.base64(F.col("html").cast("binary"))).otherwise(F.col("html"))
     http = F.concat(
         F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"),
@@ -66,8 +68,8 @@ def records(pages: DataFrame) -> DataFrame:
     )
     block = F.concat(http, body)
     when = F.date_format(capture_time(F.col("page_id")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    # a header is one line: percent-encode an address that has line ends, and say so
-    odd = F.col("url").rlike("[\r\n]")
+    # a header is one line: percent-encode an address that has line ends or the version's text, and say so
+    odd = F.col("url").rlike("[\r\n]") | (F.instr("url", MARK) > 0)
     escaped = F.col("url")
     for plain, code in ESCAPES:
         escaped = F.replace(escaped, F.lit(plain), F.lit(code))
@@ -102,7 +104,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     record_type, refers_to, payload_bytes, payload_digest, payload (null for a revisit).
 
     Lengths and digests are those of what was read; one that differs from its header
-    raises an error.
+    raises an error, as does a piece without an id, a type, a length or a digest.
     """
     # a piece is what follows a version line: header lines, an empty line, the block, two line ends
     piece = spark.read.option("lineSep", VERSION).text(path).where("value <> ''")
@@ -119,7 +121,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     split = F.instr("block", END)
     http = F.substring("block", F.lit(1), split + 1)
     body = F.expr("substring(block, instr(block, '\\r\\n\\r\\n') + 4)")
-    stated = F.regexp_extract(http, r"\nContent-Length: (\d+)", 1).cast("long")
+    stated = F.regexp_extract(http, r"\nContent-Length: (\d+)", 1).try_cast("long")
     number = lambda c: F.regexp_extract(c, r"<urn:page:(-?\d+)>", 1).try_cast("long")
     kind = header("WARC-Type")
     payload = F.when(F.instr(http, "Content-Transfer-Encoding: base64") > 0, F.unbase64(body)).otherwise(body.cast("binary"))
@@ -128,7 +130,9 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     restored = address
     for plain, code in reversed(ESCAPES):
         restored = F.replace(restored, F.lit(code), F.lit(plain))
+    named = header("WARC-Record-ID").rlike(r"^<urn:page:(none|-?\d+)>$") & kind.isin("response", "revisit")
     read = rows.select(
+        F.coalesce(named, F.lit(False)).alias("named"),
         number(header("WARC-Record-ID")).alias("page_id"),
         F.when(header("X-URI-Escaped") == "yes", restored).otherwise(address).alias("url"),
         F.to_timestamp(header("WARC-Date"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("captured_at"),
@@ -137,9 +141,10 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         stated.alias("stated"),
         F.regexp_extract("head", r"\nWARC-Payload-Digest: sha256:([0-9a-f]+)", 1).alias("stated_digest"),
         F.when(kind == "response", payload).alias("payload"),
-        (header("Content-Length").cast("long") == F.octet_length("block")).alias("whole"),
+        (header("Content-Length").try_cast("long") == F.octet_length("block")).alias("whole"),
     )
-    wrong = ~F.col("whole") | (F.length("payload") != F.col("stated")) | (F.sha2("payload", 256) != F.col("stated_digest"))
+    lacking = ~F.col("named") | F.col("whole").isNull() | F.col("stated").isNull() | (F.col("stated_digest") == "")
+    wrong = lacking | ~F.col("whole") | (F.length("payload") != F.col("stated")) | (F.sha2("payload", 256) != F.col("stated_digest"))
     broken = F.raise_error(F.concat(F.lit("damaged record of page "), F.coalesce(F.col("page_id").cast("string"), F.lit("none"))))
     return read.select(
         "page_id", "url", "captured_at", "record_type", "refers_to",
@@ -246,7 +251,7 @@ def capture_histories(pages: DataFrame, path: str | None = None) -> DataFrame:
 
     Null html is an empty payload; a null url has an empty key and no target line. A null
     page_id is a revisit of a page with a number, or else a response. Payloads that hold
-    a WARC version line are stored in base64 and come back as they were. Ties in the
+    the text of a WARC version line are stored in base64 and come back as they were. Ties in the
     order go to page_id, then url. Other columns are ignored; an empty table gives no rows.
     """
     spark = pages.sparkSession
