@@ -164,3 +164,11 @@ def test_blocks_of_a_hot_subject_are_split(spark, tmp_path, graph_of):
     assert as_set(read_turtle(spark, str(tmp_path / "out"))) == as_set(graph)
     write_turtle(graph, str(tmp_path / "flat"))
     assert read_turtle(spark, str(tmp_path / "flat")).count() == 502
+
+
+def test_a_subject_of_any_size_is_one_block(spark, graph_of):
+    graph = graph_of([(":hot", ":p", f":o{i:04d}") for i in range(1_001)] + [(":hot", "rdf:type", ":T"), (":cold", ":p", ":o")])
+    blocks = {r.subject: r.block for r in turtle_subject_blocks(graph.repartition(3)).collect()}
+    assert turtle_subject_blocks(graph).count() == 2
+    objects = " ;\n  ".join(f":p :o{i:04d}" for i in range(1_001))
+    assert blocks == {":cold": ":cold :p :o .", ":hot": f":hot rdf:type :T ;\n  {objects} ."}

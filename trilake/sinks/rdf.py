@@ -11,6 +11,7 @@ from trilake.functions import terms
 from trilake.session import kept
 from trilake.vocab import PREFIXES, RDF_TYPE
 
+#: Triples in one statement of a written file; a subject with more gets several.
 MAX_BLOCK = 1_000
 
 
@@ -78,14 +79,16 @@ def write_turtle(
 
 
 def turtle_subject_blocks(
-    triples: DataFrame, prefixes: Mapping[str, str] = PREFIXES, max_block: int = MAX_BLOCK
+    triples: DataFrame, prefixes: Mapping[str, str] = PREFIXES, max_block: int | None = None
 ) -> DataFrame:
     """Rows ``(subject, block)``: the triples of a subject as one ``s p o ;`` statement.
 
-    A block has about `max_block` triples at most; a subject with more gets several
-    statements (Turtle allows that), so no task ever holds all triples of a hot subject.
-    Which subjects those are comes from a count that is combined before its shuffle and
-    written down; usually there are none, and then the triples are shuffled once.
+    There is one row for each subject, however many triples it has, so a block must fit
+    into a row (2 GB). With `max_block`, a block has about that many triples at most; a
+    subject with more gets several statements (Turtle allows that), so no task ever
+    holds all triples of a hot subject. Which subjects those are comes from a count that
+    is combined before its shuffle and written down; usually there are none, and then
+    the triples are shuffled once.
     """
     entries = _turtle_tokens(triples, prefixes).select(
         F.col("st").alias("subject"),
@@ -93,10 +96,12 @@ def turtle_subject_blocks(
         F.col("pt").alias("p_token"),
         F.col("ot").alias("o_token"),
     )
-    sizes = triples.groupBy("s").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_block)
-    heavy = sizes.select(_short(F.col("s"), prefixes).alias("subject"), F.ceil(F.col("n") / max_block).alias("parts"))
-    heavy = kept(heavy, "heavy-subjects")
-    if heavy.isEmpty():
+    heavy = None
+    if max_block is not None:
+        sizes = triples.groupBy("s").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_block)
+        heavy = sizes.select(_short(F.col("s"), prefixes).alias("subject"), F.ceil(F.col("n") / max_block).alias("parts"))
+        heavy = kept(heavy, "heavy-subjects")
+    if heavy is None or heavy.isEmpty():
         keyed, keys = entries, ["subject"]
     else:
         # Uneven hashing may exceed max_block a little; twice the parts keeps blocks short.
@@ -111,6 +116,7 @@ def turtle_subject_blocks(
 def write_turtle_grouped(
     triples: DataFrame, path: str, prefixes: Mapping[str, str] = PREFIXES, mode: str = "overwrite"
 ) -> None:
-    """Turtle with the triples of a subject under one statement, types first."""
-    blocks = turtle_subject_blocks(triples, prefixes).select(F.col("block").alias("value"))
+    """Turtle with the triples of a subject under one statement, types first; under several
+    of about ``MAX_BLOCK`` triples where there are more, which is the same graph."""
+    blocks = turtle_subject_blocks(triples, prefixes, MAX_BLOCK).select(F.col("block").alias("value"))
     _write_turtle_text(blocks, path, prefixes, mode)
