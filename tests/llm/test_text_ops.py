@@ -151,6 +151,22 @@ def test_entropy_and_allow_list():
         assert secret_scan.scan(plain)[4] == []
 
 
+def test_allow_list_holds_for_its_segment_only():
+    secret = "Zx9qL2mVb7Tn4KpRw8Ys3Hc6Jd5Fg1Bt0NvQaWe"
+    letters = "ZxtqLymVbwTnoKpRwuYsiHcaJdeFgkBt"
+    blob = "".join(secret[i % 7 :] for i in range(9))
+    user = "users/0f8fad5b-d9cb-469f-a165-70867728950e"
+
+    def found(text):
+        return [text[int(a) : int(b)] for k, a, b in (s.split(":") for s in secret_scan.scan(text)[4]) if k == "entropy"]
+
+    for text in (f"/sample-app/key={secret}", f"see /example/v1/{secret} here", f"{blob}lorem{blob}"):
+        assert any(secret in s for s in found(text))
+    assert any(letters in s for s in found(f"the {letters} key"))
+    for text in (user, f"/data/{user}", f"/v1/sample-{secret}", "/home/documents/internationalisation"):
+        assert found(text) == []
+
+
 def test_redact_and_odd_texts(spark):
     docs = docs_of(spark, ["my token=abcdef12 é", *ODD])
     assert secret_scan.redact(docs).where("doc_id = 0").first().text == "my [SECRET] é"

@@ -30,19 +30,22 @@ CLASSES = (
     (frozenset("0123456789ABCDEF"), 3.4),
     (frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"), 3.9),
 )
-#: Candidates that match one of these are no secrets: identifiers, repeated fillers, dashes, plain words and paths.
+#: Candidates, and segments of them, that match one of these are no secrets: identifiers, numbers, repeated fillers.
 ALLOWED = tuple(
     map(
         re.compile,
         (
             r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}",
             r"[0-9+/_=-]+",
-            r"[A-Za-z+/_=-]+",
-            r".*(?i:example|sample|placeholder|changeme|lorem).*",
             r"(.{1,4})\1{3,}.{0,4}",
         ),
     )
 )
+#: The parts of paths and assignments, and the words that mark one of them as made up. A
+#: longer segment is no name or filler, and a word within it says nothing about the rest.
+SEGMENT = re.compile(r"[^/=]{%d,}" % WINDOW)
+MADE_UP = re.compile(r"example|sample|placeholder|changeme|lorem", re.IGNORECASE)
+MADE_UP_MOST = 64
 #: c * log2(c) for the counts within a window.
 WEIGHT = [0.0] + [c * math.log2(c) for c in range(1, WINDOW + 1)]
 
@@ -92,13 +95,28 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return spans + [(*m.span(), "hex") for m in HEX.finditer(text)]
 
 
+def _searched(text: str) -> list[tuple[int, int]]:
+    """The candidate strings without their allowed segments."""
+    allowed = lambda part: any(a.fullmatch(part) for a in ALLOWED)
+    parts = []
+    for m in CANDIDATE.finditer(text):
+        at = m.start()
+        if allowed(m[0]):
+            continue
+        for s in SEGMENT.finditer(text, m.start(), m.end()):
+            if allowed(s[0]) or (len(s[0]) <= MADE_UP_MOST and MADE_UP.search(s[0])):
+                parts.append((at, s.start()))
+                at = s.end()
+        parts.append((at, m.end()))
+    return [(a, b) for a, b in parts if b - a >= WINDOW]
+
+
 def entropy_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """Random parts of candidate strings that no base span holds and no allow-list suppresses."""
     found: set[tuple[int, int]] = set()
-    for m in CANDIDATE.finditer(text):
-        if not any(allowed.fullmatch(m[0]) for allowed in ALLOWED):
-            for members, least in CLASSES:
-                found |= {(m.start() + a, m.start() + b) for a, b in random_spans(m[0], members, least)}
+    for start, end in _searched(text):
+        for members, least in CLASSES:
+            found |= {(start + a, start + b) for a, b in random_spans(text[start:end], members, least)}
     merged: list[tuple[int, int]] = []
     for a, b in sorted(found):
         if merged and a < merged[-1][1]:
