@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trilake.llm import chat, decontaminate, mixing, repetition, secret_scan, sharding, simhash, toxicity, url_rules, warc
+from trilake.llm import (
+    alignment,
+    chat,
+    decontaminate,
+    mixing,
+    packing,
+    repetition,
+    resampling,
+    secret_scan,
+    sharding,
+    simhash,
+    toxicity,
+    url_rules,
+    warc,
+)
 from trilake.llm.common import table
 from trilake.llm.oracles import ORACLE  # noqa: F401  part of this module's interface
 
@@ -80,3 +94,21 @@ def op9_chat(spark, sf_dir):
 def op10_secrets(spark, sf_dir):
     found = secret_scan.secrets(table(spark, sf_dir, "documents"))
     return found.withColumn("found", F.array_join("found", ",")).withColumnRenamed("found", "spans")
+
+
+@query
+def op11_packing(spark, sf_dir):
+    pieces = packing.pack(table(spark, sf_dir, "documents"))
+    shown = ["doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"]
+    return pieces.select(*shown, "sequence_length", "sequence_cost")
+
+
+@query
+def op12_alignment(spark, sf_dir):
+    return alignment.alignment(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_resampling(spark, sf_dir):
+    drawn = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
