@@ -140,3 +140,42 @@ SELECT conv_id, count(*) AS n_turns,
     CAST(sum(24 + length(role) + length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g'))) AS BIGINT) AS formatted_chars
 FROM c GROUP BY conv_id
 """
+
+#: Checksums go byte by byte through a table made from the polynomial.
+ORACLE["op13_resampling"] = rf"""
+WITH crc_table AS (
+    SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS crc
+    FROM range(256) t(i)
+), d AS (
+    SELECT true AS corpus, row_number() OVER () AS row, doc_id, {NORMAL_WORDS} AS w FROM documents
+    UNION ALL SELECT false, row_number() OVER (), NULL, {NORMAL_WORDS} FROM benchmark
+), runs AS (
+    SELECT corpus, row, array_to_string(w[i : i + n - 1], ' ') AS run
+    FROM (SELECT corpus, row, w, n, unnest(range(1, CAST(len(w) - n + 2 AS BIGINT))) AS i FROM d, range(1, 4) s(n) WHERE len(w) >= n)
+), counted AS (
+    SELECT corpus, row, run, count(*) AS n FROM runs GROUP BY corpus, row, run
+), distinct_runs AS (
+    SELECT run, hex(encode(run)) AS h FROM (SELECT DISTINCT run FROM counted)
+), sums AS (
+    SELECT run, xor(list_reduce(
+        list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, len(h), 2), lambda i: 16 * (strpos('0123456789ABCDEF', h[i]) - 1) + strpos('0123456789ABCDEF', h[i + 1]) - 1)),
+        lambda c, b: xor(c >> 8, crc[xor(c & 255, b) + 1])), 4294967295) % 10000 AS bucket
+    FROM distinct_runs, crc_table
+), features AS (
+    SELECT corpus, row, bucket, n FROM counted JOIN sums USING (run)
+), gains AS (
+    SELECT bucket, floor(1000 * ln((CAST(t AS DOUBLE) + 1) * (sum(s) OVER () + 10000) / ((CAST(s AS DOUBLE) + 1) * (sum(t) OVER () + 10000)))) AS gain
+    FROM (SELECT bucket, sum(CASE WHEN corpus THEN n ELSE 0 END) AS s, sum(CASE WHEN corpus THEN 0 ELSE n END) AS t FROM features GROUP BY bucket)
+), weighed AS (
+    SELECT row, CAST(sum(n) AS BIGINT) AS n_features, CAST(sum(n * gain) AS BIGINT) AS weight FROM features JOIN gains USING (bucket) WHERE corpus GROUP BY row
+), scored AS (
+    SELECT doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+        coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST(CAST(concat('0x', sha256(concat('42:', coalesce(CAST(doc_id AS VARCHAR), '')))[1:8]) AS BIGINT) AS DOUBLE) + 0.5) / 4294967296.0))) AS BIGINT) AS score
+    FROM d LEFT JOIN weighed USING (row) WHERE corpus
+), placed AS (
+    SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id NULLS LAST, n_features, n_words, weight) AS place,
+        count(*) OVER (PARTITION BY n_words >= 20) AS able
+    FROM scored
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= 5 * able // 100 THEN place END AS rank FROM placed
+"""
