@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from trilake.llm.common import map_texts, small_batches
-from trilake.llm.tokens import BYTE_BPE, ByteIds
+from trilake.llm.tokens import BYTE_BPE, ByteBpe
 
 LENGTH = 2048
 END = 1
@@ -121,7 +121,7 @@ def pack(
     twice that many tokens at a time (or one document), however many rows a cell has.
     `sequence_id` holds the cell in its upper 32 bits.
 
-    Null and empty texts are the end id alone. Equal ids are different documents; repeated
+    Bytes that are no UTF-8 become U+FFFD. Null and empty texts are the end id alone. Equal ids are different documents; repeated
     rows are packed as often as they occur. No rows give none; other columns are ignored.
     """
     small_batches(docs.sparkSession)
@@ -129,7 +129,11 @@ def pack(
     tie = F.xxhash64("doc_id", "text")
     dealt = docs.select("doc_id", "text", tie.alias("_tie"), F.pmod(tie, F.lit(size // CELL_BYTES + 1)).alias("_cell"))
     last = int(end).to_bytes(4, "little")
-    encode = ByteIds(tokenizer)
-    tokens = map_texts(dealt, "text", lambda texts: [(encode(t) + last,) for t in texts], IDS)
+    encode = ByteBpe(tokenizer)
+
+    def ids(raw: bytes) -> bytes:
+        return encode(raw.decode("utf-8", "replace")).astype("<u4").tobytes() + last
+
+    tokens = map_texts(dealt, "text", lambda texts: [(ids(t),) for t in texts], IDS)
     placed = tokens.repartition("_cell").sortWithinPartitions("_cell", "doc_id", "_tie")
     return placed.mapInArrow(_packed(room, linear, quadratic, 2 * CELL_BYTES), PIECES)
