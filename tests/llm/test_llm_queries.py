@@ -27,5 +27,5 @@ def test_query_equals_sql(spark, sf_dir, con, name):
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 14))
     assert set(registry.ORACLE) <= set(registry.QUERIES)

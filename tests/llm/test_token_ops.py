@@ -8,8 +8,10 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import regex
+import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from trilake.llm import alignment, packing, registry, resampling, tokens
 
@@ -34,25 +36,50 @@ def hexed(text):
     return hashlib.sha256(text.encode()).hexdigest()
 
 
-@given(st.lists(st.sampled_from(["a", "Wort", " ", "  ", "\n", "\t", "'s", "<|endoftext|>", "▁", "é", " ", "　", "日", "1", ".", "\x1c", "\x85", "​"]), max_size=14))
-@settings(max_examples=400, deadline=None)
-def test_units_have_the_ids_of_the_whole(parts):
-    text = "".join(parts)
-    whole = test_units_have_the_ids_of_the_whole
-    if not hasattr(whole, "tools"):
-        whole.tools = tokens.ByteIds(), tokens.byte_tokenizer(), tokens.byte_tokenizer(special=False), tokens.piece_tokenizer()
-    ids, special, plain, pieces = whole.tools
-    assert np.frombuffer(ids(text.encode()), "<u4").tolist() == special.encode(text, add_special_tokens=False).ids
-    units = tokens.UNIT_END.split(" " + text)
-    assert [i for u in units for i in plain.encode(u, add_special_tokens=False).ids] == plain.encode(" " + text, add_special_tokens=False).ids
-    assert [i for u in units for i in pieces.encode(u[1:])] == pieces.encode(text)
+def tokenizer(special):
+    made = Tokenizer.from_file(tokens.tokenizer_file(tokens.BYTE_BPE))
+    made.encode_special_tokens = not special
+    return made
+
+
+@pytest.fixture(scope="module")
+def both():
+    return [(tokens.ByteBpe(special=s).load(), tokenizer(s)) for s in (True, False)]
+
 
+def test_ids_of_all_plain_characters(both):
+    plain = [chr(c) for c in range(0x2100) if tokens.PLAIN.fullmatch(chr(c))]
+    texts = [t for c in plain for t in (f"a{c}b {c} 1{c}2", f"{c}{c} {c}  .{c}'s{c}", f" {c}\n{c}a")]
+    for fast, slow in both:
+        assert fast.fast is not None
+        assert [fast(t).tolist() for t in texts] == [e.ids for e in slow.encode_batch(texts, add_special_tokens=False)]
 
-def test_units_forgotten_and_made_again():
-    made = []
-    memory = tokens.UnitMemory(lambda units: made.extend(units) or [u.upper() for u in units], most=3)
-    assert memory("a b c") == ["A", " B", " C"] and memory("d a b") == ["D", " A", " B"] and memory("d a") == ["D", " A"]
-    assert len(memory.known) <= 3 and made.count(" a") == 1
+
+PARTS = ["a", "Wort", " ", "  ", "\n", "\t", "'s", "'LL", "<|endoftext|>", "\u2581", "é", "\u00a0", "\u3000", "日", "٣", "1", ".", "\x1c", "\x85", "\u200b", "😀"]
+
+
+@given(st.lists(st.sampled_from(PARTS), max_size=14))
+@settings(max_examples=400, deadline=None)
+def test_ids_of_any_text(both, parts):
+    text = "".join(parts)
+    for fast, slow in both:
+        assert fast(text).tolist() == slow.encode(text, add_special_tokens=False).ids
+
+
+def test_links_of_large_groups_are_counted_not_laid_out():
+    rng = np.random.default_rng(1)
+    a, b = rng.integers(0, 5, 300).astype(np.uint32), rng.integers(0, 4, 200).astype(np.uint32)
+    ones, twos = [b"xx"] * 5, [b"xxx"] * 4  # ends meet at every sixth byte, all 600 of them
+    small = alignment.Alignment(a, b, ones, twos, b"x" * 600)
+    whole = alignment.Alignment(a, b, [b"x" * 600] + ones, twos, b"")
+    assert small.measures() == (300, 200, 100, 600) and not len(whole.a) and not len(whole.b)
+    one = alignment.Alignment(a, b[:1], ones, [b"x" * 600] * 4, b"x" * 600)
+    expected = sorted(Counter(((int(x) << 32) + int(b[0])) for x in a).items())
+    for most in (10, 10_000):
+        alignment.LARGE_GROUP, before = most, alignment.LARGE_GROUP
+        found = one.links()
+        alignment.LARGE_GROUP = before
+        assert list(zip(*(x.tolist() for x in found))) == expected
 
 
 @given(st.lists(st.integers(1, 90), max_size=60), st.sampled_from([1, 7, 32]))
@@ -78,7 +105,7 @@ def test_assign_balances_cost():
 
 def check_pieces(rows, texts):
     """Each id of each document in one piece; sequences without gaps; little padding."""
-    plain = tokens.byte_tokenizer()
+    plain = tokenizer(True)
     whole = Counter()
     for doc_id, text in texts:
         whole[(doc_id, tuple(plain.encode(text or "", add_special_tokens=False).ids) + (1,))] += 1
@@ -139,7 +166,7 @@ def test_packing_of_many_equal_rows_is_bounded(spark, monkeypatch):
 
 def by_hand(texts):
     """The contract of the alignment, text by text."""
-    plain, pieces = tokens.byte_tokenizer(special=False), tokens.piece_tokenizer()
+    plain, pieces = tokenizer(False), sentencepiece.SentencePieceProcessor(model_file=tokens.tokenizer_file(tokens.PIECE_BPE))
     names = {i: e for e, i in plain.get_vocab().items()}
     shown = [chr(b) for b in range(256)]
     extra = 0

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,12 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trilake.llm.common import small_batches
-from trilake.llm.tokens import BYTE_BPE, PIECE_BPE, UnitMemory, byte_tokenizer, piece_tokenizer
+from trilake.llm.tokens import BYTE_BPE, PIECE_BPE, ByteBpe, Pieces
 from trilake.session import kept, scratch_dir
 
 #: Bytes of distinct texts whose pairs are counted and looked up together.
 CHUNK_BYTES = 8 << 20
-SPACE = "▁"
+#: Links of one group up to which they are laid out one by one.
+LARGE_GROUP = 10_000
 MEASURES = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 ALIGNED = (
     "chunk long, key string, copies long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, "
@@ -27,89 +27,72 @@ ALIGNED = (
 SHIFT = 32
 
 
-def byte_table(tokenizer) -> list[bytes]:
-    """The bytes of each id of a byte-level vocabulary.
-
-    Printable bytes stand for themselves, the others in their order for U+0100 and up.
-    """
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in plain]
-    byte = {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(rest)}
-    table = [b""] * tokenizer.get_vocab_size()
-    for entry, at in tokenizer.get_vocab().items():
-        table[at] = bytes(byte[c] for c in entry) if all(c in byte for c in entry) else entry.encode()
-    return table
-
-
-def piece_table(pieces) -> list[bytes]:
-    """The bytes of each id of a piece vocabulary: U+2581 is a space, <0xHH> the byte HH."""
-    table = []
-    for at in range(pieces.get_piece_size()):
-        piece = pieces.id_to_piece(at)
-        table.append(bytes([int(piece[3:5], 16)]) if pieces.is_byte(at) else piece.replace(SPACE, " ").encode())
-    return table
-
-
-class Unit:
-    """A unit's ids under both tokenizers, its groups and its distinct linked pairs."""
-
-    __slots__ = ("n_a", "n_b", "n_groups", "n_links", "groups", "pairs", "times")
-
-    def __init__(self, a: list[int], b: list[int], bytes_a: list[bytes], bytes_b: list[bytes]):
-        self.n_a, self.n_b = len(a), len(b)
-        i = j = start_a = start_b = end_a = end_b = 0
-        self.n_groups = self.n_links = 0
-        shown, linked = [], Counter()
-        while i < len(a) or j < len(b):
-            if end_a <= end_b:
-                end_a += len(bytes_a[a[i]])
-                i += 1
-            else:
-                end_b += len(bytes_b[b[j]])
-                j += 1
-            if end_a == end_b:
-                own, other = a[start_a:i], b[start_b:j]
-                self.n_groups += 1
-                self.n_links += len(own) * len(other)
-                shown.append(f"{','.join(map(str, own))}|{','.join(map(str, other))}")
-                times = Counter(other).items()
-                for x, n in Counter(own).items():
-                    for y, m in times:
-                        linked[(x << SHIFT) + y] += n * m
-                start_a, start_b = i, j
-        self.groups = ";".join(shown)
-        self.pairs = np.fromiter(linked.keys(), np.int64, len(linked))
-        self.times = np.fromiter(linked.values(), np.int64, len(linked))
+class Alignment:
+    """What two tokenizers make of one text; without tokens if they do not spell it."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray, bytes_a: list[bytes], bytes_b: list[bytes], raw: bytes):
+        parts = [list(map(t.__getitem__, ids.tolist())) for ids, t in ((a, bytes_a), (b, bytes_b))]
+        spelled = all(b"".join(p) == raw for p in parts)
+        self.a, self.b = (a, b) if spelled else (a[:0], b[:0])
+        if not spelled:
+            return
+        ends = [np.cumsum(np.fromiter(map(len, p), np.int64, len(p))) for p in parts]
+        cut = np.zeros((2, len(raw) + 1), bool)
+        for at, of in zip(cut, ends):
+            at[of] = True
+        both = cut.all(axis=0)
+        place = np.cumsum(both) - both  # groups that end before a byte
+        self.in_a, self.in_b = (place[of] for of in ends)
+        groups = int(both.sum())
+        self.size_a, self.size_b = np.bincount(self.in_a, minlength=groups), np.bincount(self.in_b, minlength=groups)
+
+    def measures(self) -> tuple[int, int, int, int]:
+        return len(self.a), len(self.b), len(self.size_a), int((self.size_a * self.size_b).sum())
+
+    def shown(self, marked: list[bytes]) -> bytes:
+        """`a1,a2|b1;a3|b2,b3`; `marked` has each id with a comma, with a bar and with a semicolon."""
+        first_a, first_b = np.cumsum(self.size_a) - self.size_a, np.cumsum(self.size_b) - self.size_b
+        codes = np.zeros(len(self.a) + len(self.b), np.int64)
+        at_a = np.arange(len(self.a)) + first_b[self.in_a]
+        at_b = np.arange(len(self.b)) + (first_a + self.size_a)[self.in_b]
+        codes[at_a], codes[at_b] = self.a, self.b
+        codes *= 3
+        codes[at_a[first_a + self.size_a - 1]] += 1
+        codes[at_b[first_b + self.size_b - 1]] += 2
+        return b"".join(map(marked.__getitem__, codes.tolist()))[:-1]
+
+    def links(self) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct linked pairs, first id in the upper bits, and how often each is linked."""
+        first_b = np.cumsum(self.size_b) - self.size_b
+        large = self.size_a * self.size_b > LARGE_GROUP
+        partners = np.where(large[self.in_a], 0, self.size_b[self.in_a])
+        step = np.arange(partners.sum()) - np.repeat(np.cumsum(partners) - partners, partners)
+        other = self.b[np.repeat(first_b[self.in_a], partners) + step]
+        pairs, times = [np.repeat(self.a, partners).astype(np.int64) << SHIFT | other], [np.ones(len(other), np.int64)]
+        first_a = np.cumsum(self.size_a) - self.size_a
+        for g in np.flatnonzero(large).tolist():  # by distinct ids, as the pairs of places may be too many
+            own, n = np.unique(self.a[first_a[g] : first_a[g] + self.size_a[g]], return_counts=True)
+            other, m = np.unique(self.b[first_b[g] : first_b[g] + self.size_b[g]], return_counts=True)
+            pairs.append((own.astype(np.int64)[:, None] << SHIFT | other).ravel())
+            times.append((n[:, None] * m).ravel())
+        found, at = np.unique(np.concatenate(pairs), return_inverse=True)
+        return found, np.bincount(at, np.concatenate(times), len(found)).astype(np.int64)
 
 
 class Aligner:
-    """Texts to (n_a, n_b, n_groups, n_links, digest, pairs, times), or None if the tokens do not spell them."""
+    """Texts to (n_a, n_b, n_groups, n_links, digest, pairs, times), or None without tokens."""
 
     def __init__(self, byte_bpe: str, piece_bpe: str):
-        self.first, self.second = byte_tokenizer(byte_bpe, special=False), piece_tokenizer(piece_bpe)
-        self.bytes_a, self.bytes_b = byte_table(self.first), piece_table(self.second)
-        self.units = UnitMemory(self.make)
-
-    def make(self, units: list[str]) -> list[Unit | None]:
-        """Units with the space that each begins with; the piece tokenizer adds that itself."""
-        found_a = self.first.encode_batch_fast(units, add_special_tokens=False)
-        found_b = self.second.encode([u[1:] for u in units], num_threads=1)
-        out = []
-        for unit, x, b in zip(units, found_a, found_b):
-            a, raw = x.ids, unit.encode()
-            spelled = b"".join([self.bytes_a[i] for i in a]) == raw == b"".join([self.bytes_b[i] for i in b])
-            out.append(Unit(a, b, self.bytes_a, self.bytes_b) if spelled else None)
-        return out
+        self.first, self.second = ByteBpe(byte_bpe, special=False).load(), Pieces(piece_bpe)
+        ids = range(max(len(self.first.table), len(self.second.table)))
+        self.marked = [f"{i}{mark}".encode() for i in ids for mark in ",|;"]
 
     def __call__(self, text: str) -> tuple | None:
-        units = self.units(" " + text)
-        if None in units:
+        raw = f" {text}".encode()
+        found = Alignment(self.first(" " + text), self.second(text), self.first.table, self.second.table, raw)
+        if not len(found.a):
             return None
-        sums = [sum(u.n_a for u in units), sum(u.n_b for u in units), sum(u.n_groups for u in units), sum(u.n_links for u in units)]
-        digest = hashlib.sha256(";".join([u.groups for u in units]).encode()).hexdigest()
-        pairs, places = np.unique(np.concatenate([u.pairs for u in units]), return_inverse=True)
-        times = np.bincount(places, np.concatenate([u.times for u in units]), len(pairs)).astype(np.int64)
-        return (*sums, digest, pairs, times)
+        return (*found.measures(), hashlib.sha256(found.shown(self.marked)).hexdigest(), *found.links())
 
 
 def _aligned(byte_bpe: str, piece_bpe: str):
@@ -164,13 +147,12 @@ def _measured(key: tuple, texts: pa.Table, pairs: pa.Table) -> pa.Table:
     known = known[order]
     count = pairs.column("count").to_numpy()[order]
     best = pairs.column("best").to_numpy()[order].astype(bool)
-    n_best, count_sum = [], []
-    for a, b, n in zip(*(texts.column(c) for c in ("a", "b", "n"))):
-        wanted = (a.values.to_numpy().astype(np.int64) << SHIFT) + b.values.to_numpy()
-        times = n.values.to_numpy()
-        at = np.searchsorted(known, wanted)
-        n_best.append(int(times[best[at]].sum()))
-        count_sum.append(int((times * count[at]).sum()))
+    texts = texts.combine_chunks()
+    a, b, n = (texts.column(c).chunk(0) for c in ("a", "b", "n"))
+    at = np.searchsorted(known, (a.flatten().to_numpy().astype(np.int64) << SHIFT) + b.flatten().to_numpy())
+    times = n.flatten().to_numpy()
+    first = np.r_[0, np.cumsum(n.value_lengths().to_numpy())[:-1]]  # no text here is without links
+    n_best, count_sum = np.add.reduceat(times * best[at], first), np.add.reduceat(times * count[at], first)
     done = texts.drop_columns(["chunk", "copies", "a", "b", "n"])
     return done.append_column("n_best", pa.array(n_best, pa.int64())).append_column("count_sum", pa.array(count_sum, pa.int64()))
 
