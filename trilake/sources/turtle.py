@@ -4,53 +4,43 @@ Records end with `` .`` and a line feed, so Spark splits a file between statemen
 A record is cut into tokens by one regular expression and then split further on
 separators; linear work in generated code, no UDF.
 
-Some files can not be cut like that: those with long strings, with a prefix that is
-bound twice, or with a comment that ends like a statement in the middle of one. They
-are found in the pass that gathers prefixes and are read whole, one task a file, with
-bindings by position; nothing of them is lost.
-
-Supported: ``@prefix`` / ``PREFIX``, ``a``, ``;`` and ``,`` lists, double-quoted and
-long double-quoted literals with ``^^`` or ``@``, bare numbers and booleans, comments.
-Statements with anything else (``[...]``, ``(...)``, ``@base``, single quotes) come out
-with ``ok = false``, and `read_turtle` raises an error unless told to leave them out.
+Files that can not be cut like that are found in the pass that gathers prefixes: those
+with long strings, single quotes, brackets, a base, a prefix that is bound twice or not
+at a line's start, a comment that ends like a statement, or lines that end otherwise than
+with `` .`` and a line feed. They go through `turtle_lines`, which reads any file by many
+tasks too, in more passes.
+
+``[...]`` and ``(...)`` become blank nodes named after their place; relative IRIs need a
+base. Statements that do not parse come out with ``ok = false``, and `read_turtle` raises
+an error unless told to leave them out.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trilake.operators.joins import lookup_join
 from trilake.session import kept
 from trilake.sources.ntriples import BNODE, IRI, LANG, LITERAL_BODY, accepted, decode_pieces
+from trilake.sources.turtle_lines import NAME, SUFFIX, resolve, scan_lines
 from trilake.vocab import RDF_TYPE, XSD_BOOLEAN, XSD_DECIMAL, XSD_DOUBLE, XSD_INTEGER
 
 # A line that binds a prefix. A file with literals that span lines is read another way, so a line start is safe.
 PREFIX_LINE = r"(?m)^[ \t]*(?:@prefix|(?i:PREFIX))[ \t]+([^\s:<]*):[ \t]*<([^<>\s]*)>[ \t]*\.?[ \t]*"
 
-_NAME = r"""(?:[^\s;,"'<>\[\](){}@#\\.]++|\\.|\.(?=[^\s;,"'<>\[\](){}@#.]))++"""
 # What stands between tokens, then a token. Characters that start no token of the
 # profile are tokens of their own, which makes their statement unsound.
 TOKEN = (
     r"(?:\s|#[^\n]*+)*+"
-    rf"({LITERAL_BODY}(?:\^\^(?:{IRI}|{_NAME})|{LANG})?+|{IRI}|[;,.]|{_NAME}|\S|$)"
+    rf"({LITERAL_BODY}{SUFFIX}|{IRI}|[;,.]|{NAME}|\S|$)"
 )
-# For files read whole: long strings are tokens too.
-_LONG = r'"""(?:[^"\\]++|\\.|"(?!""))*+"""'
-_LONG_SINGLE = r"'''(?:[^'\\]++|\\.|'(?!''))*+'''"
-_SUFFIX = rf"(?:\^\^(?:{IRI}|{_NAME})|{LANG})?+"
-WHOLE_TOKEN = (
-    r"(?s)(?:\s|#[^\n]*+)*+"
-    rf"({_LONG}{_SUFFIX}|{_LONG_SINGLE}|{LITERAL_BODY}{_SUFFIX}|{IRI}|[;,.]|{_NAME}|\S|$)"
-)
-# The last line of a record is, from somewhere on, a comment.
+# A line that is, from somewhere on, a comment.
 _IN_COMMENT = rf"^(?:{LITERAL_BODY}|{IRI}|\\.|[^#\"\\])*+#"
 # Strings and comments, to look for long strings outside of them.
 _STRING_OR_COMMENT = rf"{LITERAL_BODY}(?!\")|{IRI}|#[^\n]*+"
-# A prefix directive among tokens one a line.
-_DIRECTIVE = r"@\nprefix\n([^\s:<]*):\n<([^\n]*)>\n\.\n"
 # Tokens one a line: subject, predicate, objects with "," between, more after ";".
 _TERM = r"""(?:[^\n,;.'"\[\](){}@][^\n]*+|\.[^\n]++|"[^\n]++)"""
 _OBJECTS = rf"{_TERM}\n(?:,\n{_TERM}\n)*+"
@@ -70,21 +60,19 @@ def scan_records(spark: SparkSession, path: str | list[str], **options: str) ->
     return reader.text(path).select("value", F.col("_metadata.file_path").alias("file"))
 
 
-def file_facts(records: DataFrame) -> DataFrame:
-    """Rows ``(file, prefixes map, hard)``, one per file.
+def file_facts(lines: DataFrame) -> DataFrame:
+    """Rows ``(file, prefixes map, hard)``, one per file, from its lines (``value``, ``file``).
 
     `hard`: the file can not be read record by record. Long strings may hold what looks
     like a statement end, a comment may cut a statement, and of a prefix bound to two
-    namespaces it depends on the place which one holds.
+    namespaces it depends on the place which one holds. Most lines have no character
+    that could make them hard.
     """
     value = F.col("value")
-    quotes = value.contains('"""') | value.contains("'''")
-    outside = F.regexp_replace(value, _STRING_OR_COMMENT, "")
-    long_strings = quotes & (outside.contains('"') | outside.contains("'''"))
-    last = F.substring_index(value, "\n", -1)
-    commented = last.contains("#") & last.rlike(_IN_COMMENT)
-    tokens = F.rtrim(F.regexp_replace(F.regexp_replace(value, PREFIX_LINE, ""), TOKEN, "$1\n"), F.lit("\n"))
-    cut = F.when(commented, (tokens != "") & (F.substring_index(tokens, "\n", -1) != ".")).otherwise(F.lit(False))
+    outside = F.regexp_replace(F.regexp_replace(value, PREFIX_LINE, ""), _STRING_OR_COMMENT, "")
+    odd = value.rlike(r"""["'\[(]|(?i:prefix|base)""") & outside.rlike(r"""["'\[(]|(?i:(?:^|[\s@])(?:prefix|base)\s)""")
+    loose = value.rlike(r"\.\s*$") & ~value.endswith(" .") & ~value.rlike(r"^\s*#")
+    cut = value.endswith(" .") & value.contains("#") & value.rlike(_IN_COMMENT)
     binds = F.when(
         value.rlike(PREFIX_LINE),
         F.arrays_zip(
@@ -92,9 +80,9 @@ def file_facts(records: DataFrame) -> DataFrame:
             F.regexp_extract_all("value", F.lit(PREFIX_LINE), F.lit(2)).alias("namespace"),
         ),
     )
-    # Inlined as a one-row array: the flag is then computed once a record, not once a binding.
-    flags = F.struct("file", (long_strings | cut).alias("hard"), binds.alias("binds"))
-    found = records.select(F.inline(F.array(flags))).select("file", "hard", F.explode_outer("binds").alias("b"))
+    # Inlined as a one-row array: the flag is then computed once a line, not once a binding.
+    flags = F.struct("file", (odd | loose | cut).alias("hard"), binds.alias("binds"))
+    found = lines.select(F.inline(F.array(flags))).select("file", "hard", F.explode_outer("binds").alias("b"))
     per_prefix = found.groupBy("file", "b.prefix").agg(
         F.min("b.namespace").alias("low"), F.max("b.namespace").alias("high"), F.max("hard").alias("hard")
     )
@@ -112,43 +100,6 @@ def _lined(records: DataFrame) -> DataFrame:
     return records.withColumn("lined", F.regexp_replace(F.coalesce(bare, value), TOKEN, "$1\n")).drop("value")
 
 
-def _lined_whole(files: DataFrame) -> DataFrame:
-    """Rows ``(file, prefixes, lined)``: whole files, cut where a prefix is bound.
-
-    Long strings become short ones. Each part has the bindings of all directives up to
-    its own, the last one of a prefix counting.
-    """
-    inner = lambda t: F.regexp_extract(t, r'(?s)^"""(.*)"""([^"]*)$', 1)
-    quoted = lambda t: F.regexp_replace(inner(t), r'(?s)\G((?:\\.|[^"\\])*+)"', '$1\\\\"')
-
-    def one_line(t: Column) -> Column:
-        short = F.concat(F.lit('"'), quoted(t), F.lit('"'), F.regexp_extract(t, r'(?s)^"""(.*)"""([^"]*)$', 2))
-        held = F.when(t.startswith('"""'), short).otherwise(t)
-        return F.when(t.contains("\n") | t.startswith('"""'), F.replace(F.replace(held, F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r"))).otherwise(held)
-
-    tokens = F.transform(F.regexp_extract_all("value", F.lit(WHOLE_TOKEN), F.lit(1)), one_line)
-    lined = F.concat(F.array_join(tokens, "\n"), F.lit("\n"))
-    # SPARQL directives have no full stop: give them one
-    lined = F.regexp_replace(lined, r"(?m)^(?i:prefix)\n([^\s:<]*:)\n(<[^\n]*>)\n(?!\.\n)", "@\nprefix\n$1\n$2\n.\n")
-    parts = files.select("file", F.posexplode(F.split(lined, rf"(?m)(?=^{_DIRECTIVE})")).alias("at", "part"))
-    parts = kept(parts, "turtle-parts")
-    directive = f"^{_DIRECTIVE}"
-    bound = parts.where(F.col("part").rlike(directive)).select(
-        "file", "at", F.regexp_extract("part", directive, 1).alias("prefix"), F.regexp_extract("part", directive, 2).alias("namespace")
-    )
-    # each part with each prefix of its file, and what that was bound to last
-    named = parts.select("file", "at").join(bound.select("file", "prefix").distinct(), "file")
-    so_far = Window.partitionBy("file", "prefix").orderBy("at")
-    last = named.join(bound, ["file", "at", "prefix"], "left").withColumn("namespace", F.last("namespace", True).over(so_far))
-    maps = last.where("namespace is not null").groupBy("file", "at").agg(
-        F.map_from_entries(F.collect_list(F.struct("prefix", "namespace"))).alias("prefixes")
-    )
-    none = F.create_map().cast("map<string,string>")
-    return parts.join(maps, ["file", "at"], "left").select(
-        "file", F.coalesce("prefixes", none).alias("prefixes"), F.regexp_replace("part", directive, "").alias("lined")
-    )
-
-
 def _token_rows(records: DataFrame, keep: list[str]) -> DataFrame:
     """One row ``(st, pt, ot, sound)`` per object of each statement, tokens as written.
 
@@ -193,15 +144,19 @@ def _token_rows(records: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def parse_turtle(records: DataFrame, graph: str | None = None, bnode_scope: str = "file") -> DataFrame:
-    """Records (``lined``, ``file``, ``prefixes``) -> triple columns + ``ok``."""
-    rows = _token_rows(records, ["file", "prefixes"])
+    """Records (``lined``, ``file``, ``prefixes``, maybe ``base``) -> triple columns + ``ok``."""
+    based = "base" in records.columns
+    rows = _token_rows(records, ["file", "prefixes", *(["base"] if based else [])])
 
     def full(token: Column) -> Column:
         """IRI reference or prefixed name -> absolute IRI; null if it is neither."""
         prefix = F.substring_index(token, ":", 1)
         local = token.substr(F.length(prefix) + 2, F.length(token))
         unescaped = F.when(local.contains("\\"), F.regexp_replace(local, r"\\(.)", "$1")).otherwise(local)
-        absolute = F.when(token.rlike("^<[A-Za-z][A-Za-z0-9+.-]*:"), token.substr(F.lit(2), F.length(token) - 2))
+        inner = token.substr(F.lit(2), F.length(token) - 2)
+        absolute = F.when(token.rlike("^<[A-Za-z][A-Za-z0-9+.-]*:"), inner)
+        if based:
+            absolute = F.coalesce(absolute, resolve(F.col("base"), inner))
         return F.when(token.startswith("<"), absolute).when(
             token.contains(":"), F.concat(F.try_element_at("prefixes", prefix), unescaped)
         )
@@ -260,7 +215,8 @@ def scan_turtle(
     if prefixes is not None:
         table = F.create_map(*[F.lit(x) for pair in prefixes.items() for x in pair])
         return parse_turtle(_lined(records.withColumn("prefixes", table)), graph, bnode_scope)
-    facts = kept(file_facts(records), "turtle-files")
+    lines = spark.read.options(**options).option("lineSep", "\n").text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    facts = kept(file_facts(lines), "turtle-files")
     entries = F.map_entries("prefixes")
     usual = facts.where("not hard").groupBy(entries.alias("e")).count().orderBy(F.desc("count"), F.to_json("e")).first()
     if usual is None:
@@ -275,9 +231,7 @@ def scan_turtle(
     hard = [r.file for r in facts.where("hard").select("file").collect()]
     if not hard:
         return easy if easy is not None else parse_turtle(_lined(records.withColumn("prefixes", F.create_map().cast("map<string,string>"))), graph, bnode_scope)
-    whole = spark.read.options(**options).text(path, wholetext=True)
-    whole = whole.select("value", F.col("_metadata.file_path").alias("file")).where(F.col("file").isin(hard))
-    read = parse_turtle(_lined_whole(whole), graph, bnode_scope)
+    read = parse_turtle(scan_lines(spark, path, hard, SOUND, **options), graph, bnode_scope)
     return read if easy is None else easy.unionByName(read)
 
 
