@@ -1,4 +1,6 @@
+import pytest
 from conftest import as_set
+from pyspark.sql import functions as F
 
 from trilake.operators import graphs
 from trilake.operators.patterns import V, bgp, pattern
@@ -75,3 +77,59 @@ def test_scratch_dir_uses_the_shared_folder(spark):
     base = spark.conf.get("spark.checkpoint.dir", None)
     first, second = scratch_dir(spark, "x"), scratch_dir(spark, "x")
     assert first != second and (not base or first.startswith(base))
+
+
+def test_append_is_a_union_of_sets(spark, tmp_path, graph_of):
+    for layout in ("predicate", "hash"):
+        path = str(tmp_path / layout)
+        store.persist_graph(graph_of(A), path, "append", layout=layout)
+        for rows in (A, B + B, [(":a", ":p", '"x"'), (":new", ":r", ":x")], []):
+            store.persist_graph(graph_of(rows), path, "append")
+        opened = store.open_graph(spark, path)
+        assert as_set(opened.select(*TRIPLE_COLUMNS)) == as_set(graphs.graph_union(graph_of(A + B), graph_of([(":a", ":p", '"x"'), (":new", ":r", ":x")])))
+        assert opened.count() == 7
+        store.vacuum_store(spark, path)
+        assert store.open_graph(spark, path).count() == 7
+        store.persist_graph(graph_of(B), path)
+        store.vacuum_store(spark, path)
+        assert store.open_graph(spark, path).count() == 2 and len(list((tmp_path / layout).glob("version=*"))) == 1
+
+
+def test_append_reads_touched_predicates_only(spark, tmp_path, graph_of):
+    path = str(tmp_path / "store")
+    store.persist_graph(graph_of(A), path)
+    gone = next((tmp_path / "store").glob("version=*/p_local=p_q"))
+    for file in gone.iterdir():
+        file.write_bytes(b"no parquet") if not file.name.startswith(".") else file.unlink()
+    store.persist_graph(graph_of(B), path, "append")
+    assert pattern(store.open_graph(spark, path), V("s"), ":p", V("o")).count() == 3
+
+
+def test_a_job_that_dies_leaves_the_old_graph(spark, tmp_path, graph_of):
+    path = str(tmp_path / "store")
+    both = graph_of(A).unionByName(graph_of(B, "http://g"))
+    store.persist_graph(both, path, by_graph=True)
+    before = store.open_graph(spark, path)
+    dies = graph_of(B * 50).withColumn("s", F.when(F.col("o") == NS + "z", F.raise_error(F.lit("died"))).otherwise(F.col("s")))
+    for change in (
+        lambda: store.persist_graph(dies, path, by_graph=True),
+        lambda: store.persist_graph(dies, path, "append"),
+        lambda: store.replace_stored_graph(dies, path, None),
+    ):
+        with pytest.raises(Exception, match="died"):
+            change()
+        assert as_set(store.open_graph(spark, path)) == as_set(before)
+    store.clear_stored_graph(spark, path, "http://g")
+    assert before.count() == 6 and store.open_graph(spark, path).count() == 4  # an open graph stays what it was
+    with pytest.raises(ValueError, match="no graph"):
+        store.open_graph(spark, str(tmp_path / "nothing"))
+
+
+def test_two_changes_of_one_state_are_not_both_made(spark, tmp_path, graph_of):
+    path = str(tmp_path / "store")
+    store.persist_graph(graph_of(A), path)
+    content = {"layout": "predicate", "by_graph": False, "parts": []}
+    store._publish(spark, path, 1, content)
+    with pytest.raises(RuntimeError, match="another job"):
+        store._publish(spark, path, 1, content)
+    assert store.open_graph(spark, path).count() == 0

@@ -392,6 +392,16 @@ ORACLE: dict[str, str] = {
     ),
     "q4_single_valued": _Q4.format(orders="orders"),
     "bindings_json": _JSON,
+    "result_document": f"""
+        SELECT {ORD.format('o_orderkey')} AS "order", {C.format('o_custkey')} AS customer, c_name AS name, {MONEY.format('o_totalprice')} AS amount,
+            'iri' AS kind, '{XSD}double' AS dtype, CAST(NULL AS VARCHAR) AS lang, CAST(quantity AS BIGINT) AS quantity
+        FROM orders JOIN customer ON c_custkey = o_custkey LEFT JOIN {QUANTITIES} ON l_orderkey = o_orderkey
+    """,
+    "append_stored_graph": _graph(ALL),
+    "read_turtle_nested": """
+        SELECT 'c' || c_custkey AS s, CAST(c_nationkey AS VARCHAR) AS one, 'http://base.example/y' AS two FROM customer
+        UNION ALL SELECT 'o' || o_orderkey, 'http://base.example/x/c' || o_custkey, o_orderstatus FROM orders
+    """,
     "roundtrip_results": f"WITH {LOG} SELECT framework, scale, operation, seconds FROM log",
     "report_rows": f"WITH {LOG}, {_WIDE} SELECT framework, scale, '{{' || {_REPORT} || '}}' AS json FROM wide",
     "iri_expand": _EXPANDED,

@@ -155,6 +155,20 @@ def clear_stored_graph(spark, sf_dir):
     return shown(store.open_graph(spark, _scratch(spark, sf_dir, "store-cleared", write)))
 
 
+@query
+def append_stored_graph(spark, sf_dir):
+    """Parts that overlap, added to a store one after another, one of them twice."""
+
+    def write(path: str) -> None:
+        made = (dt.customer_triples, dt.product_triples, dt.order_triples)
+        customers, parts, orders = (money_text(triples(spark, sf_dir, "rows")) for triples in made)
+        store.persist_graph(customers.unionByName(parts), path)
+        for more in (parts.unionByName(orders), orders):
+            store.persist_graph(more, path, "append")
+
+    return shown(store.open_graph(spark, _scratch(spark, sf_dir, "store-appended", write)))
+
+
 @query
 def roundtrip_bnodes(spark, sf_dir):
     """Orders as blank nodes in several files, joined on them after reading."""
@@ -185,6 +199,38 @@ def read_turtle_hard(spark, sf_dir):
     return read_turtle(spark, _scratch(spark, sf_dir, "hard", write)).select("s", "p", "o", "o_kind", "o_dtype")
 
 
+@query
+def read_turtle_nested(spark, sf_dir):
+    """An address without a name for each customer, and a list of each order's facts; items in their order."""
+    customer, orders = dt.table(spark, sf_dir, "customer"), dt.table(spark, sf_dir, "orders")
+    first = F.concat(
+        F.lit("@base <http://base.example/x/> . @prefix : <v#> .\n<c"), F.col("c_custkey").cast("string"), F.lit("> :address [ :nation "),
+        F.col("c_nationkey").cast("string"), F.lit(" ; :segment '"), "c_mktsegment", F.lit("' , [ :of <../y> ] ] ."),
+    )
+    second = F.concat(
+        F.lit("BASE <http://base.example/x/>\nPREFIX : <v#> <o"), F.col("o_orderkey").cast("string"), F.lit("> :facts ( <c"),
+        F.col("o_custkey").cast("string"), F.lit("> '"), "o_orderstatus", F.lit("' () )."),
+    )
+
+    def write(path: str) -> None:
+        customer.select(first.alias("value")).unionByName(orders.select(second.alias("value"))).write.text(path)
+
+    read = read_turtle(spark, _scratch(spark, sf_dir, "nested", write))
+    base, v = "http://base.example/x/", "http://base.example/x/v#"
+    first, rest = (f"http://www.w3.org/1999/02/22-rdf-syntax-ns#{x}" for x in ("first", "rest"))
+    addresses = bgp(
+        read,
+        [(V("s"), v + "address", V("a")), (V("a"), v + "nation", V("one", "term")), (V("a"), v + "segment", V("b")), (V("b"), v + "of", V("two"))],
+    )
+    lists = bgp(
+        read,
+        [(V("s"), v + "facts", V("l1")), (V("l1"), first, V("one", "term")), (V("l1"), rest, V("l2")), (V("l2"), first, V("two")),
+         (V("l2"), rest, V("l3")), (V("l3"), first, V("none")), (V("l3"), rest, V("none"))],
+    )
+    both = addresses.select("s", F.col("one.value").alias("one"), "two").unionByName(lists.select("s", F.col("one.value").alias("one"), "two"))
+    return both.withColumn("s", F.replace("s", F.lit(base), F.lit("")))
+
+
 @query
 def generate_entities(spark, sf_dir):
     """Three tables of the sizes of customer, part and orders, under one heading."""
@@ -317,6 +363,27 @@ def bindings_json(spark, sf_dir):
     return result_sinks.to_sparql_json(shown, uris=["order", "customer"])
 
 
+@query
+def result_document(spark, sf_dir):
+    """The bindings of `bindings_json` as one result document, read back by the variables of its head."""
+
+    def write(path: str) -> None:
+        rows = bgp(
+            money_text(dt.graph(spark, sf_dir)),
+            [
+                (V("order"), ":placedBy", V("customer")),
+                (V("order"), ":totalAmount", V("amount", "term")),
+                (V("customer"), "rdfs:label", V("name", "term")),
+            ],
+            optionals=[[(V("order"), ":quantity", V("quantity", "bigint"))]],
+        )
+        result_sinks.write_result_document(rows.select("order", "customer", "name", "amount", "quantity"), path, uris=["order", "customer"])
+
+    read = result_sources.read_result_document(spark, _scratch(spark, sf_dir, "document", write), {"quantity": "bigint"})
+    parts = [F.col("order.kind").alias("kind"), F.col("amount.dtype").alias("dtype"), F.col("name.lang").alias("lang"), "quantity"]
+    return read.select(*[F.col(f"{c}.value").alias(c) for c in ("order", "customer", "name", "amount")], *parts)
+
+
 @query
 def roundtrip_results(spark, sf_dir):
     path = _scratch(

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trilake.session import kept
 from trilake.vocab import MEASUREMENTS, XSD, XSD_BOOLEAN, XSD_DATE, XSD_DECIMAL, XSD_DOUBLE, XSD_INTEGER
 
 # Spark type -> datatype of the term shown in a result row.
@@ -52,6 +54,21 @@ def to_sparql_json(bindings: DataFrame, uris: Sequence[str] = ()) -> DataFrame:
     return bindings.select(F.to_json(F.struct(*[term(n, t) for n, t in bindings.dtypes])).alias("value"))
 
 
+def write_result_document(bindings: DataFrame, path: str, uris: Sequence[str] = ()) -> None:
+    """A query result as one ``application/sparql-results+json`` document over many text files.
+
+    The files in the order of their names are the document: a line with the head, a line
+    for each binding in the order of the rows, a last line. No task holds more than its rows.
+    """
+    lines = kept(to_sparql_json(bindings, uris).withColumn("at", F.monotonically_increasing_id()), "result-lines")
+    first, last = lines.agg(F.min("at"), F.max("at")).first()
+    comma = F.when(F.col("at") == F.lit(first), "").otherwise(",")
+    shown = lines.select("at", F.concat(comma, "value").alias("value"))
+    head = json.dumps({"head": {"vars": bindings.columns}})[:-1] + ', "results": {"bindings": ['
+    ends = lines.sparkSession.createDataFrame([(-1, head), ((last or 0) + 1, "]}}")], "at long, value string")
+    shown.unionByName(ends).orderBy("at").select("value").write.mode("overwrite").text(path)
+
+
 def write_results(measurements: DataFrame, path: str) -> None:
     """The log as JSON lines, replacing what is there."""
     measurements.select(*MEASUREMENTS.fieldNames()).write.mode("overwrite").json(path)

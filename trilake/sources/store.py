@@ -3,16 +3,24 @@
 Each predicate is a directory (vertical partitioning), so a pattern with a bound
 predicate reads that directory only. Within it rows are sorted by subject, which
 gives the row groups narrow subject ranges.
+
+What is written goes to a directory of its own, a version, and takes effect when a
+manifest that names it is put in place: a numbered list of the directories a reader
+reads. A job that dies before that leaves the graph as it was, and readers that have
+opened a manifest keep their graph until `vacuum_store` deletes what it names.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Collection
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trilake.functions import terms
+from trilake.session import kept
 from trilake.vocab import TRIPLE_COLUMNS, TRIPLES
 
 BUCKETS = 256
@@ -69,18 +77,70 @@ def graph_filter(df: DataFrame, graph: str | None) -> Column:
 LAYOUTS = {"predicate": "p_local", "hash": "p_bucket"}
 
 
-def _write(triples: DataFrame, path: str, mode: str, by_graph: bool, layout: str) -> None:
+def _write(triples: DataFrame, path: str, by_graph: bool, layout: str) -> list[str]:
+    """Write a new version; its directories, relative to the store."""
     column = LAYOUTS[layout]
     keys = ["g_part", column] if by_graph else [column]
     parts = {column: PREDICATE_PARTS[column](F.col("p")), "g_part": graph_part(F.col("g"))}
+    version = f"version={uuid.uuid4().hex}"
     (
         triples.select(*TRIPLE_COLUMNS, *[parts[k].alias(k) for k in keys])
         .hint("rebalance", *keys, "s")
         .sortWithinPartitions(*keys, "s")
-        .write.mode(mode)
-        .partitionBy(*keys)
-        .parquet(path)
+        .write.partitionBy(*keys)
+        .parquet(f"{path.rstrip('/')}/{version}")
     )
+    return _directories(triples.sparkSession, path, version, len(keys))
+
+
+def _files(spark: SparkSession, path: str):
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()), folder
+
+
+def _directories(spark: SparkSession, path: str, version: str, depth: int) -> list[str]:
+    files, _ = _files(spark, path)
+    found = [version]
+    for _ in range(depth):
+        found = [
+            f"{d}/{x.getPath().getName()}"
+            for d in found
+            for x in files.listStatus(_files(spark, f"{path.rstrip('/')}/{d}")[1])
+            if x.isDirectory() and "=" in x.getPath().getName()
+        ]
+    return sorted(found)
+
+
+def _manifests(spark: SparkSession, path: str) -> list[int]:
+    files, folder = _files(spark, f"{path.rstrip('/')}/_manifests")
+    if not files.exists(folder):
+        return []
+    names = [x.getPath().getName() for x in files.listStatus(folder)]
+    return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json") and not n.startswith("."))
+
+
+def _manifest(spark: SparkSession, path: str) -> tuple[int, dict]:
+    """Number and content of the manifest in force."""
+    numbers = _manifests(spark, path)
+    if not numbers:
+        raise ValueError(f"no graph is stored at {path}")
+    name = f"{path.rstrip('/')}/_manifests/{numbers[-1]}.json"
+    return numbers[-1], json.loads(spark.read.text(name, wholetext=True).first()[0])
+
+
+def _publish(spark: SparkSession, path: str, after: int, content: dict) -> None:
+    """Put manifest number `after` + 1 in place, written under another name first.
+
+    Whoever changed the store in between has taken that number, and this change fails.
+    """
+    files, target = _files(spark, f"{path.rstrip('/')}/_manifests/{after + 1}.json")
+    _, draft = _files(spark, f"{path.rstrip('/')}/_manifests/.{uuid.uuid4().hex}")
+    out = files.create(draft)
+    out.write(bytearray(json.dumps(content).encode()))
+    out.close()
+    if files.exists(target) or not files.rename(draft, target):
+        files.delete(draft, False)
+        raise RuntimeError(f"{path} was changed by another job")
 
 
 def persist_graph(
@@ -97,49 +157,88 @@ def persist_graph(
     of all rows is written by many tasks, and small predicates do not make small files.
     `layout` "predicate" has a directory for each predicate, "hash" a fixed number of
     ``BUCKETS`` directories, for graphs with thousands of predicates.
+
+    ``mode="append"`` adds the triples that the store does not hold yet, so loading a file
+    twice changes nothing; it reads the directories of the predicates in question only,
+    and keeps the layout of the store.
     """
-    _write(triples, path, mode, by_graph, layout)
+    spark = triples.sparkSession
+    if mode not in ("overwrite", "append"):
+        raise ValueError(f"mode is 'overwrite' or 'append', not {mode!r}")
+    numbers = _manifests(spark, path)
+    if mode == "append" and numbers:
+        _append(triples, path)
+        return
+    parts = _write(triples, path, by_graph, layout)
+    _publish(spark, path, numbers[-1] if numbers else 0, {"layout": layout, "by_graph": by_graph, "parts": parts})
 
 
-def open_graph(spark: SparkSession, path: str) -> DataFrame:
-    """A graph written by `persist_graph`; its partition columns stay visible to `pattern`."""
-    columns = _partition_columns(spark, path)
-    if not columns:
+def _append(triples: DataFrame, path: str) -> None:
+    spark = triples.sparkSession
+    number, content = _manifest(spark, path)
+    column = LAYOUTS[content["layout"]]
+    part = PREDICATE_PARTS[column]
+    given = kept(triples.select(*TRIPLE_COLUMNS).dropDuplicates(), "store-append")
+    touched = {r[0] for r in given.select(part(F.col("p"))).distinct().collect()}  # directories, as the driver lists
+    held = [d for d in content["parts"] if d.rsplit("=", 1)[1] in touched]
+    old = _read(spark, path, content, held).select([F.col(c).alias(f"_{c}") for c in TRIPLE_COLUMNS])
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in TRIPLE_COLUMNS]
+    fresh = given.join(old, same, "left_anti")
+    parts = _write(fresh, path, content["by_graph"], content["layout"])
+    _publish(spark, path, number, content | {"parts": content["parts"] + parts})
+
+
+def _read(spark: SparkSession, path: str, content: dict, parts: list[str]) -> DataFrame:
+    if not parts:
         return spark.createDataFrame([], TRIPLES)
-    fields = ", ".join(f"{c} string" for c in [*TRIPLE_COLUMNS, *columns])
-    return spark.read.schema(fields).parquet(path)
+    keys = (["g_part"] if content["by_graph"] else []) + [LAYOUTS[content["layout"]]]
+    fields = ", ".join(f"{c} string" for c in [*TRIPLE_COLUMNS, "version", *keys])
+    base = path.rstrip("/")
+    return spark.read.schema(fields).option("basePath", base).parquet(*[f"{base}/{d}" for d in parts]).drop("version")
 
 
-def _partition_columns(spark: SparkSession, path: str) -> list[str]:
-    """The partition columns of a store, read from its directories; none if it is empty."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    columns = []
-    while True:
-        inside = [d.getPath() for d in files.listStatus(folder) if d.isDirectory() and "=" in d.getPath().getName()]
-        if not inside:
-            return columns
-        columns.append(inside[0].getName().split("=")[0])
-        # an emptied graph has a directory of its own without predicates
-        folder = next((d for d in inside if any(x.isDirectory() for x in files.listStatus(d))), inside[0])
-
-
-def _graph_dir(spark: SparkSession, path: str, graph: str | None) -> str:
-    part = spark.range(1).select(graph_part(F.lit(graph).cast("string"))).first()[0]
-    return f"{path.rstrip('/')}/g_part={part}"
+def open_graph(spark: SparkSession, path: str) -> DataFrame:
+    """A graph written by `persist_graph`; its partition columns stay visible to `pattern`."""
+    _, content = _manifest(spark, path)
+    return _read(spark, path, content, content["parts"])
 
 
 def replace_stored_graph(triples: DataFrame, path: str, graph: str | None) -> None:
-    """Overwrite one graph of a store written with ``by_graph=True``; the others stay.
+    """Exchange one graph of a store written with ``by_graph=True``; the others stay.
 
-    The layout is that of the store.
+    The layout is that of the store. Readers see the old graph or the new one.
     """
     spark = triples.sparkSession
-    layout = "hash" if "p_bucket" in _partition_columns(spark, path) else "predicate"
+    number, content = _manifest(spark, path)
+    if not content["by_graph"]:
+        raise ValueError("the store is not split by graph")
+    others = [d for d in content["parts"] if f"/g_part={_graph_name(spark, graph)}/" not in d]
     moved = triples.withColumn("g", F.lit(graph).cast("string"))
-    _write(moved, _graph_dir(spark, path, graph), "overwrite", False, layout)
+    _publish(spark, path, number, content | {"parts": others + _write(moved, path, True, content["layout"])})
 
 
 def clear_stored_graph(spark: SparkSession, path: str, graph: str | None) -> None:
-    """Drop one graph of a store written with ``by_graph=True``; the others stay."""
-    replace_stored_graph(spark.createDataFrame([], TRIPLES), path, graph)
+    """Drop one graph of a store written with ``by_graph=True``; the others stay. Writes no data."""
+    number, content = _manifest(spark, path)
+    others = [d for d in content["parts"] if f"/g_part={_graph_name(spark, graph)}/" not in d]
+    _publish(spark, path, number, content | {"parts": others})
+
+
+def _graph_name(spark: SparkSession, graph: str | None) -> str:
+    return spark.range(1).select(graph_part(F.lit(graph).cast("string"))).first()[0]
+
+
+def vacuum_store(spark: SparkSession, path: str) -> None:
+    """Delete all versions that the manifest in force does not name, and older manifests.
+
+    Not while another job writes to the store or reads what an older manifest names.
+    """
+    number, content = _manifest(spark, path)
+    files, folder = _files(spark, path)
+    named = {d.split("/")[0] for d in content["parts"]}
+    for x in files.listStatus(folder):
+        if x.getPath().getName().startswith("version=") and x.getPath().getName() not in named:
+            files.delete(x.getPath(), True)
+    for old in _manifests(spark, path):
+        if old < number:
+            files.delete(_files(spark, f"{path.rstrip('/')}/_manifests/{old}.json")[1], False)
