@@ -74,6 +74,14 @@ def test_simhash_equals_brute_force(spark, monkeypatch, size):
     assert simhash.near_duplicates(docs_of(spark, rows).limit(0)).count() == 0
 
 
+def test_deduplicated_on_any_partitioning(spark):
+    """Rows that share id and text but differ elsewhere: the same one stays however they are dealt."""
+    rows = [(1, "one two three four five six", f"s{i}", i) for i in range(50)] + [(2, "one two three four five six", "z", 0), (3, "quite another text stands in this row", "y", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, extra long")
+    found = [sorted(map(tuple, simhash.deduplicated(docs.repartition(n)).collect())) for n in (1, 3, 7)]
+    assert found[0] == found[1] == found[2] and [r[0] for r in found[0]] == [1, 3]
+
+
 def test_links_between_given_fingerprints(spark):
     rng = random.Random(5)
     codes = {rng.getrandbits(64) for _ in range(40)}
@@ -304,7 +312,13 @@ def test_fixed_rules(spark):
     assert url_rules.judge(pages.limit(0), labels).count() == 0
 
 
-def test_mined_rules_equal_brute_force(spark):
+def wilson(b, n, z):
+    share = b / n
+    return (share + z * z / (2 * n) - z * (share * (1 - share) / n + z * z / (4 * n * n)) ** 0.5) / (1 + z * z / n)
+
+
+@pytest.mark.parametrize("z", [0.0, 2.0])
+def test_mined_rules_equal_brute_force(spark, z):
     from itertools import combinations
 
     rng = random.Random(8)
@@ -315,23 +329,42 @@ def test_mined_rules_equal_brute_force(spark):
         rows.append((i, "x://h.org/" + "/".join(words), bad))
     sets = [({w for w in r[1].replace("x://h.org/", "").split("/")} | {"x", "h", "org"}, r[2]) for r in rows]
     least = max(0.05 * len(rows), 5)
+    base = sum(r[2] for r in rows) / len(rows)
     rules = {}
     vocabulary = sorted(set().union(*(s for s, _ in sets)))
     for size in range(1, 7):
         for combo in combinations(vocabulary, size):
             marks = [b for s, b in sets if set(combo) <= s]
-            if sum(marks) >= least and sum(marks) / len(marks) >= 0.6:
+            if marks and sum(marks) >= least and sum(marks) / len(marks) >= 0.6 and wilson(sum(marks), len(marks), z) >= base:
                 rules[combo] = sum(marks) / len(marks)
     minimal = {c for c in rules if not any(set(d) < set(c) for d in rules)}
     pages = spark.createDataFrame(rows, "page_id long, url string, bad boolean")
-    mined = url_rules.mine_rules(pages, min_support=0.05).collect()
+    mined = url_rules.mine_rules(pages, min_support=0.05, min_z=z).collect()
     assert {tuple(r.tokens): pytest.approx(r.confidence) for r in mined} == {c: rules[c] for c in minimal}
     labels = pages.selectExpr("page_id doc_id", "if(bad, 0, 1) quality", "0 toxic").union(spark.createDataFrame([(None, 0, 0), (3, None, 0)], "doc_id long, quality int, toxic int"))
-    judged = url_rules.judge(pages, labels, rules=(), min_support=0.05).collect()
+    judged = url_rules.judge(pages, labels, rules=(), min_support=0.05, min_z=z).collect()
     want = {i: any(set(c) <= s for c in minimal) for i, (s, _) in enumerate(sets)}
     assert {r.page_id: r.verdict == "block" for r in judged} == want and any(want.values())
 
 
+def test_many_shared_tokens_make_few_rules(spark):
+    """A bad site of 60 pages with 25 tokens in common, among 30,000 labelled pages."""
+    shared = "/".join(f"t{i:02d}" for i in range(25))
+    pages = spark.range(30_000).selectExpr(
+        "id page_id",
+        f"CASE WHEN id < 60 THEN concat('http://bad.example/{shared}/', id) WHEN id < 200 THEN concat('http://x.example/t01/', id) ELSE concat('http://x.example/page/', id) END url",
+        "id < 60 OR id % 5 = 0 AS bad",
+    )
+    rules = url_rules.mine_rules(pages).collect()
+    assert [(r.tokens, r.confidence) for r in rules] == [(["bad"], 1.0)]
+    labels = pages.selectExpr("page_id doc_id", "if(bad, 0, 1) quality", "0 toxic")
+    more = spark.createDataFrame([(-1, "http://new.example/t05"), (-2, "http://new.example/t01")], "page_id long, url string")
+    judged = url_rules.judge(pages.select("page_id", "url").unionByName(more), labels)
+    blocked = {r.page_id for r in judged.where("verdict = 'block'").collect()}
+    assert blocked == {*range(60), -1}  # any token that stood for the site does; t01 stands elsewhere too
+    assert judged.where("verdict = 'block' and rule is null and n_matched = 1").count() == 61
+
+
 # ---------------------------------------------------------------- toxicity
 
 

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import string
+from functools import reduce
 
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trilake.llm.common import stored
+from trilake.operators.joins import lookup_join
 
 #: Host and path of a rule in one string, and what it says.
 RULES = (
@@ -18,11 +20,13 @@ RULES = (
     ("net/es/", "block"),
     ("net/fr/", "block"),
 )
-#: A mined rule holds for at least this share of the labelled pages, and for so many.
-MIN_SUPPORT, MIN_PAGES = 0.002, 5
+#: A mined rule marks at least so many bad labelled pages, whatever the size of the table
+#: (and this share of all labelled pages, if asked for).
+MIN_PAGES, MIN_SUPPORT = 5, 0.0
 MIN_CONFIDENCE = 0.6
-#: The item that stands for a bad label; no token of an address has a space.
-BAD = "bad page"
+#: So many standard errors that its confidence stands above the share of bad pages among all
+#: (Wilson's lower bound): one set of tokens in 3.5 million passes by chance.
+MIN_Z = 5.0
 ADDRESS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
 
@@ -49,33 +53,93 @@ def tokens(url: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(F.coalesce(url, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: t != ""))
 
 
-def mine_rules(labelled: DataFrame, min_support=MIN_SUPPORT, min_pages=MIN_PAGES, min_confidence=MIN_CONFIDENCE) -> DataFrame:
+def token_classes(items: DataFrame) -> DataFrame:
+    """token, rep, n, b: tokens of the same rows share the representative `rep`, the least of them.
+
+    `items`: tokens, bad, h (a hash of the address). n rows and b bad rows hold the token;
+    these and the sum of the rows' hashes tell which tokens always stand together.
+    """
+    each = items.select(F.explode("tokens").alias("token"), F.col("bad").cast("long").alias("b"), F.col("h").cast("decimal(38,0)").alias("h"))
+    held = stored(each.groupBy("token").agg(F.count("*").alias("n"), F.sum("b").alias("b"), F.sum("h").alias("h")), "url-tokens")
+    least = held.groupBy("n", "b", "h").agg(F.min("token").alias("rep"))
+    return stored(held.join(least, ["n", "b", "h"]).select("token", "rep", "n", "b"), "url-classes")
+
+
+def with_reps(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """The distinct representatives of each row's tokens as `tokens`; `rows`: id, tokens and
+    columns that belong to the id. Rows without any are left out."""
+    others = [c for c in rows.columns if c != "tokens"]
+    known = lookup_join(rows.select(*others, F.explode("tokens").alias("token")), classes.select("token", "rep"), ["token"], "inner")
+    return known.groupBy(*others).agg(F.array_sort(F.collect_set("rep")).alias("tokens"))
+
+
+def _mined(labelled: DataFrame, min_support: float, min_pages: int, min_confidence: float, min_z: float) -> tuple[DataFrame, DataFrame]:
+    """The minimal rules over representatives, and the classes of tokens they stand for."""
+    url = F.col("url")
+    items = stored(labelled.where("bad is not null").select(tokens(url).alias("tokens"), "bad", F.xxhash64("url").alias("h")), "url-items")
+    n_all, n_bad = items.agg(F.count("*"), F.coalesce(F.sum(F.col("bad").cast("long")), F.lit(0))).first()
+    classes = token_classes(items)
+    floor = max(min_pages, min_support * n_all, 1)
+    base = n_bad / n_all if n_all else 0.0
+
+    def holds(rows: DataFrame) -> DataFrame:
+        """Rules among sets: tokens, n (rows with the set), b (bad ones among them)."""
+        n, share, z = F.col("n").cast("double"), F.col("b") / F.col("n"), F.lit(float(min_z))
+        spread = z * F.sqrt(share * (1 - share) / n + z * z / (4 * n * n))
+        least = (share + z * z / (2 * n) - spread) / (1 + z * z / n)
+        return rows.where((F.col("b") >= floor) & (share >= min_confidence) & (least >= base))
+
+    reps = classes.where((F.col("token") == F.col("rep")) & (F.col("b") >= floor)).select(F.array("rep").alias("tokens"), "n", "b")
+    found = [stored(holds(reps), "url-rules-1")]
+    # no longer rule that is minimal has a token that is a rule by itself
+    open_reps = stored(reps.join(found[0].select("tokens"), "tokens", "left_anti").select(F.col("tokens")[0].alias("rep")), "url-open")
+    members = classes.join(open_reps, "rep").select("token", "rep")
+    ids = items.withColumn("id", F.monotonically_increasing_id())
+    rows = stored(with_reps(ids.select("id", "bad", "tokens"), members).where(F.size("tokens") > 1), "url-rows")
+    bad_rows = rows.where("bad")
+    n_rows = bad_rows.count()
+    if n_rows >= floor:
+        model = FPGrowth(itemsCol="tokens", minSupport=max(0.0, (floor - 0.5) / n_rows), minConfidence=1.0).fit(bad_rows)
+        sets = stored(model.freqItemsets.where(F.size("items") > 1).select(F.array_sort("items").alias("tokens"), F.col("freq").alias("b")), "url-sets")
+        counts = classes.select(F.col("rep").alias("token"), "n").distinct()
+        dead = None
+        for size in range(2, (sets.agg(F.max(F.size("tokens"))).first()[0] or 1) + 1):  # lengths of sets
+            level = sets.where(F.size("tokens") == size)
+            covered = level.select("tokens").limit(0)
+            if dead is not None:
+                parts = F.transform("tokens", lambda t: F.array_remove("tokens", t))
+                covered = level.select("tokens", F.explode(parts).alias("part")).join(dead.withColumnRenamed("tokens", "part"), "part").select("tokens").distinct()
+                level = level.join(covered, "tokens", "left_anti")
+            level = stored(level, "url-level")
+            keyed = with_key(level.select("tokens"), counts).select("key", F.col("tokens").alias("rule"))
+            good = matches(rows.where("not bad").select("tokens"), keyed).groupBy(F.col("rule").alias("tokens")).count()
+            counted = level.join(good, "tokens", "left").withColumn("n", F.col("b") + F.coalesce("count", F.lit(0)))
+            found.append(stored(holds(counted).select("tokens", "n", "b"), "url-rules-n"))
+            dead = stored(covered.unionByName(found[-1].select("tokens")), "url-dead")
+    rules = with_key(reduce(DataFrame.unionByName, found), classes.select(F.col("rep").alias("token"), "n").distinct())
+    share = F.col("b") / F.col("n")
+    rules = rules.select("tokens", "key", share.alias("confidence"), (share / F.lit(base or 1.0)).alias("lift"), (F.col("b") / F.lit(float(n_all or 1))).alias("support"))
+    return stored(rules, "url-rules"), classes
+
+
+def with_key(sets: DataFrame, counts: DataFrame) -> DataFrame:
+    """`sets` with `key`: the token of each that the fewest rows hold, by `counts` (token, n)."""
+    each = sets.select("tokens", F.explode("tokens").alias("token")).join(counts.withColumnRenamed("n", "_n"), "token")
+    rarest = each.groupBy("tokens").agg(F.min(F.struct("_n", "token"))["token"].alias("key"))
+    return sets.join(rarest, "tokens")
+
+
+def mine_rules(labelled: DataFrame, min_support=MIN_SUPPORT, min_pages=MIN_PAGES, min_confidence=MIN_CONFIDENCE, min_z=MIN_Z) -> DataFrame:
     """Token combinations that mark bad pages: tokens, key, confidence, lift, support.
 
-    `labelled`: url, bad. FP-growth finds the frequent token sets; a rule is kept if it
-    says "bad", has the support and confidence asked for, and no part of it is a rule
-    already. key: its rarest token, under which the inverted index lists it.
+    `labelled`: url, bad. Tokens that always stand together count as one, the least of
+    them; single tokens that are rules leave before FP-growth mines the bad pages, so sets
+    of tokens that one bad site shares are not spelled out. Sets are counted on the other
+    pages level by level, below a rule not at all. A rule is kept if it has the pages,
+    the confidence and the significance asked for, and no part of it is a rule already.
+    key: its rarest token, under which the inverted index lists it.
     """
-    items = labelled.select(F.concat(tokens(F.col("url")), F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(F.array())).alias("items"))
-    items = stored(items.where(F.size("items") > 0), "url-items")
-    n = items.count()
-    schema = "tokens array<string>, key string, confidence double, lift double, support double"
-    if not n:
-        return items.sparkSession.createDataFrame([], schema)
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_support, min_pages / n)), minConfidence=min_confidence).fit(items)
-    found = model.associationRules.where(F.array_contains("consequent", BAD))
-    found = found.select(F.array_sort("antecedent").alias("tokens"), "confidence", "lift", "support")
-    single = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
-    rarest = (
-        found.select("tokens", F.explode("tokens").alias("token"))
-        .join(single, "token")
-        .groupBy("tokens")
-        .agg(F.min(F.struct("freq", "token")).alias("rarest"))
-    )
-    rules = stored(found.join(rarest, "tokens").select("tokens", F.col("rarest.token").alias("key"), "confidence", "lift", "support"), "url-rules")
-    parts = matches(rules.select(F.col("tokens").alias("whole"), "tokens"), rules.select("key", F.col("tokens").alias("rule")))
-    longer = parts.where(F.size("rule") < F.size("whole")).select(F.col("whole").alias("tokens")).distinct()
-    return stored(rules.join(longer, "tokens", "left_anti"), "url-rules")
+    return _mined(labelled, min_support, min_pages, min_confidence, min_z)[0]
 
 
 def matches(sets: DataFrame, rules: DataFrame) -> DataFrame:
@@ -98,11 +162,14 @@ def judge(pages: DataFrame, labels: DataFrame, rules=RULES, **limits: float) ->
     """
     bad = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").alias("page_id")).agg((F.min("quality") == 0).alias("bad"))
     addresses = pages.select("page_id", "url")
-    mined = mine_rules(addresses.join(bad, "page_id").select("url", "bad"), **limits)
+    asked = {"min_support": MIN_SUPPORT, "min_pages": MIN_PAGES, "min_confidence": MIN_CONFIDENCE, "min_z": MIN_Z} | limits
+    mined, classes = _mined(addresses.join(bad, "page_id").select("url", "bad"), **asked)
+    used = mined.select(F.explode("tokens").alias("rep")).distinct()
+    members = classes.join(used, "rep").select("token", "rep")
     # each address once, as one may stand on a third of all pages; both inputs of the join
     # to the pages are tables, so adaptive execution can split such an address
     urls = addresses.where("url is not null").select("url").distinct().select("url", tokens(F.col("url")).alias("tokens"))
-    found = matches(urls, mined.select("key", F.col("tokens").alias("rule"), "confidence"))
+    found = matches(with_reps(urls, members), mined.select("key", F.col("tokens").alias("rule"), "confidence"))
     found = found.groupBy("url").agg(F.max("confidence").alias("confidence"), F.countDistinct("rule").alias("n_matched"))
     found = stored(found, "url-matches")
     host, path = host_and_path(F.col("url"))
