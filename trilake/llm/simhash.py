@@ -192,11 +192,12 @@ def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     previous = None
     for _ in range(max_rounds):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        # written, so that adaptive execution can split the links of a hub
+        least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "simhash-least")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = stored(large, "simhash-large-star")
         # every edge now points from the larger to the smaller end
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = stored(large.groupBy("u").agg(F.min("v").alias("m")), "simhash-least")
         small = large.join(least, "u")
         small = (
             small.select("v", "m").union(small.select(F.col("u").alias("v"), "m")).where("v <> m")
@@ -241,11 +242,15 @@ def near_duplicates(docs: DataFrame, most: int = MAX_BITS) -> DataFrame:
 
 def deduplicated(docs: DataFrame, most: int = MAX_BITS) -> DataFrame:
     """One document of each component, the one with the smallest doc_id (null last), then
-    the smallest hash of its text; all columns of `docs` as they are."""
-    row = docs.select(F.struct("*").alias("row"), F.col("doc_id"), F.xxhash64("text").alias("tie"))
-    prints = stored(
-        fingerprints(docs.select("doc_id", F.xxhash64("text").alias("tie"), "text")), "simhash-prints"
-    )
+    the smallest hash of its text, then of all its columns; all columns of `docs` as they are.
+
+    Which of several wholly equal rows stays makes no difference. Columns of maps are not
+    hashed: rows that differ in those alone are taken as equal.
+    """
+    hashable = [F.col(f.name) for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    tie = F.struct(F.xxhash64("text").alias("text"), F.xxhash64(*hashable).alias("row"))
+    row = docs.select(F.struct("*").alias("row"), F.col("doc_id"), tie.alias("tie"))
+    prints = stored(fingerprints(docs.select("doc_id", tie.alias("tie"), "text")), "simhash-prints")
     codes = prints.select("fp").distinct()
     roots = stored(classes(codes, most).select(F.col("node").alias("fp"), "root"), "simhash-roots")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tie")).alias("best")
