@@ -398,6 +398,33 @@ ORACLE: dict[str, str] = {
         FROM orders JOIN customer ON c_custkey = o_custkey LEFT JOIN {QUANTITIES} ON l_orderkey = o_orderkey
     """,
     "append_stored_graph": _graph(ALL),
+    "file_count": "SELECT count(DISTINCT c_nationkey % 5) AS files FROM customer",
+    "load_rejects": """
+        SELECT CAST(c_custkey // 10000 AS VARCHAR) AS part,
+            3 * row_number() OVER (PARTITION BY c_custkey // 10000 ORDER BY c_custkey) AS line,
+            (['subject', 'predicate', 'object', 'end'])[c_custkey % 4 + 1] AS reason,
+            CASE c_custkey % 4
+                WHEN 0 THEN 'broken ' || c_custkey
+                WHEN 1 THEN '<http://benchmark.example/c' || c_custkey || '> name .'
+                WHEN 2 THEN '<http://benchmark.example/c' || c_custkey || '> <http://benchmark.example/p> ' || c_custkey || ' .'
+                ELSE '<http://benchmark.example/c' || c_custkey || '> <http://benchmark.example/p> "' || c_custkey || '" ;'
+            END AS text
+        FROM customer
+    """,
+    "unique_stored_graph": f"""
+        SELECT DISTINCT '{NS}C' || c_custkey AS s, '{NS}code' AS p, 'code ' || c_custkey AS o, 'literal' AS o_kind,
+            CAST(NULL AS VARCHAR) AS o_dtype, CAST(NULL AS VARCHAR) AS o_lang, CAST(NULL AS VARCHAR) AS g
+        FROM customer
+    """,
+    "latest_by_position": f"""
+        WITH {LOG} SELECT framework, scale, operation, seconds FROM (
+            SELECT *, row_number() OVER (PARTITION BY framework, scale, operation ORDER BY event_id // 10000 DESC, event_id) AS n FROM log
+        ) WHERE n = 1
+    """,
+    "predicate_local_names": f"""
+        SELECT regexp_extract(p, '[^/#]*$') AS predicate, CASE WHEN o_kind = 'iri' THEN regexp_extract(o, '[^/#]*$') END AS object, count(*) AS n
+        FROM ({ALL}) GROUP BY 1, 2
+    """,
     "read_turtle_nested": """
         SELECT 'c' || c_custkey AS s, CAST(c_nationkey AS VARCHAR) AS one, 'http://base.example/y' AS two FROM customer
         UNION ALL SELECT 'o' || o_orderkey, 'http://base.example/x/c' || o_custkey, o_orderstatus FROM orders

@@ -19,7 +19,7 @@ from trilake.plans import driver_tables as dt
 from trilake.plans import ecommerce as ec
 from trilake.session import scratch_dir
 from trilake.sinks import rdf, results as result_sinks
-from trilake.sources import files, generate, results as result_sources, store
+from trilake.sources import files, generate, positions, results as result_sources, store
 from trilake.sources.ntriples import read_ntriples, scan_ntriples
 from trilake.sources.tables import Literal, Template, triplify
 from trilake.sources.turtle import read_turtle
@@ -43,6 +43,8 @@ LOG_OPERATIONS = {raw: shown for raw, shown in OPERATIONS.items() if not raw.sta
 WIDER_SCALES = [*SCALES, "xxlarge"]
 SKIPPED = {raw: "N/A" if raw.startswith("write_") else "TIMEOUT" for raw in OPERATIONS}
 FILE_ROWS = 100_000
+LOG_FILE_ROWS = 10_000
+REJECT_KEYS = 10_000
 
 
 def query(fn: Query) -> Query:
@@ -128,6 +130,32 @@ def load_stats(spark, sf_dir):
     return files.load_stats(scan_ntriples(spark, _scratch(spark, sf_dir, "stats", write)))
 
 
+@query
+def file_count(spark, sf_dir):
+    """How many files the pattern of `load_file_count` finds: one for each region."""
+    load_file_count(spark, sf_dir)
+    return files.file_count(spark, _written[spark.sparkContext.applicationId, sf_dir, "parts"], "part-*.txt")
+
+
+@query
+def load_rejects(spark, sf_dir):
+    """A comment, a good line and a bad one for each customer, in files of a range of keys: where the bad ones are."""
+    kinds = ["broken {k}", "<http://benchmark.example/c{k}> name .", "<http://benchmark.example/c{k}> <http://benchmark.example/p> {k} .",
+             '<http://benchmark.example/c{k}> <http://benchmark.example/p> "{k}" ;']
+
+    def write(path: str) -> None:
+        key = F.col("c_custkey")
+        filled = [F.replace(F.lit(kind), F.lit("{k}"), key.cast("string")) for kind in kinds]
+        good = F.concat(F.lit("<http://benchmark.example/c"), key.cast("string"), F.lit('> <http://benchmark.example/p> "x" .'))
+        lines = F.array(F.concat(F.lit("# "), key.cast("string")), good, F.element_at(F.array(*filled), (F.pmod(key, F.lit(4)) + 1).cast("int")))
+        rows = dt.table(spark, sf_dir, "customer").select(F.floor(key / REJECT_KEYS).alias("part"), "c_custkey", F.posexplode(lines).alias("n", "value"))
+        ordered = rows.repartition("part").sortWithinPartitions("part", "c_custkey", "n")
+        ordered.select("part", "value").write.partitionBy("part").text(path)
+
+    found = positions.ntriples_rejects(spark, _scratch(spark, sf_dir, "rejects", write))
+    return found.select(F.regexp_extract("file", r"part=(\d+)", 1).alias("part"), "line", "reason", "text")
+
+
 @query
 def open_graph(spark, sf_dir):
     path = _scratch(spark, sf_dir, "store", lambda p: store.persist_graph(dt.graph(spark, sf_dir, "rows"), p))
@@ -169,6 +197,28 @@ def append_stored_graph(spark, sf_dir):
     return shown(store.open_graph(spark, _scratch(spark, sf_dir, "store-appended", write)))
 
 
+@query
+def unique_stored_graph(spark, sf_dir):
+    """Customers' codes, unique on load, in two parts; then each third customer's code for another subject, which is refused."""
+
+    def codes(stem: str, rows: DataFrame) -> DataFrame:
+        number = F.col("c_custkey").cast("string")
+        term = {"s": F.concat(F.lit(terms.iri(":" + stem)), number), "p": F.lit(terms.iri(":code")), "o": F.concat(F.lit("code "), number), "o_kind": F.lit("literal")}
+        return rows.select(*[term.get(c, F.lit(None).cast("string")).alias(c) for c in TRIPLE_COLUMNS])
+
+    def write(path: str) -> None:
+        customers = dt.table(spark, sf_dir, "customer").select("c_custkey")
+        store.persist_graph(codes("C", customers.where("c_custkey % 2 = 0")), path, unique=[":code"])
+        store.persist_graph(codes("C", customers.where("c_custkey % 2 <> 0")), path, "append")
+        try:
+            store.persist_graph(codes("D", customers.where("c_custkey % 3 = 0")), path, "append")
+        except store.UniquenessError:
+            return
+        raise AssertionError("a code has two subjects")
+
+    return shown(store.open_graph(spark, _scratch(spark, sf_dir, "store-unique", write)))
+
+
 @query
 def roundtrip_bnodes(spark, sf_dir):
     """Orders as blank nodes in several files, joined on them after reading."""
@@ -472,6 +522,14 @@ def local_names(spark, sf_dir):
 # ---------------------------------------------------------------- patterns and joins
 
 
+@query
+def predicate_local_names(spark, sf_dir):
+    """Local names of all predicates; that of the object is null for literals."""
+    g = dt.graph(spark, sf_dir, "rows")
+    names = g.select(terms.local_name(F.col("p")).alias("predicate"), F.when(F.col("o_kind") == "iri", terms.local_name(F.col("o"))).alias("object"))
+    return names.groupBy("predicate", "object").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query
 def pattern_predicate(spark, sf_dir):
     return pattern(dt.graph(spark, sf_dir), V("order"), ":placedBy", V("customer"))
@@ -783,6 +841,18 @@ def latest_per_key(spark, sf_dir):
     return _latest(spark, sf_dir)
 
 
+@query
+def latest_by_position(spark, sf_dir):
+    """Last write wins by file and place in it: a log without times, written backwards within each file."""
+
+    def write(path: str) -> None:
+        rows = _log(spark, sf_dir).select(F.lpad(F.floor(F.col("event_id") / LOG_FILE_ROWS).cast("string"), 12, "0").alias("f"), "*")
+        ordered = rows.repartition("f").sortWithinPartitions("f", F.desc("event_id"))
+        ordered.select("f", *MEASUREMENTS.fieldNames()).write.partitionBy("f").json(path)
+
+    return measures.latest_per_key(result_sources.read_results_lines(spark, _scratch(spark, sf_dir, "log-lines", write), positions=True))
+
+
 @query
 def best_of_runs(spark, sf_dir):
     return measures.best_of_runs(_log(spark, sf_dir))

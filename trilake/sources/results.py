@@ -8,6 +8,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trilake.sources.positions import file_order
 from trilake.vocab import MEASUREMENTS
 
 
@@ -30,9 +31,17 @@ def read_results(spark: SparkSession, path: str | list[str], glob: str = "result
     )
 
 
-def read_results_lines(spark: SparkSession, path: str) -> DataFrame:
-    """A log written by `write_results` (one JSON object a line, splittable)."""
-    return spark.read.schema(MEASUREMENTS).json(path)
+def read_results_lines(spark: SparkSession, path: str, positions: bool = False) -> DataFrame:
+    """A log written by `write_results` (one JSON object a line, splittable).
+
+    With `positions`, also ``file`` (its path) and ``pos``, which rises within a file, so
+    that `latest_per_key` can go by the order in which rows were written. A file is read
+    by as many tasks as it has splits.
+    """
+    rows = spark.read.schema(MEASUREMENTS).json(path)
+    if not positions:
+        return rows
+    return rows.select(*MEASUREMENTS.fieldNames(), F.col("_metadata.file_path").alias("file"), file_order().alias("pos"))
 
 
 _TERM = "struct<type:string, value:string, datatype:string, `xml:lang`:string>"

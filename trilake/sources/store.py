@@ -24,6 +24,9 @@ from trilake.session import kept
 from trilake.vocab import TRIPLE_COLUMNS, TRIPLES
 
 BUCKETS = 256
+#: A filter on each row group tells which subjects and objects it may hold. `adaptive`
+#: sizes it by the values it sees, so small files get small ones.
+BLOOM = {"parquet.bloom.filter.enabled#s": "true", "parquet.bloom.filter.enabled#o": "true", "parquet.bloom.filter.adaptive.enabled": "true"}
 
 
 def local_part(p: Column) -> Column:
@@ -87,7 +90,8 @@ def _write(triples: DataFrame, path: str, by_graph: bool, layout: str) -> list[s
         triples.select(*TRIPLE_COLUMNS, *[parts[k].alias(k) for k in keys])
         .hint("rebalance", *keys, "s")
         .sortWithinPartitions(*keys, "s")
-        .write.partitionBy(*keys)
+        .write.options(**BLOOM)
+        .partitionBy(*keys)
         .parquet(f"{path.rstrip('/')}/{version}")
     )
     return _directories(triples.sparkSession, path, version, len(keys))
@@ -149,6 +153,7 @@ def persist_graph(
     mode: str = "overwrite",
     by_graph: bool = False,
     layout: str = "predicate",
+    unique: Collection[str] = (),
 ) -> None:
     """Write a graph as predicate-partitioned, subject-sorted Parquet.
 
@@ -161,16 +166,57 @@ def persist_graph(
     ``mode="append"`` adds the triples that the store does not hold yet, so loading a file
     twice changes nothing; it reads the directories of the predicates in question only,
     and keeps the layout of the store.
+
+    `unique` names predicates whose objects have one subject each within a graph. The
+    store remembers them, and every later change is held to them: one that breaks them
+    raises `UniquenessError` and leaves the store as it was.
     """
     spark = triples.sparkSession
     if mode not in ("overwrite", "append"):
         raise ValueError(f"mode is 'overwrite' or 'append', not {mode!r}")
     numbers = _manifests(spark, path)
     if mode == "append" and numbers:
+        if unique:
+            raise ValueError("`unique` is set when a store is written anew")
         _append(triples, path)
         return
+    content = {"layout": layout, "by_graph": by_graph, "unique": sorted(terms.iri(p) for p in unique), "parts": []}
     parts = _write(triples, path, by_graph, layout)
-    _publish(spark, path, numbers[-1] if numbers else 0, {"layout": layout, "by_graph": by_graph, "parts": parts})
+    _hold_unique(spark, path, content, parts)
+    _publish(spark, path, numbers[-1] if numbers else 0, content | {"parts": parts})
+
+
+class UniquenessError(ValueError):
+    """A change would give two subjects the same object of a unique predicate."""
+
+
+def _hold_unique(spark: SparkSession, path: str, content: dict, written: list[str]) -> None:
+    """Raise, and delete what was `written`, if it breaks the store's uniqueness, alone or
+    with the directories of `content`.
+
+    Only the directories of unique predicates are read. The written rows are reduced to
+    one row for each object first; what is stored is joined with those.
+    """
+    unique = content.get("unique") or []
+    if not unique or not written:
+        return
+    column = LAYOUTS[content["layout"]]
+    wanted = {r[0] for r in spark.createDataFrame([(p,) for p in unique], "p string").select(PREDICATE_PARTS[column](F.col("p"))).collect()}
+    chosen = lambda parts: [d for d in parts if d.rsplit("=", 1)[1] in wanted]
+    term = ["g", "p", "o", "o_kind", "o_dtype", "o_lang"]
+    rows = lambda parts: _read(spark, path, content, chosen(parts)).where(F.col("p").isin(*unique))
+    new = rows(written).groupBy(*term).agg(F.min("s").alias("s"), F.max("s").alias("other"))
+    stored = rows(content["parts"]).select(F.col("s").alias("other"), *[F.col(c).alias(f"_{c}") for c in term])
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in term]
+    clash = new.where("s <> other").select("p", "o", "s", "other")
+    if chosen(content["parts"]):
+        met = new.drop("other").join(stored, [*same, F.col("s") != F.col("other")])
+        clash = clash.unionByName(met.select("p", "o", "s", "other"))
+    shown = clash.limit(3).collect()
+    if shown:
+        files, folder = _files(spark, f"{path.rstrip('/')}/{written[0].split('/')[0]}")
+        files.delete(folder, True)
+        raise UniquenessError("; ".join(f"{r.o!r} of <{r.p}> belongs to {r.s} and {r.other}" for r in shown))
 
 
 def _append(triples: DataFrame, path: str) -> None:
@@ -185,6 +231,7 @@ def _append(triples: DataFrame, path: str) -> None:
     same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in TRIPLE_COLUMNS]
     fresh = given.join(old, same, "left_anti")
     parts = _write(fresh, path, content["by_graph"], content["layout"])
+    _hold_unique(spark, path, content, parts)
     _publish(spark, path, number, content | {"parts": content["parts"] + parts})
 
 
@@ -214,7 +261,9 @@ def replace_stored_graph(triples: DataFrame, path: str, graph: str | None) -> No
         raise ValueError("the store is not split by graph")
     others = [d for d in content["parts"] if f"/g_part={_graph_name(spark, graph)}/" not in d]
     moved = triples.withColumn("g", F.lit(graph).cast("string"))
-    _publish(spark, path, number, content | {"parts": others + _write(moved, path, True, content["layout"])})
+    parts = _write(moved, path, True, content["layout"])
+    _hold_unique(spark, path, content | {"parts": others}, parts)
+    _publish(spark, path, number, content | {"parts": others + parts})
 
 
 def clear_stored_graph(spark: SparkSession, path: str, graph: str | None) -> None:
