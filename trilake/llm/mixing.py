@@ -109,13 +109,19 @@ def _pass(p: int) -> Column:
     return F.greatest(F.lit(0), F.least(F.col("size"), F.col("words") - at)).cast("long")
 
 
+def _shard(p: int | Column) -> Column:
+    """The shard whose quota holds the block in which a document's p-th reading starts."""
+    at = F.floor((F.col("start") + p * F.col("source_size")) / F.col("block"))
+    return F.size(F.filter("bounds", lambda bound: bound <= at))
+
+
 def _keyed(docs: DataFrame, seed: int, *more: Column) -> DataFrame:
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     return docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), key.alias("key"), F.xxhash64("text").alias("tie"), *more)
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, max_repeats=MAX_REPEATS, shards=SHARDS, seed=SEED) -> DataFrame:
-    """What the mix takes of each document: doc_id, source, size, source_size, target, taken, block.
+    """What the mix takes of each document: doc_id, source, size, source_size, target, taken, block, shard.
 
     Each source's documents, in an order drawn from the seed and doc_id, are one cyclic
     stream of words. It is cut into equal blocks; the source gives the first blocks of
@@ -123,6 +129,11 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_repeats=MAX_REPEATS, shards=SHARDS
     its size, and never more than `max_repeats` times. No document is cut except the
     one at the end of what is taken.
 
+    Shards 0 to `shards` - 1 take the blocks of each source in turn, as many as their
+    integer quotas, so each shard has the sources in their target shares. A document
+    belongs to the shard of the block in which it starts: `shard` is that of its first
+    reading, null where nothing is taken; `mixed_documents` has that of each reading.
+
     Null text: size 0, takes 0. Null source: a source of its own, last. Null doc_id:
     ordered as an empty one. Repeated rows count each. Ties in the order go to doc_id,
     size and a hash of the text; rows equal in all are alike. An empty table gives none.
@@ -130,23 +141,32 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_repeats=MAX_REPEATS, shards=SHARDS
     rows = stored(_keyed(docs, seed), "mix-sizes")
     taken = sum((_pass(p) for p in range(1, max_repeats)), _pass(0))
     return _placed(rows, weights, max_repeats, shards).select(
-        "doc_id", "source", "size", "source_size", "target", taken.alias("taken"), F.col("block").cast("long").alias("block")
+        "doc_id", "source", "size", "source_size", "target", taken.alias("taken"), F.col("block").cast("long").alias("block"),
+        F.when(taken > 0, _shard(0)).alias("shard"),
     )
 
 
-def mixed_documents(docs: DataFrame, weights=WEIGHTS, max_repeats=MAX_REPEATS, shards=SHARDS, seed=SEED) -> DataFrame:
+def mixed_documents(
+    docs: DataFrame, weights=WEIGHTS, max_repeats=MAX_REPEATS, shards=SHARDS, seed=SEED, shard_column: str | None = None
+) -> DataFrame:
     """The mix as documents: one row for each time that a document is read, in the columns of `docs`.
 
+    With `shard_column`, also the shard that each reading belongs to, under that name; it
+    may not be a column of `docs`.
+
     The document at the end of what a source gives is cut to the words taken, joined by
     spaces; all others are whole. Documents of which nothing is taken go. `n_chars`, where
     the table has it, follows a cut text. Cases as in `mix`.
     """
     columns = docs.columns
+    if shard_column in columns:
+        raise ValueError(f"the documents already have a column {shard_column!r}")
     rows = stored(_keyed(docs, seed, F.struct("*").alias("row")), "mix-rows")
     passes = F.array(*[_pass(p) for p in range(max_repeats)])
-    taken = _placed(rows, weights, max_repeats, shards).withColumn("words_taken", F.explode(F.filter(passes, lambda w: w > 0)))
+    taken = _placed(rows, weights, max_repeats, shards).select("*", F.posexplode(passes).alias("pass", "words_taken")).where("words_taken > 0")
     cut = F.col("words_taken") < F.col("size")
     piece = F.array_join(F.slice(F.regexp_extract_all("row.text", F.lit(WORD), F.lit(0)), F.lit(1), F.greatest(F.lit(1), F.col("words_taken")).cast("int")), " ")
     taken = taken.withColumn("piece", F.when(cut, piece).otherwise(F.col("row.text")))
     shown = {"text": F.col("piece"), "n_chars": F.when(cut, F.length("piece").cast("long")).otherwise(F.col("row.n_chars")) if "n_chars" in columns else None}
-    return taken.select(*[shown[c].alias(c) if c in shown else F.col("row").getField(c).alias(c) for c in columns])
+    more = [_shard(F.col("pass")).alias(shard_column)] if shard_column else []
+    return taken.select(*[shown[c].alias(c) if c in shown else F.col("row").getField(c).alias(c) for c in columns], *more)

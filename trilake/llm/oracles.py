@@ -33,8 +33,11 @@ WITH d AS (
     )
 ), seats AS (
     SELECT rank, count(*) AS seats FROM q WHERE place <= blocks GROUP BY rank
+), quotas AS (
+    SELECT rank, shard, count(*) FILTER (place <= blocks * shard // 16) AS upto
+    FROM (SELECT rank, place, CAST(blocks AS BIGINT) AS blocks, unnest(range(1, 17)) AS shard FROM q) GROUP BY rank, shard
 ), placed AS (
-    SELECT d.doc_id, d.source, d.size, b.source_size, b.target, b.block,
+    SELECT d.doc_id, d.source, d.size, b.rank, b.source_size, b.target, b.block,
         least(b.cap, coalesce(seats, 0) * b.block) AS words,
         coalesce(sum(d.size) OVER (PARTITION BY b.rank ORDER BY d.key, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
     FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source LEFT JOIN seats ON seats.rank = b.rank
@@ -42,7 +45,9 @@ WITH d AS (
 SELECT doc_id, source, CAST(size AS BIGINT) AS size, CAST(source_size AS BIGINT) AS source_size, target,
     CAST(greatest(0, least(size, words - start)) + greatest(0, least(size, words - start - source_size))
         + greatest(0, least(size, words - start - 2 * source_size)) AS BIGINT) AS taken,
-    block
+    block,
+    CASE WHEN least(size, words - start) > 0
+        THEN CAST((SELECT count(*) FROM quotas WHERE quotas.rank = placed.rank AND upto * placed.block <= placed.start) AS INTEGER) END AS shard
 FROM placed
 """
 
