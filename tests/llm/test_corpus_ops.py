@@ -1,7 +1,9 @@
 """Operators over whole tables, against brute force on small fixtures."""
 
+import datetime
 import hashlib
 import random
+import re
 import sys
 from collections import Counter, defaultdict
 from pathlib import Path
@@ -9,6 +11,7 @@ from pathlib import Path
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 
@@ -155,6 +158,33 @@ def test_mix(spark, monkeypatch):
     assert [r.taken for r in mixing.mix(docs_of(spark, [(1, None, None)])).collect()] == [0]
 
 
+def test_shards_take_their_quotas_of_blocks(spark, monkeypatch):
+    monkeypatch.setattr(common, "CELL_ROWS", 50)
+    rng = random.Random(9)
+    rows = [(i, "w " * rng.randint(0, 40), s) for i, s in enumerate(["big"] * 900 + ["mid"] * 300 + [None] * 60)]
+    docs = docs_of(spark, rows + [(None, None, "big"), (None, "x y", "mid")])
+    shards = 5
+    read = mixing.mixed_documents(docs, shards=shards, shard_column="shard").collect()
+    sizes = docs.select("source", common.n_words(F.col("text")).alias("size"))
+    quotas = {r.source: r for r in mixing.block_quotas(mixing.source_targets(sizes), shards).collect()}
+    words = Counter()
+    for r in read:
+        words[r.source, r.shard] += len(r.text.split())
+    for source, q in quotas.items():
+        for shard, (a, b) in enumerate(zip([0, *q.bounds], q.bounds)):
+            assert abs(words[source, shard] - (min(q.cap, b * q.block) - min(q.cap, a * q.block))) <= 80
+    assert {r.shard for r in read} == set(range(shards))
+    # the first readings of the mix are those of its documents
+    mixed = mixing.mix(docs, shards=shards).collect()
+    assert all((r.shard is None) == (r.taken == 0) for r in mixed)
+    readings = {(r.doc_id, r.shard) for r in read}
+    assert all((r.doc_id, r.shard) in readings for r in mixed if r.taken)
+    again = mixing.mixed_documents(docs.repartition(3), shards=shards, shard_column="shard").collect()
+    assert Counter(map(tuple, again)) == Counter(map(tuple, read))
+    with pytest.raises(ValueError, match="already"):
+        mixing.mixed_documents(docs, shard_column="source")
+
+
 def test_quotas_are_the_highest_quotients(spark):
     sizes = spark.createDataFrame([(s, n) for s, n in zip("abcdefg", (5000, 10, 900, 900, 7, 0, 40000))], "source string, size long")
     rows = mixing.block_quotas(mixing.source_targets(sizes), 5).collect()
@@ -258,6 +288,45 @@ def test_archives_split_anywhere(spark, sf_dir):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+def test_dates_do_not_depend_on_the_session(spark, tmp_path):
+    # the hours around both changes of the clocks in New York
+    ids = [0, 46_000, *range(5_985_000, 6_000_000, 900), *range(26_610_000, 26_625_000, 900), None]
+    pages = spark.createDataFrame([(i, f"http://a/{i}", "") for i in ids], "page_id long, url string, html string")
+    before = spark.conf.get("spark.sql.session.timeZone")
+    first = int(datetime.datetime(2024, 1, 1, tzinfo=datetime.timezone.utc).timestamp())
+    try:
+        for zone in ("America/New_York", "UTC"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            path = str(tmp_path / zone.replace("/", "-"))
+            warc.write_archives(pages, path)
+            text = "".join(r.value for r in spark.read.text(path, wholetext=True).collect())
+            dates = Counter(re.findall(r"WARC-Date: (\S+)", text))
+            utc = [datetime.datetime.fromtimestamp(first + (i or 0), datetime.timezone.utc) for i in ids]
+            assert dates == Counter(t.strftime("%Y-%m-%dT%H:%M:%SZ") for t in utc)
+            got = warc.read_archives(spark, path).select("page_id", F.unix_timestamp("captured_at").alias("t")).collect()
+            assert {r.page_id: r.t for r in got} == {i: first + (i or 0) for i in ids}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_merge_in_small_ranges(spark):
+    """Many ranges, one URL on most rows, repeated rows and nulls: the order is global, and a range stays small."""
+    rng = random.Random(3)
+    rows = [(rng.choice([None, 1, 2, 3]), rng.choice([None, "", "http://a.com/x", "http://a.com/x", "http://b.com/"]), rng.choice(["", "p", "q" * 200])) for _ in range(300)]
+    rows += [(7, "http://a.com/x", "r")] * 300
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)
+    path = common.scratch_dir(spark, "merge-test")
+    warc.write_archives(pages, path)
+    runs = warc.sorted_runs(warc.read_archives(spark, path))
+    assert runs.select("run").distinct().count() > 3
+    merged = warc.merge_runs(runs, 50).withColumn("part", F.spark_partition_id()).collect()
+    last = lambda v: (v is None, v if v is not None else 0)
+    keys = [tuple(last(r[c]) for c in warc.ENTRY) for r in merged]
+    assert keys == sorted(keys) and len(keys) == 600
+    assert Counter(keys) == Counter(tuple(last(r[c]) for c in warc.ENTRY) for r in runs.collect())
+    assert max(Counter(r.part for r in merged).values()) < 200
+
+
 def test_loser_tree():
     rng = random.Random(7)
     for k in range(9):

@@ -6,9 +6,10 @@ their own, split like other text, and survive lost executors through Spark's com
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +23,8 @@ VERSION = f"{MARK}\r\n"
 END = "\r\n\r\n"
 #: Captures are dated one second apart, as the pages have no time of their own.
 FIRST_CAPTURE = "2024-01-01 00:00:00"
+#: Captures that one task merges, about.
+RANGE_ROWS = 100_000
 ESCAPES = (("%", "%25"), ("\r", "%0D"), ("\n", "%0A"), ("/", "%2F"))
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -67,7 +70,9 @@ def records(pages: DataFrame) -> DataFrame:
         F.lit("\r\n"),
     )
     block = F.concat(http, body)
-    when = F.date_format(capture_time(F.col("page_id")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    # without a zone, so that the session's zone has no part in it
+    seconds = F.make_dt_interval(secs=F.unix_timestamp(capture_time(F.col("page_id"))).cast("decimal(18,6)"))
+    when = F.concat(F.replace((F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + seconds).cast("string"), F.lit(" "), F.lit("T")), F.lit("Z"))
     # a header is one line: percent-encode an address that has line ends or the version's text, and say so
     odd = F.col("url").rlike("[\r\n]") | (F.instr("url", MARK) > 0)
     escaped = F.col("url")
@@ -91,7 +96,7 @@ def records(pages: DataFrame) -> DataFrame:
 
 
 def capture_time(page_id: Column) -> Column:
-    return F.timestamp_seconds(F.unix_timestamp(F.to_timestamp(F.lit(FIRST_CAPTURE))) + F.pmod(F.coalesce(page_id, F.lit(0)), F.lit(1_000_000_000)))
+    return F.timestamp_seconds(F.unix_timestamp(F.to_timestamp(F.lit(f"{FIRST_CAPTURE}Z"))) + F.pmod(F.coalesce(page_id, F.lit(0)), F.lit(1_000_000_000)))
 
 
 def write_archives(pages: DataFrame, path: str) -> None:
@@ -135,7 +140,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         F.coalesce(named, F.lit(False)).alias("named"),
         number(header("WARC-Record-ID")).alias("page_id"),
         F.when(header("X-URI-Escaped") == "yes", restored).otherwise(address).alias("url"),
-        F.to_timestamp(header("WARC-Date"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("captured_at"),
+        F.to_timestamp(header("WARC-Date"), "yyyy-MM-dd'T'HH:mm:ssX").alias("captured_at"),
         kind.alias("record_type"),
         number(F.coalesce(header("WARC-Refers-To"), F.lit(""))).alias("refers_to"),
         stated.alias("stated"),
@@ -204,41 +209,45 @@ def sorted_runs(captures: DataFrame) -> DataFrame:
     """The captures in one sorted run for each task that reads archives, with the run's number."""
     entries = captures.withColumn("url_key", url_key(F.col("url"))).select(*ENTRY)
     return stored(
-        entries.sortWithinPartitions(*ENTRY).withColumn("run", F.spark_partition_id()).withColumn("place", F.monotonically_increasing_id()),
+        entries.sortWithinPartitions(*[F.col(c).asc_nulls_last() for c in ENTRY]).withColumn("run", F.spark_partition_id()).withColumn("place", F.monotonically_increasing_id()),
         "warc-runs",
     )
 
 
-def merge_runs(runs: DataFrame) -> DataFrame:
-    """All captures by url_key, then time, page and the rest: in order within each
+def merge_runs(runs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """All captures by the columns of ``ENTRY``, nulls last: in order within each
     partition, and partitions in order.
 
-    Ranges of the whole sort key are dealt out, so one URL with a third of all captures
-    is spread over several tasks; each task merges its parts of the runs.
+    Ranges of about `range_rows` captures are dealt out, so what a task holds does not grow
+    with the table. The place of a capture in its run is the last part of the range's key:
+    one URL, or one row that is repeated without end, is spread over several tasks. Within
+    a range each run comes in its order, and the loser tree merges the runs.
     """
     schema = runs.schema
+    at_entry = [schema.fieldNames().index(c) for c in ENTRY]
 
-    def merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = [b for b in batches if len(b)]
-        if not parts:
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        full = [b for b in batches if b.num_rows]
+        if not full:
             return
-        rows = pd.concat(parts, ignore_index=True)
-        del parts
-        null_last = lambda v: (v is None or v != v, "" if v is None or v != v else v)
-        first = [rows["url_key"].tolist(), rows["captured_at"].map(lambda t: None if pd.isna(t) else t.value).tolist(), rows["page_id"].tolist(), rows["url"].tolist()]
-        number = [(null_last(a), null_last(b), null_last(c), null_last(d)) for a, b, c, d in zip(*first)]
-        place = rows["place"].tolist()
-
-        def run(at: list[int]) -> Iterator[tuple]:
-            return iter([(number[i], i) for i in sorted(at, key=place.__getitem__)])
-
-        tree = LoserTree([run(at.tolist()) for _, at in sorted(rows.groupby("run").indices.items())])
-        order = [i for _, i in tree]
+        held = pa.Table.from_batches(full)
+        columns = [held.column(i) for i in at_entry]
+        # timestamps are compared as numbers
+        values = [(c.cast(pa.int64()) if pa.types.is_timestamp(c.type) else c).to_pylist() for c in columns]
+        number = [tuple((v is None, v if v is not None else 0) for v in row) for row in zip(*values)]
+        run = held.column("run").to_pylist()
+        starts = [i for i in range(len(run)) if i == 0 or run[i] != run[i - 1]] + [len(run)]
+        cursors = [zip(number[a:b], range(a, b)) for a, b in zip(starts, starts[1:])]
+        order = [i for _, i in LoserTree(cursors)]
         for at in range(0, len(order), 10_000):
-            yield rows.iloc[order[at : at + 10_000]]
-
-    keys = [F.col(c).asc_nulls_last() for c in ENTRY[:4]]
-    return runs.repartitionByRange(*keys).mapInPandas(merged, schema)
+            yield from held.take(order[at : at + 10_000]).combine_chunks().to_batches()
+
+    keys = [*[F.col(c).asc_nulls_last() for c in ENTRY], F.col("place")]
+    ranges = math.ceil(runs.count() / range_rows)
+    # below the session's number of partitions, adaptive execution merges small ones
+    most = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = runs.repartitionByRange(ranges, *keys) if ranges > most else runs.repartitionByRange(*keys)
+    return dealt.sortWithinPartitions("run", "place").mapInArrow(merged, schema)
 
 
 def capture_histories(pages: DataFrame, path: str | None = None) -> DataFrame:
