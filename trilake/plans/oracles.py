@@ -398,6 +398,11 @@ ORACLE: dict[str, str] = {
         FROM orders JOIN customer ON c_custkey = o_custkey LEFT JOIN {QUANTITIES} ON l_orderkey = o_orderkey
     """,
     "append_stored_graph": _graph(ALL),
+    "canonical_bnodes": f"""
+        SELECT unnest(['{NS}address', '{NS}segment', '{NS}country', 'http://www.w3.org/2000/01/rdf-schema#label']) AS p,
+            count(DISTINCT c_custkey) AS triples, CAST(1 AS BIGINT) AS alike, CAST(0 AS BIGINT) AS apart
+        FROM customer
+    """,
     "file_count": "SELECT count(DISTINCT c_nationkey % 5) AS files FROM customer",
     "load_rejects": """
         SELECT CAST(c_custkey // 10000 AS VARCHAR) AS part,

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trilake.functions import terms, values
-from trilake.operators import graphs, measures, propgraph as pg
+from trilake.operators import graphs, isomorphism, measures, propgraph as pg
 from trilake.operators.patterns import V, bgp, pattern
 from trilake.operators.validate import validate_counts
 from trilake.plans import driver_tables as dt
@@ -230,6 +230,30 @@ def roundtrip_bnodes(spark, sf_dir):
     return rows.groupBy("customer", "status").agg(F.count("order").alias("orders"))
 
 
+@query
+def canonical_bnodes(spark, sf_dir):
+    """Addresses and countries without names, written and read under other labels: triples per
+    predicate, and how many of them are not the same up to the labels."""
+    key = F.col("c_custkey").cast("string")
+    address, country = F.concat(F.lit("_:a"), key), F.concat(F.lit("_:n"), key)
+    end = lambda p, s, o, kind: F.struct(s.alias("s"), F.lit(terms.iri(p)).alias("p"), o.alias("o"), F.lit(kind).alias("o_kind"))
+    facts = F.array(
+        end(":address", F.concat(F.lit(terms.iri(":C")), key), address, "bnode"),
+        end(":segment", address, F.col("c_mktsegment"), "literal"),
+        end(":country", address, country, "bnode"),
+        end("rdfs:label", country, F.col("c_nationkey").cast("string"), "literal"),
+    )
+    rows = dt.table(spark, sf_dir, "customer").select(F.inline(facts))
+    graph = rows.select(*[F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in TRIPLE_COLUMNS])
+    blank = lambda c: F.when(F.col(c).startswith("_:"), F.concat(F.lit("_:x"), F.md5(F.col(c).cast("binary")))).otherwise(F.col(c))
+    renamed = graph.withColumn("s", blank("s")).withColumn("o", blank("o"))
+    path = _scratch(spark, sf_dir, "bnodes-renamed", lambda p: rdf.write_ntriples(renamed, p))
+    read = read_ntriples(spark, path, bnode_scope="dataset", on_reject="error")
+    apart = isomorphism.graph_differences(graph, read).groupBy("p").agg(F.sum(F.abs(F.col("in_left") - F.col("in_right"))).alias("apart"))
+    sizes = isomorphism.canonical_graph(read).groupBy("p").agg(F.sum("n").alias("triples"), F.max("n").alias("alike"))
+    return sizes.join(apart, "p", "left").select("p", "triples", "alike", F.coalesce("apart", F.lit(0)).cast("bigint").alias("apart"))
+
+
 @query
 def read_turtle_hard(spark, sf_dir):
     """Texts that can not be cut at line ends: comments within statements, long strings,
