@@ -50,18 +50,36 @@ HOT_ROWS = 1_000_000
 def hot_keys(rows: DataFrame, on: Sequence[str], hot_rows: int | None = None) -> DataFrame | None:
     """All keys with more than `hot_rows` rows and the number of parts to cut each into.
 
-    Reads the key columns only and counts before the shuffle. The result is a written
-    table, or None if no key is hot.
+    Reads the key columns only and counts before the shuffle; where all rows together are
+    no more than `hot_rows`, a plain count tells that no key is hot. The result is a
+    written table, or None if no key is hot.
     """
     limit = hot_rows or HOT_ROWS
+    if rows.count() <= limit:
+        return None
     counts = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
     found = kept(counts.select(*on, F.ceil(F.col("_n") / limit).cast("int").alias("_parts")), "hot-keys")
     return None if found.isEmpty() else found
 
 
 def hot_values(sides: Sequence[tuple[DataFrame, str]], hot_rows: int | None = None) -> list[DataFrame | None]:
-    """`hot_keys` for several ``(rows, column)`` of one type, counted in a single job."""
-    keys = [rows.select(F.lit(i).alias("_side"), F.col(column).alias("_key")) for i, (rows, column) in enumerate(sides)]
+    """`hot_keys` for several ``(rows, column)`` of one type, counted together.
+
+    Rows are counted first, each set of rows once; sides too small to hold a hot key are
+    not looked at again.
+    """
+    limit = hot_rows or HOT_ROWS
+    tables = list({id(rows): rows for rows, _ in sides}.values())
+    sized = [rows.select(F.lit(i).alias("_table")) for i, rows in enumerate(tables)]
+    counted = reduce(DataFrame.unionByName, sized).groupBy("_table").count().where(F.col("count") > limit)
+    large = {id(tables[row["_table"]]) for row in counted.collect()}
+    keys = [
+        rows.select(F.lit(i).alias("_side"), F.col(column).alias("_key"))
+        for i, (rows, column) in enumerate(sides)
+        if id(rows) in large
+    ]
+    if not keys:
+        return [None] * len(sides)
     found = hot_keys(reduce(DataFrame.unionByName, keys), ["_side", "_key"], hot_rows)
     if found is None:
         return [None] * len(sides)
