@@ -163,6 +163,31 @@ SELECT 'order', id, {_pick(STATUSES, 28)}, CAST(({_hash(21)}) % (SELECT count(*)
 FROM {_ids('orders')}
 """
 
+# Generated facts about the keys of the tables.
+_MADE = f"""
+WITH c AS (SELECT id, {_NAME} AS name, {_pick(COUNTRIES, 3)} AS country, {_pick(SEGMENTS, 4)} AS segment
+           FROM (SELECT c_custkey AS id FROM customer)),
+p AS (SELECT id, CASE WHEN id < 15 THEN {_pick(PRODUCT_NAMES, 11)} ELSE 'Product-' || id END AS name
+      FROM (SELECT p_partkey AS id FROM part)),
+o AS (SELECT id, customer, ({_hash(22)}) % (SELECT count(*) FROM part) AS product,
+             {_cents(24, 5000, 500000)} AS amount, {_pick(STATUSES, 28)} AS status
+      FROM (SELECT o_orderkey AS id, o_custkey AS customer FROM orders))
+"""
+_MADE_Q2 = f"""{_MADE}
+SELECT c.name AS customer_name, count(*) AS order_count, CAST(sum(CAST(amount AS DECIMAL(18,2))) AS DOUBLE) AS total_spend
+FROM o JOIN c ON c.id = o.customer GROUP BY 1 ORDER BY total_spend DESC, customer_name, order_count LIMIT 20
+"""
+_MADE_Q3 = f"""{_MADE}
+SELECT c.name AS customer_name, p.name AS product_name, amount, status
+FROM o JOIN c ON c.id = o.customer JOIN p ON p.id = o.product WHERE country = 'Norway'
+ORDER BY amount DESC, customer_name, product_name, status LIMIT 50
+"""
+_MADE_Q4 = f"""{_MADE}
+SELECT country, segment, count(DISTINCT c.id) AS customers, count(DISTINCT o.id) AS orders,
+       CAST(sum(CAST(amount AS DECIMAL(18,2))) AS DOUBLE) AS revenue
+FROM c LEFT JOIN o ON o.customer = c.id GROUP BY 1, 2
+"""
+
 # ---------------------------------------------------------------- measurement log
 
 
@@ -347,6 +372,12 @@ ORACLE: dict[str, str] = {
     ),
     "open_graph": _graph(ALL),
     "generate_entities": _GENERATED,
+    "generated_q1_count": (
+        "SELECT 6 * (SELECT count(*) FROM customer) + 5 * (SELECT count(*) FROM part) + 7 * (SELECT count(*) FROM orders) AS count"
+    ),
+    "generated_q2_customer_orders": _MADE_Q2,
+    "generated_q3_join_3_entities": _MADE_Q3,
+    "generated_q4_optional_aggregation": _MADE_Q4,
     "triplify_customers": _graph(CUSTOMERS),
     "triplify_products": _graph(PRODUCTS),
     "triplify_orders": _graph(ORDERS),

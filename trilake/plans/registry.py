@@ -334,6 +334,43 @@ def generate_entities(spark, sf_dir):
     )
 
 
+def _generated_graph(spark, sf_dir, layout="branches"):
+    """Generated facts about the customers, parts and orders of the tables: their keys
+    are the ids, and an order is placed by the customer it has in its table."""
+
+    def ids(name, **columns):
+        renamed = [F.col(column).cast("bigint").alias(alias) for alias, column in columns.items()]
+        return dt.table(spark, sf_dir, name).select(*renamed)
+
+    return generate.entity_graph(
+        generate.customers_of(ids("customer", id="c_custkey")),
+        generate.products_of(ids("part", id="p_partkey")),
+        generate.orders_of(ids("orders", id="o_orderkey", customer="o_custkey"), dt.table(spark, sf_dir, "part").count()),
+        layout,
+    )
+
+
+@query
+def generated_q1_count(spark, sf_dir):
+    return ec.q1_count(_generated_graph(spark, sf_dir, "rows"))
+
+
+@query
+def generated_q2_customer_orders(spark, sf_dir):
+    """Names are few here, so equal names are one group of many customers."""
+    return ec.q2_customer_orders(_generated_graph(spark, sf_dir))
+
+
+@query
+def generated_q3_join_3_entities(spark, sf_dir):
+    return ec.q3_join_3_entities(_generated_graph(spark, sf_dir))
+
+
+@query
+def generated_q4_optional_aggregation(spark, sf_dir):
+    return ec.q4_optional_aggregation(_generated_graph(spark, sf_dir))
+
+
 @query
 def triplify_customers(spark, sf_dir):
     return shown(dt.customer_triples(spark, sf_dir, "rows"))

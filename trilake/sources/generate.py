@@ -15,13 +15,13 @@ from trilake.sources.tables import Literal, Name, Template, date, double, intege
 from trilake.vocab import CATEGORIES, COUNTRIES, FIRST_NAMES, LAST_NAMES, PRODUCT_NAMES, SEGMENTS, STATUSES
 
 
-def generate_customers(spark: SparkSession, n: int, seed: int = 42) -> DataFrame:
+def customers_of(ids: DataFrame, seed: int = 42) -> DataFrame:
+    """A customer for each row of `ids` (a column ``id``); what else it holds stays out."""
+
     def h(salt: int):
         return seeded_hash(F.col("id"), salt, seed)
 
-    named = spark.range(n).withColumn(
-        "name", F.concat_ws(" ", pick(FIRST_NAMES, h(1)), pick(LAST_NAMES, h(2)))
-    )
+    named = ids.withColumn("name", F.concat_ws(" ", pick(FIRST_NAMES, h(1)), pick(LAST_NAMES, h(2))))
     return named.select(
         "id",
         "name",
@@ -34,11 +34,13 @@ def generate_customers(spark: SparkSession, n: int, seed: int = 42) -> DataFrame
     )
 
 
-def generate_products(spark: SparkSession, n: int, seed: int = 42) -> DataFrame:
+def products_of(ids: DataFrame, seed: int = 42) -> DataFrame:
+    """A product for each row of `ids`."""
+
     def h(salt: int):
         return seeded_hash(F.col("id"), salt, seed)
 
-    return spark.range(n).select(
+    return ids.select(
         "id",
         F.when(F.col("id") < len(PRODUCT_NAMES), pick(PRODUCT_NAMES, h(11)))
         .otherwise(F.concat(F.lit("Product-"), F.col("id").cast("string")))
@@ -49,13 +51,20 @@ def generate_products(spark: SparkSession, n: int, seed: int = 42) -> DataFrame:
     )
 
 
-def generate_orders(spark: SparkSession, n: int, n_customers: int, n_products: int, seed: int = 42) -> DataFrame:
+def orders_of(ids: DataFrame, n_products: int, n_customers: int | None = None, seed: int = 42) -> DataFrame:
+    """An order for each row of `ids`, for one of the products 0 to ``n_products - 1``.
+
+    Customers are drawn from 0 to ``n_customers - 1``; without that number `ids` has a
+    column ``customer``, so that orders pile up as they do in a table at hand.
+    """
+
     def h(salt: int):
         return seeded_hash(F.col("id"), salt, seed)
 
-    return spark.range(n).select(
+    customer = F.col("customer") if n_customers is None else (h(21) % n_customers).alias("customer")
+    return ids.select(
         "id",
-        (h(21) % n_customers).alias("customer"),
+        customer,
         (h(22) % n_products).alias("product"),
         uniform_int(h(23), 1, 20).alias("quantity"),
         uniform_cents(h(24), 50, 5000).alias("amount"),
@@ -71,9 +80,9 @@ def generate_entities(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Tables ``(customers, products, orders)`` of the given sizes."""
     return (
-        generate_customers(spark, n_customers, seed),
-        generate_products(spark, n_products, seed),
-        generate_orders(spark, n_orders, n_customers, n_products, seed),
+        customers_of(spark.range(n_customers), seed),
+        products_of(spark.range(n_products), seed),
+        orders_of(spark.range(n_orders), n_products, n_customers, seed),
     )
 
 
