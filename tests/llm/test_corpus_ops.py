@@ -85,7 +85,12 @@ def test_deduplicated_on_any_partitioning(spark):
     assert found[0] == found[1] == found[2] and [r[0] for r in found[0]] == [1, 3]
 
 
-def test_links_between_given_fingerprints(spark):
+@pytest.mark.parametrize("n, tables, bits", [(0, 5, 12), (10**9, 15, 20), (10**12, 35, 27)])
+def test_links_between_given_fingerprints(spark, monkeypatch, n, tables, bits):
+    """The same components by the keys that a table of `n` fingerprints would get."""
+    keys = simhash.key_tables(4, n)
+    assert len(keys) == tables and min(sum(hi - lo for lo, hi in key) for key in keys) >= bits
+    monkeypatch.setattr(simhash, "key_tables", lambda most, found: keys)
     rng = random.Random(5)
     codes = {rng.getrandbits(64) for _ in range(40)}
     for c in list(codes)[:25]:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -96,12 +97,34 @@ class GrayIndex:
             yield q, self.order[node]
 
 
-def block_bounds(most: int = MAX_BITS) -> list[tuple[int, int]]:
-    """`most` + 1 blocks of bits; two codes at most `most` bits apart agree in one of them."""
-    edges = [BITS * i // (most + 1) for i in range(most + 2)]
+def block_bounds(blocks: int) -> list[tuple[int, int]]:
+    """The bits cut into blocks of about equal width."""
+    edges = [BITS * i // blocks for i in range(blocks + 1)]
     return list(zip(edges, edges[1:]))
 
 
+def key_tables(most: int, n: int) -> list[tuple[tuple[int, int], ...]]:
+    """The bits that make the keys of each bucket table, for `n` fingerprints.
+
+    Of `most` + t blocks, two codes at most `most` bits apart agree in at least t, so
+    one table for each choice of t blocks misses no pair. More blocks together make
+    longer keys and smaller buckets, at the price of more tables: t is the least from 1
+    to 3 for which evenly spread fingerprints fill a bucket of the shortest key with no
+    more than ``SLICE``.
+    """
+    t = next((t for t in (1, 2) if n <= SLICE << t * (BITS // (most + t))), 3)
+    return list(itertools.combinations(block_bounds(most + t), t))
+
+
+def _key(bits: tuple[tuple[int, int], ...]) -> Column:
+    """The blocks of a fingerprint side by side as one number."""
+    key = F.lit(0).cast("long")
+    for lo, hi in bits:
+        part = F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1))
+        key = F.shiftleft(key, hi - lo).bitwiseOR(part)
+    return key
+
+
 def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The lowest node of each node's component, by hooking and pointer jumping."""
     root = np.arange(n)
@@ -159,16 +182,12 @@ def _linked(most: int):
 def links(codes: DataFrame, most: int = MAX_BITS) -> DataFrame:
     """Links u, v between fingerprints that together connect all that are near.
 
-    `codes`: distinct fp. Each is sent to one bucket for each block of its bits, and
-    every bucket is searched through a Gray-order index. A bucket of more than ``SLICE``
-    fingerprints becomes all pairs of its slices, each a unit of its own.
+    `codes`: distinct fp, in a stored table. Each is sent to one bucket of every table of
+    `key_tables`, and every bucket is searched through a Gray-order index. A bucket of
+    more than ``SLICE`` fingerprints becomes all pairs of its slices, each a unit of its own.
     """
-    blocks = F.array(
-        *[
-            F.struct(F.lit(i).alias("block"), F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)).alias("value"))
-            for i, (lo, hi) in enumerate(block_bounds(most))
-        ]
-    )
+    tables = enumerate(key_tables(most, codes.count()))
+    blocks = F.array(*[F.struct(F.lit(i).alias("block"), _key(bits).alias("value")) for i, bits in tables])
     dealt = codes.select("fp", F.explode(blocks).alias("at")).select("fp", "at.block", "at.value")
     sizes = dealt.groupBy("block", "value").agg(F.ceil(F.count("*") / SLICE).alias("slices"))
     large = stored(sizes.where("slices > 1"), "simhash-large")
