@@ -246,3 +246,28 @@ def test_base_holds_from_its_place_on(spark, tmp_path):
         ("http://b/x/s", "http://b/x/v#p", "http://b/o", None), ("http://b/x/deep/s", "http://b/x/v#p", "http://b/x/deep/#f", None),
         ("http://b/x/deep/s", "http://b/x/v#p", "x", "http://b/x/deep/t"), ("http://b/x/deep/s", "http://b/x/deep/w#p", "http://b/x/deep/w#o", None),
     }
+
+
+def test_bindings_as_often_as_statements(spark, tmp_path):
+    """A base and a prefix for each statement; some relative to the base before, some bound over chunks."""
+    n = 40_000
+    lines = ["@prefix once: <http://once.example/> .", "@base <http://b.example/> ."]
+    for i in range(n):
+        lines.append(f"@base <{'r' if i % 4 else 'http://b.example/'}{i}/> .")
+        lines.append(f"@prefix p: <{'v' if i % 2 else 'http://p.example/v'}{i}#> .")
+        lines.append(f"<s> p:n once:{i} .")
+    (tmp_path / "many.ttl").write_text("\n".join(lines) + "\n")
+    base, want = "", set()
+    for i in range(n):
+        base = base + f"r{i}/" if i % 4 else f"http://b.example/{i}/"
+        want.add((base + "s", (base if i % 2 else "http://p.example/") + f"v{i}#n", f"http://once.example/{i}"))
+    assert as_set(read_turtle(spark, str(tmp_path)).select("s", "p", "o")) == want
+
+
+def test_long_run_of_relative_bases(spark, tmp_path):
+    steps = 2_500
+    text = "<a> <x:p> <x:o> .\n@base <y/> .\n@base <http://b.example/0/> .\n"
+    text += "".join(f"@base <../{i}/> .\n" for i in range(1, steps)) + "<s> <x:p> '''o''' .\n"
+    (tmp_path / "run.ttl").write_text(text)
+    found = read_turtle(spark, str(tmp_path), on_reject="count")
+    assert as_set(found.select("s", "o")) == {(f"http://b.example/{steps - 1}/s", "o")}

@@ -17,7 +17,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trilake.operators.joins import lookup_join
 from trilake.session import kept
 from trilake.sources.ntriples import IRI, LANG, LITERAL_BODY
 from trilake.vocab import RDF
@@ -52,6 +51,10 @@ _DIRECTIVE = r"(?:@\n)?((?i:prefix|base))\n(?:([^\s:<]*):\n)?<([^\n]*)>\n(?:\.\n
 _DIRECTIVES = rf"^(?:(?:@\n)?(?:(?i:prefix)\n[^\s:<]*:|(?i:base))\n<[^\n]*>\n(?:\.\n)?)++"
 _SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:"
 SAME = "012"
+#: Relative bases in a row that are resolved in one go.
+RUN_BLOCK = 1_000
+#: The place of what a statement has after its directives.
+LAST = (1 << 31) - 1
 
 
 def _after(text: Column) -> Column:
@@ -184,32 +187,91 @@ def resolve(base: Column, reference: Column) -> Column:
     )
 
 
-def bindings(directives: DataFrame) -> DataFrame:
-    """Rows ``(file, epochs)``: what prefixes and base are from which statement on.
+def _held(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """`rows` (keys, n, i, iri) with `iri` as the last one that is not null, up to the row, by n and i.
 
-    `directives`: file, n, alone (nothing else is in the statement), found (kind, prefix,
-    iri, in order). Directives in a row make one epoch.
+    First within chunks of statements, then over the chunks, so no task gets all rows of a key.
     """
-    each = directives.select("file", "n", "alone", F.posexplode("found").alias("i", "d"))
-    listed = F.array_sort(F.collect_list(F.struct("n", "i", "alone", "d")))
-    state = "struct<base:string, prefixes:map<string,string>, epochs:array<struct<n:bigint, alone:boolean, base:string, prefixes:map<string,string>>>>"
-    nothing = F.struct(F.lit(None).cast("string").alias("base"), F.create_map().cast("map<string,string>").alias("prefixes"), F.array().alias("epochs"))
-
-    def step(acc: Column, x: Column) -> Column:
-        d = x["d"]
-        iri = resolve(acc["base"], d["iri"])
-        is_base = F.lower(d["kind"]) == "base"
-        base = F.when(is_base, iri).otherwise(acc["base"])
-        others = F.map_filter(acc["prefixes"], lambda k, _: k != d["prefix"])
-        prefixes = F.when(is_base | iri.isNull(), acc["prefixes"]).otherwise(F.map_concat(others, F.create_map(d["prefix"], iri)))
-        last = F.try_element_at(acc["epochs"], F.lit(-1))
-        joined = F.coalesce((last["n"] == x["n"]) | (last["alone"] & (last["n"] == x["n"] - 1)), F.lit(False))
-        before = F.when(joined, F.slice(acc["epochs"], 1, F.size(acc["epochs"]) - 1)).otherwise(acc["epochs"])
-        epoch = F.struct(x["n"].alias("n"), x["alone"].alias("alone"), base.alias("base"), prefixes.alias("prefixes"))
-        return F.struct(base.alias("base"), prefixes.alias("prefixes"), F.concat(before, F.array(epoch)).alias("epochs")).cast(state)
-
-    folded = F.aggregate("listed", nothing.cast(state), step)
-    return each.groupBy("file").agg(listed.alias("listed")).select("file", folded["epochs"].alias("epochs"))
+    chunked = rows.withColumn("chunk", F.floor(F.col("n") / CHUNK_LINES))
+    chunk = [*keys, "chunk"]
+    ends = chunked.groupBy(*chunk).agg(F.max(F.when(F.col("iri").isNotNull(), F.struct("n", "i", "iri")))["iri"].alias("end"))
+    earlier = Window.partitionBy(*keys).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ends.select(*[F.col(c).alias(f"_{c}") for c in chunk], F.last("end", True).over(earlier).alias("start"))
+    inside = Window.partitionBy(*chunk).orderBy("n", "i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    here = chunked.withColumn("iri", F.last("iri", True).over(inside))
+    same = [F.col(c) == F.col(f"_{c}") for c in chunk]
+    return here.join(starts, same).select(*keys, "n", "i", F.coalesce("iri", "start").alias("iri"))
+
+
+def _bases(directives: DataFrame) -> DataFrame:
+    """Rows ``(file, n, i, iri)``: the absolute IRIs that base directives set.
+
+    `directives`: file, n, i, kind, prefix, iri. Relative bases that follow one another
+    are resolved in order, in one row for each absolute base that has such after it.
+    """
+    bases = directives.where(F.lower("kind") == "base").select("file", "n", "i", "iri")
+    absolute = F.col("iri").rlike(_SCHEME)
+    if bases.where(~absolute).isEmpty():
+        return bases
+    marks = bases.select("file", "n", "i", F.when(absolute, F.to_json(F.struct("n", "i", "iri"))).alias("iri"))
+    relative = bases.where(~absolute).join(_held(marks, ["file"]).withColumnRenamed("iri", "after"), ["file", "n", "i"])
+    listed = F.array_sort(F.collect_list(F.struct("n", "i", "iri")))
+    runs = relative.where("after is not null").groupBy("file", "after").agg(listed.alias("run"))
+    size = F.size("run")
+    # Arrays that grow by one are copied at each step: blocks keep them short.
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((size - 1) / RUN_BLOCK).cast("int")), lambda j: F.slice("run", j * RUN_BLOCK + 1, RUN_BLOCK))
+    last = lambda xs: F.element_at(xs, -1)
+
+    def fold(done: Column, block: Column) -> Column:
+        start = F.array(last(last(done)))
+        step = lambda xs, x: F.concat(xs, F.array(resolve(last(xs), x["iri"])))
+        # the first of the result is the base before the block
+        return F.concat(done, F.array(F.aggregate(block, start, step)))
+
+    first = F.array(F.array(F.get_json_object("after", "$.iri")))
+    folded = F.flatten(F.transform(F.slice(F.aggregate(blocks, first, fold), 2, size), lambda xs: F.slice(xs, 2, RUN_BLOCK)))
+    resolved = runs.select("file", F.inline(F.arrays_zip(F.col("run").alias("at"), folded.alias("iri"))))
+    return kept(bases.where(absolute).unionByName(resolved.select("file", "at.n", "at.i", "iri")), "turtle-bases")
+
+
+def bindings(directives: DataFrame, bodies: DataFrame) -> DataFrame:
+    """Rows ``(file, n, prefixes, base)``: what holds in each statement, of the prefixes it has.
+
+    `directives`: file, n, found (kind, prefix, iri, in order); those of a statement come
+    before what else is in it. `bodies`: file, n, lined. Each use of a prefix or of the
+    base is put in order with what binds it, so a file may bind as often as it likes.
+    """
+    each = kept(directives.select("file", "n", F.posexplode("found").alias("i", "d")).select("file", "n", "i", "d.*"), "turtle-directives")
+    bases = _bases(each)
+    of_base = bases.select("file", F.lit(None).cast("string").alias("prefix"), "n", "i", "iri")
+    named = each.where(F.lower("kind") != "base").select("file", "prefix", "n", "i", "iri")
+    absolute = F.col("iri").rlike(_SCHEME)
+    full = named.where(absolute)
+    if not named.where(~absolute).isEmpty():
+        asked = named.where(~absolute).select("file", "n", "i", F.lit(None).cast("string").alias("iri"))
+        known = _held(bases.unionByName(asked), ["file"]).withColumnRenamed("iri", "base")
+        joined = named.where(~absolute).join(known, ["file", "n", "i"])
+        full = full.unionByName(joined.select("file", "prefix", "n", "i", resolve(F.col("base"), F.col("iri")).alias("iri")))
+
+    def name(token: Column) -> Column:
+        """The prefix of a name, of itself or of a literal's datatype; null for the base."""
+        suffix = F.substring_index(token, '"', -1)
+        shown = F.when(~token.startswith('"'), token).when(suffix.startswith("^^"), F.substr(suffix, F.lit(3))).otherwise("")
+        prefix = F.when(shown.startswith("<"), F.when(shown.rlike("^<[A-Za-z][A-Za-z0-9+.-]*:"), "_")).otherwise(F.substring_index(shown, ":", 1))
+        return F.when(shown.startswith("<") | shown.contains(":"), prefix).otherwise("_")
+
+    prefixes = F.array_distinct(F.transform(F.split("lined", "\n"), name))
+    used = bodies.select("file", "n", F.explode(prefixes).alias("prefix")).where("prefix is null or prefix <> '_'")
+    uses = used.select("file", "prefix", "n", F.lit(LAST).alias("i"), F.lit(None).cast("string").alias("iri"))
+    # a key of its own for the base, as null keys do not meet in a join
+    key = F.coalesce(F.concat(F.lit(":"), F.col("prefix")), F.lit("base"))
+    rows = full.unionByName(of_base).unionByName(uses).withColumn("prefix", key)
+    held = _held(rows, ["file", "prefix"]).where((F.col("i") == LAST) & F.col("iri").isNotNull())
+    found = held.groupBy("file", "n").agg(F.collect_list(F.struct("prefix", "iri")).alias("found"))
+    is_base = lambda x: x["prefix"] == "base"
+    entries = F.transform(F.filter("found", lambda x: ~is_base(x)), lambda x: F.struct(F.substr(x["prefix"], F.lit(2)).alias("key"), x["iri"].alias("value")))
+    held = found.select("file", "n", F.map_from_entries(entries).alias("prefixes"), F.get(F.filter("found", is_base), F.lit(0))["iri"].alias("base"))
+    return kept(held, "turtle-bindings")
 
 
 def _node(n: Column, pos: Column) -> Column:
@@ -283,11 +345,10 @@ def scan_lines(spark: SparkSession, path: str | list[str], files: list[str], sou
     read = kept(read, "turtle-statements")
     fields = [F.regexp_extract_all("heads", F.lit(_DIRECTIVE), F.lit(i)) for i in (1, 2, 3)]
     found = F.arrays_zip(*[f.alias(name) for f, name in zip(fields, ("kind", "prefix", "iri"))])
-    directives = read.where("heads <> ''").select("file", "n", (F.trim("lined", F.lit("\n")) == "").alias("alone"), found.alias("found"))
+    directives = read.where("heads <> ''").select("file", "n", found.alias("found"))
     bodies = read.where(F.trim("lined", F.lit("\n")) != "").select("file", "n", "lined")
     nested = F.concat(F.lit("\n"), F.col("lined")).rlike(r"\n[\[(\])]\n")
     flat = bodies.where(~nested).unionByName(flattened(bodies.where(nested), sound))
-    bound = lookup_join(flat, bindings(directives), ["file"])
-    epoch = F.try_element_at(F.filter("epochs", lambda e: e["n"] <= F.col("n")), F.lit(-1))
+    bound = flat.join(bindings(directives, bodies), ["file", "n"], "left")
     none = F.create_map().cast("map<string,string>")
-    return bound.select("file", F.coalesce(epoch["prefixes"], none).alias("prefixes"), epoch["base"].alias("base"), "lined")
+    return bound.select("file", F.coalesce("prefixes", none).alias("prefixes"), "base", "lined")
