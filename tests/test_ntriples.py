@@ -109,3 +109,11 @@ def test_roundtrip_of_awkward_terms(spark, tmp_path, graph_of):
     write_ntriples(graph, str(tmp_path / "out"))
     assert as_set(read_ntriples(spark, str(tmp_path / "out"))) == as_set(graph)
     assert not any("\n" in r.value for r in ntriples_lines(graph).collect())
+
+
+def test_compressed_in_short_files(spark, graph_of, tmp_path):
+    g = graph_of([(f":s{i}", ":p", '"a long text that is the same"') for i in range(1_000)]).coalesce(1)
+    write_ntriples(g, str(tmp_path / "packed"), compression="gzip", maxRecordsPerFile=300)
+    files = list((tmp_path / "packed").glob("part-*.gz"))
+    assert len(files) == 4 and sum(f.stat().st_size for f in files) < 20_000
+    assert as_set(read_ntriples(spark, str(tmp_path / "packed"))) == as_set(g)

@@ -43,6 +43,7 @@ LOG_OPERATIONS = {raw: shown for raw, shown in OPERATIONS.items() if not raw.sta
 WIDER_SCALES = [*SCALES, "xxlarge"]
 SKIPPED = {raw: "N/A" if raw.startswith("write_") else "TIMEOUT" for raw in OPERATIONS}
 FILE_ROWS = 100_000
+PACKED = {"compression": "gzip", "maxRecordsPerFile": FILE_ROWS}
 LOG_FILE_ROWS = 10_000
 REJECT_KEYS = 10_000
 
@@ -80,7 +81,7 @@ def _text_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _ntriples_path(spark: SparkSession, sf_dir: str) -> str:
-    return _scratch(spark, sf_dir, "nt", lambda p: rdf.write_ntriples(_text_graph(spark, sf_dir), p))
+    return _scratch(spark, sf_dir, "nt", lambda p: rdf.write_ntriples(_text_graph(spark, sf_dir), p, **PACKED))
 
 
 # ---------------------------------------------------------------- sources
@@ -420,7 +421,7 @@ def roundtrip_ntriples(spark, sf_dir):
     read = []
     for label, graph in (("c", dt.CUSTOMERS_GRAPH), ("p", dt.PARTS_GRAPH), ("o", None)):
         part = graphs.dump_graph(named, graph)
-        path = _scratch(spark, sf_dir, "nt-" + label, lambda p, part=part: rdf.write_ntriples(part, p))
+        path = _scratch(spark, sf_dir, "nt-" + label, lambda p, part=part: rdf.write_ntriples(part, p, **PACKED))
         read.append(read_ntriples(spark, path, graph, distinct=False))
     return shown(graphs.graph_union(*read))
 

@@ -25,8 +25,10 @@ def ntriples_lines(triples: DataFrame) -> DataFrame:
     )
 
 
-def write_ntriples(triples: DataFrame, path: str, mode: str = "overwrite") -> None:
-    ntriples_lines(triples).write.mode(mode).text(path)
+def write_ntriples(triples: DataFrame, path: str, mode: str = "overwrite", **options: str | int) -> None:
+    """`options` are those of Spark's text writer. Compressed files are not split by readers:
+    with ``compression``, ``maxRecordsPerFile`` keeps each of them short."""
+    ntriples_lines(triples).write.mode(mode).options(**options).text(path)
 
 
 def _short(full: Column, prefixes: Mapping[str, str]) -> Column:
