@@ -271,3 +271,13 @@ def test_long_run_of_relative_bases(spark, tmp_path):
     (tmp_path / "run.ttl").write_text(text)
     found = read_turtle(spark, str(tmp_path), on_reject="count")
     assert as_set(found.select("s", "o")) == {(f"http://b.example/{steps - 1}/s", "o")}
+
+
+def test_lines_that_need_no_second_look(spark):
+    """Statements of flat files are told to be harmless by one expression, and their bindings are found."""
+    from trilake.sources.turtle import _PLAIN
+
+    plain = [':s :p "a # [b] \'c\'"@en .', ":s a :T ;", ':s :p "1"^^xsd:integer .']
+    looked_at = [':s :p "a" . # x .', ':s :p "a\\"" .', ":s :p [ :q :r ] .", ":s :p 'x' .", ':s :p """x .', "<a#b> :p :o ."]
+    lines = spark.createDataFrame([(x,) for x in plain + looked_at], "value string")
+    assert as_set(lines.where(lines.value.rlike(_PLAIN))) == {(x,) for x in plain}

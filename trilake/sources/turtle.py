@@ -41,6 +41,9 @@ TOKEN = (
 _IN_COMMENT = rf"^(?:{LITERAL_BODY}|{IRI}|\\.|[^#\"\\])*+#"
 # Strings and comments, to look for long strings outside of them.
 _STRING_OR_COMMENT = rf"{LITERAL_BODY}(?!\")|{IRI}|#[^\n]*+"
+# A line that can not make its file hard if it has no word of a directive: at most one
+# string, without escapes, and outside of it nothing that opens a string, bracket or comment.
+_PLAIN = r"""^[^"'#\[(\\]++(?:"[^"\\]*+"[^"'#\[(\\]*+)?+\z"""
 # Tokens one a line: subject, predicate, objects with "," between, more after ";".
 _TERM = r"""(?:[^\n,;.'"\[\](){}@][^\n]*+|\.[^\n]++|"[^\n]++)"""
 _OBJECTS = rf"{_TERM}\n(?:,\n{_TERM}\n)*+"
@@ -65,9 +68,13 @@ def file_facts(lines: DataFrame) -> DataFrame:
 
     `hard`: the file can not be read record by record. Long strings may hold what looks
     like a statement end, a comment may cut a statement, and of a prefix bound to two
-    namespaces it depends on the place which one holds. Most lines have no character
-    that could make them hard.
+    namespaces it depends on the place which one holds. Most lines are plain, which one
+    look tells; of the others all is computed.
     """
+    lower = F.lower("value")
+    ended = F.col("value").endswith(" .") | F.col("value").endswith(" ;")
+    plain = ended & F.col("value").rlike(_PLAIN) & ~lower.contains("prefix") & ~lower.contains("base")
+    lines = lines.select("file", F.when(~plain, F.col("value")).alias("value"))
     value = F.col("value")
     outside = F.regexp_replace(F.regexp_replace(value, PREFIX_LINE, ""), _STRING_OR_COMMENT, "")
     odd = value.rlike(r"""["'\[(]|(?i:prefix|base)""") & outside.rlike(r"""["'\[(]|(?i:(?:^|[\s@])(?:prefix|base)\s)""")
@@ -81,10 +88,12 @@ def file_facts(lines: DataFrame) -> DataFrame:
         ),
     )
     # Inlined as a one-row array: the flag is then computed once a line, not once a binding.
-    flags = F.struct("file", (odd | loose | cut).alias("hard"), binds.alias("binds"))
+    flags = F.struct("file", F.coalesce(odd | loose | cut, F.lit(False)).alias("hard"), binds.alias("binds"))
     found = lines.select(F.inline(F.array(flags))).select("file", "hard", F.explode_outer("binds").alias("b"))
-    per_prefix = found.groupBy("file", "b.prefix").agg(
-        F.min("b.namespace").alias("low"), F.max("b.namespace").alias("high"), F.max("hard").alias("hard")
+    # Flags first: the least and greatest of texts are found by sorting, here of few rows.
+    bound = found.groupBy("file", "b.prefix", "b.namespace").agg(F.max("hard").alias("hard"))
+    per_prefix = bound.groupBy("file", "prefix").agg(
+        F.min("namespace").alias("low"), F.max("namespace").alias("high"), F.max("hard").alias("hard")
     )
     entry = F.when(F.col("prefix").isNotNull(), F.struct("prefix", F.col("low").alias("namespace")))
     hard = F.max(F.col("hard") | F.coalesce(F.col("low") != F.col("high"), F.lit(False)))
