@@ -224,12 +224,13 @@ def _append(triples: DataFrame, path: str) -> None:
     number, content = _manifest(spark, path)
     column = LAYOUTS[content["layout"]]
     part = PREDICATE_PARTS[column]
-    given = kept(triples.select(*TRIPLE_COLUMNS).dropDuplicates(), "store-append")
+    given = kept(triples.select(*TRIPLE_COLUMNS), "store-append")
     touched = {r[0] for r in given.select(part(F.col("p"))).distinct().collect()}  # directories, as the driver lists
     held = [d for d in content["parts"] if d.rsplit("=", 1)[1] in touched]
-    old = _read(spark, path, content, held).select([F.col(c).alias(f"_{c}") for c in TRIPLE_COLUMNS])
-    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in TRIPLE_COLUMNS]
-    fresh = given.join(old, same, "left_anti")
+    old = _read(spark, path, content, held).select(*TRIPLE_COLUMNS)
+    # Grouped rather than joined: nulls are equal, repeats go, and nothing is sorted.
+    marked = given.withColumn("stored", F.lit(False)).unionByName(old.withColumn("stored", F.lit(True)))
+    fresh = marked.groupBy(*TRIPLE_COLUMNS).agg(F.max("stored").alias("stored")).where(~F.col("stored")).drop("stored")
     parts = _write(fresh, path, content["by_graph"], content["layout"])
     _hold_unique(spark, path, content, parts)
     _publish(spark, path, number, content | {"parts": content["parts"] + parts})
