@@ -1,6 +1,10 @@
 import random
 
+from pyspark.sql import functions as F
+
+from trilake.operators import isomorphism
 from trilake.operators.isomorphism import bnode_colours, canonical_graph, graph_differences
+from trilake.session import kept
 
 P = [":p", ":q"]
 
@@ -45,3 +49,27 @@ def test_graphs_without_blank_nodes(spark, graph_of):
     assert canonical_graph(graph_of(plain)).count() == 2
     assert graph_differences(graph_of(plain), graph_of(plain[:1])).count() == 1
     assert graph_differences(graph_of([]), graph_of([])).count() == 0
+
+
+def test_rounds_end_when_all_nodes_are_told_apart(graph_of, monkeypatch):
+    written = []
+    monkeypatch.setattr(isomorphism, "kept", lambda df, label: written.append(label) or kept(df, label))
+    rows = [(f"_:a{i}", ":n", f'"{i}"') for i in range(9)]
+    assert bnode_colours(graph_of(rows)).select("colour").distinct().count() == 9
+    assert written.count("bnode-colours") == 2  # the first colours and one round
+
+
+def test_a_canonical_graph_is_found_once(graph_of):
+    rows = [(":c", ":address", "_:a"), ("_:a", ":n", '"1"'), ("_:a", ":in", "_:b")]
+    found = canonical_graph(graph_of(renamed(rows, 2)))
+    assert graph_differences(graph_of(rows), None, found).count() == 0
+    assert graph_differences(graph_of(rows[:2]), None, found).count() > 0
+
+
+def test_sums_of_hashes_at_a_large_hub(spark, graph_of):
+    hub = spark.range(3000).selectExpr("'_:h' AS s", "':p' AS p", "CAST(id AS STRING) AS o", "'literal' AS o_kind")
+    blank = {c: F.lit(None).cast("string") for c in ("o_dtype", "o_lang", "g")}
+    rows = hub.withColumns(blank)
+    moved = rows.withColumn("s", F.lit("_:x")).repartition(5)
+    assert graph_differences(rows, moved).count() == 0
+    assert graph_differences(rows, moved.where("o <> '7'")).count() > 0

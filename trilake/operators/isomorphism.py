@@ -16,6 +16,7 @@ from trilake.session import kept
 from trilake.vocab import TRIPLE_COLUMNS
 
 _FIRST = "0"
+LOW = (1 << 32) - 1
 
 
 def _is_bnode(c: Column) -> Column:
@@ -53,17 +54,18 @@ def bnode_colours(triples: DataFrame) -> DataFrame:
     """
     sides = kept(_sides(triples.select(*TRIPLE_COLUMNS).dropDuplicates()), "bnode-sides")
     colours = kept(sides.select("node").distinct().withColumn("colour", F.lit(_FIRST)), "bnode-colours")
-    found = 1
+    nodes, found = colours.count(), 1
     while True:
         known = colours.select(F.col("node").alias("other"), F.col("colour").alias("other_colour"))
         seen = sides.join(known, "other", "left")
-        # two sums of 64-bit hashes, exact as decimals
-        marks = [F.sum(F.xxhash64(F.lit(i), "fixed", "other_colour").cast("decimal(20,0)")).alias(f"m{i}") for i in (1, 2)]
-        sums = seen.groupBy("node").agg(*marks)
-        new = F.md5(F.concat_ws(" ", "colour", F.col("m1").cast("string"), F.col("m2").cast("string")).cast("binary"))
+        # two sums of 64-bit hashes, exact as each half is summed by itself
+        hashes = seen.select("node", *[F.xxhash64(F.lit(i), "fixed", "other_colour").alias(f"h{i}") for i in (1, 2)])
+        halves = {f"{h}_{n}": half for h in ("h1", "h2") for n, half in (("high", F.shiftright(h, 32)), ("low", F.col(h).bitwiseAND(LOW)))}
+        sums = hashes.groupBy("node").agg(*[F.sum(half).alias(name) for name, half in halves.items()])
+        new = F.md5(F.concat_ws(" ", "colour", *[F.col(name).cast("string") for name in halves]).cast("binary"))
         colours = kept(colours.join(sums, "node").select("node", new.alias("colour")), "bnode-colours")
         now = colours.select("colour").distinct().count()
-        if now <= found:
+        if now <= found or now == nodes:
             return colours
         found = now
 
@@ -84,13 +86,15 @@ def canonical_graph(triples: DataFrame) -> DataFrame:
     return rows.groupBy(*TRIPLE_COLUMNS).agg(F.count(F.lit(1)).alias("n"))
 
 
-def graph_differences(left: DataFrame, right: DataFrame) -> DataFrame:
+def graph_differences(left: DataFrame, right: DataFrame, right_canonical: DataFrame | None = None) -> DataFrame:
     """Canonical triples that one graph has more often than the other: ``in_left``, ``in_right``.
 
     No rows: the graphs are equal up to the names of blank nodes, where colours tell all of
     these apart (`n` is 1 throughout); where not, they are equal as far as refinement sees.
+    Where the `canonical_graph` of `right` is there already, it need not be found again.
     """
-    counted = [canonical_graph(g).select(*TRIPLE_COLUMNS, *[F.col("n") if i == j else F.lit(None).cast("bigint").alias("n") for j in (0, 1)]) for i, g in enumerate((left, right))]
+    named = [canonical_graph(left), canonical_graph(right) if right_canonical is None else right_canonical]
+    counted = [g.select(*TRIPLE_COLUMNS, *[F.col("n") if i == j else F.lit(None).cast("bigint").alias("n") for j in (0, 1)]) for i, g in enumerate(named)]
     sides = [c.toDF(*TRIPLE_COLUMNS, "in_left", "in_right") for c in counted]
     none = F.lit(0).cast("bigint")
     sums = sides[0].unionByName(sides[1]).groupBy(*TRIPLE_COLUMNS)

@@ -17,7 +17,7 @@ from trilake.operators.patterns import V, bgp, pattern
 from trilake.operators.validate import validate_counts
 from trilake.plans import driver_tables as dt
 from trilake.plans import ecommerce as ec
-from trilake.session import scratch_dir
+from trilake.session import kept, scratch_dir
 from trilake.sinks import rdf, results as result_sinks
 from trilake.sources import files, generate, positions, results as result_sources, store
 from trilake.sources.ntriples import read_ntriples, scan_ntriples
@@ -249,9 +249,10 @@ def canonical_bnodes(spark, sf_dir):
     blank = lambda c: F.when(F.col(c).startswith("_:"), F.concat(F.lit("_:x"), F.md5(F.col(c).cast("binary")))).otherwise(F.col(c))
     renamed = graph.withColumn("s", blank("s")).withColumn("o", blank("o"))
     path = _scratch(spark, sf_dir, "bnodes-renamed", lambda p: rdf.write_ntriples(renamed, p))
-    read = read_ntriples(spark, path, bnode_scope="dataset", on_reject="error")
-    apart = isomorphism.graph_differences(graph, read).groupBy("p").agg(F.sum(F.abs(F.col("in_left") - F.col("in_right"))).alias("apart"))
-    sizes = isomorphism.canonical_graph(read).groupBy("p").agg(F.sum("n").alias("triples"), F.max("n").alias("alike"))
+    read = kept(read_ntriples(spark, path, bnode_scope="dataset", on_reject="error"), "bnodes-read")
+    named = kept(isomorphism.canonical_graph(read), "bnodes-named")
+    apart = isomorphism.graph_differences(graph, read, named).groupBy("p").agg(F.sum(F.abs(F.col("in_left") - F.col("in_right"))).alias("apart"))
+    sizes = named.groupBy("p").agg(F.sum("n").alias("triples"), F.max("n").alias("alike"))
     return sizes.join(apart, "p", "left").select("p", "triples", "alike", F.coalesce("apart", F.lit(0)).cast("bigint").alias("apart"))
 
 
@@ -770,7 +771,7 @@ def validate_counts_(spark, sf_dir):
 @query
 def pg_nodes(spark, sf_dir):
     nodes = pg.to_nodes(money_text(dt.graph(spark, sf_dir, "rows")))
-    pairs = F.transform(F.array_sort(F.map_entries("props")), lambda e: F.concat_ws("=", e["key"], e["value"]))
+    pairs = F.transform(F.sort_array(F.map_entries("props")), lambda e: F.concat_ws("=", e["key"], e["value"]))
     return nodes.select("uri", F.array_join("labels", ",").alias("labels"), F.array_join(pairs, "|").alias("props"))
 
 
