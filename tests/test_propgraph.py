@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from test_patterns import ORDERS
 from trilake.operators import propgraph as pg
+from trilake.plans import driver_tables as dt
 from trilake.plans import ecommerce as ec
 from trilake.vocab import NS
 
@@ -78,3 +79,15 @@ def test_sums_lose_no_amount(graph_of):
     g = graph_of(rows)
     assert as_set(ec.q2_customer_orders(g)) == as_set(ec.pg_q2_customer_orders(g)) == {("C", 4, 1e30 + 1e17 + 13.004)}
     assert ec.q2_customer_orders(graph_of(rows[:5])).first().total_spend == 13.004
+
+
+def test_lines_of_an_order_share_a_task(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(dt, "CELL_ROWS", 10, raising=False)
+    spark.range(300).selectExpr("id % 60 AS l_orderkey", "id % 7 AS l_partkey", "1 AS l_quantity").write.parquet(f"{tmp_path}/lineitem.parquet")
+    orders = spark.range(60).selectExpr("id AS o_orderkey", "id AS o_custkey", "1.5D AS o_totalprice", "DATE'2020-01-01' AS o_orderdate", "'F' AS o_orderstatus")
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    contents = dt.order_triples(spark, str(tmp_path), "rows").where(F.col("p") == NS + "contains")
+    placed = {(r.s, r.task) for r in contents.select("s", F.spark_partition_id().alias("task")).distinct().collect()}
+    assert len(placed) == 60 and len({task for _, task in placed}) > 8
+    branches = dt.order_triples(spark, str(tmp_path)).where(F.col("p") == NS + "contains")
+    assert sorted(map(tuple, contents.collect())) == sorted(map(tuple, branches.collect()))

@@ -11,6 +11,8 @@ from trilake.vocab import OPERATIONS, SCALES
 
 CUSTOMERS_GRAPH = "http://benchmark.example/g/customers"
 PARTS_GRAPH = "http://benchmark.example/g/parts"
+#: Order lines that a task gets, about, where a graph is built to be written or gathered.
+CELL_ROWS = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,7 +79,12 @@ def order_triples(spark: SparkSession, sf_dir: str, layout: str = "branches") ->
     lines = table(spark, sf_dir, "lineitem")
     quantity = lines.groupBy("l_orderkey").agg(F.sum("l_quantity").cast("bigint").alias("quantity"))
     quantities = triplify(quantity, Template(":ORD", "l_orderkey", 7), None, {":quantity": integer("quantity")}, layout)
-    pairs = lines.select("l_orderkey", "l_partkey").distinct()
+    pairs = lines.select("l_orderkey", "l_partkey")
+    if layout == "rows":
+        # Lines of an order meet before anything is gathered, in cells of a bounded number of rows.
+        cells = max(spark.sparkContext.defaultParallelism, -(-lines.count() // CELL_ROWS))
+        pairs = pairs.repartition(cells, "l_orderkey")
+    pairs = pairs.distinct()
     contents = triplify(
         pairs, Template(":ORD", "l_orderkey", 7), None, {":contains": Template(":P", "l_partkey", 6)}, layout
     )
