@@ -133,3 +133,11 @@ def test_two_changes_of_one_state_are_not_both_made(spark, tmp_path, graph_of):
     with pytest.raises(RuntimeError, match="another job"):
         store._publish(spark, path, 1, content)
     assert store.open_graph(spark, path).count() == 0
+
+
+def test_directories_of_odd_names(spark):
+    names = ["http://a/plain_1", "http://a/x-y.z", "http://a/", "http://a/\u00e9\n", "http://a/end\n", None]
+    rows = spark.createDataFrame([(n,) for n in names], "p string").select("p", store.local_part(F.col("p")).alias("part"))
+    assert [r.part for r in rows.collect()] == ["p_plain_1", "p_x_y_z", "p_", "p___", "p_end_", None]
+    # plain names, nearly all, are not rewritten
+    assert "RLIKE" in rows._jdf.queryExecution().optimizedPlan().toString()
