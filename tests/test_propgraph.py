@@ -81,6 +81,16 @@ def test_sums_lose_no_amount(graph_of):
     assert ec.q2_customer_orders(graph_of(rows[:5])).first().total_spend == 13.004
 
 
+def test_nodes_meet_once(graph_of):
+    """Rows are shuffled by their node only, and ends of edges are combined before that."""
+    g = graph_of(ORDERS)
+    plan = pg.to_nodes(g)._jdf.queryExecution().executedPlan().toString()
+    shuffles = [line for line in plan.splitlines() if "Exchange" in line and "hashpartitioning" in line]
+    assert shuffles and not any("label" in line for line in shuffles)
+    many = graph_of([(f":o{i}", ":placedBy", ":hub") for i in range(50)] + [(":hub", "rdfs:label", f'"{i:02}"') for i in range(20)])
+    assert flat(pg.to_nodes(many))["hub"] == ([], {"label": "19"}) and pg.to_nodes(many).count() == 51
+
+
 def test_lines_of_an_order_share_a_task(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(dt, "CELL_ROWS", 10, raising=False)
     spark.range(300).selectExpr("id % 60 AS l_orderkey", "id % 7 AS l_partkey", "1 AS l_quantity").write.parquet(f"{tmp_path}/lineitem.parquet")

@@ -42,8 +42,11 @@ def _facts(triples: DataFrame, edges_as_props: Sequence[str], keys: Collection[s
         # Only nodes with a label or one of the keys are asked for.
         named = triples.where(local_name_filter(triples, [*keys, TYPE_NAME]))
         return named.where(is_type | wanted).select(F.inline(F.array(about_subject)))
-    about_object = fact(F.col("o"), null, null, null)
-    return triples.select(F.inline(F.when(linked, F.array(about_subject, about_object)).otherwise(F.array(about_subject))))
+    # Ends of edges are only named: they are combined by themselves, which takes no sort.
+    linked = F.coalesce(linked, F.lit(False))
+    ends = triples.where(linked).select(F.explode(F.array("s", "o")).alias("uri")).distinct()
+    named = ends.select("uri", *[null.alias(c) for c in ("label", "key", "value")])
+    return triples.where(~linked | as_prop).select(F.inline(F.array(about_subject))).unionByName(named)
 
 
 def labelled(triples: DataFrame, label: str) -> DataFrame:
@@ -95,16 +98,20 @@ def to_nodes(
     nodes that have neither a label nor one of them are left out; the filter reaches
     the scan.
 
-    First one row per (node, label or key), combined before its shuffle, so a node that
-    very many edges point to stays small; then one row per node.
+    Ends of edges are combined before their shuffle, so a node that very many edges point
+    to stays small. Then what is said of a node meets once: first one row per (node, label
+    or key), then one row per node, in the same tasks.
     """
-    facts = _facts(triples, edges_as_props, keys)
-    single = facts.groupBy("uri", "label", "key").agg(F.max("value").alias("value"))
+    facts = _facts(triples, edges_as_props, keys).repartition("uri")
+    # IRIs start alike: rows are told apart by a hash first, which makes sorting them cheap.
+    hashed = facts.withColumn("hash", F.xxhash64("uri"))
+    single = hashed.groupBy("hash", "uri", "label", "key").agg(F.max("value").alias("value"))
     entry = F.when(F.col("key").isNotNull(), F.struct("key", "value"))
-    return single.groupBy("uri").agg(
-        F.array_sort(F.collect_set("label")).alias("labels"),
-        F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("props"),
+    nodes = single.groupBy("hash", "uri").agg(
+        F.sort_array(F.collect_set("label")).alias("labels"),
+        F.map_from_entries(F.sort_array(F.collect_list(entry))).alias("props"),
     )
+    return nodes.drop("hash")
 
 
 def to_edges(triples: DataFrame, types: Sequence[str] = ()) -> DataFrame:
