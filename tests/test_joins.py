@@ -1,6 +1,7 @@
 from conftest import as_set
 from pyspark.sql import functions as F
 
+from trilake.operators import joins
 from trilake.operators.joins import hot_join, hot_keys, hot_values, lookup_join, measured_bytes
 
 
@@ -50,3 +51,26 @@ def test_hot_values_counts_each_side_on_its_own(spark):
     a, b, c = hot_values([(rows, "a"), (rows, "b"), (ids, "id")], 25)
     assert as_set(a) == {(1, 4)} and as_set(b) == {(1, 3)} and c is None
     assert hot_values([(ids, "id")], 25) == [None]
+
+
+def test_rows_without_hot_keys_are_read_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(value):
+        seen.add(1)
+        return value
+
+    rows = spark.range(100).select(F.udf(count, "long")("id").alias("a"), (F.col("id") + 1).alias("b")).distinct()
+    assert hot_values([(rows, "a"), (rows, "b")], 25) == [None, None]
+    assert seen.value == 100
+
+
+def test_hot_keys_where_hashes_are_full_of_other_keys(spark, monkeypatch):
+    rows = spark.range(100).select(F.when(F.col("id") < 60, F.col("id") % 2).when(F.col("id") < 90, F.col("id")).alias("k"))
+    for hashes in (1, 3, joins.HOT_HASHES):
+        monkeypatch.setattr(joins, "HOT_HASHES", hashes)
+        assert as_set(hot_keys(rows, ["k"], 25)) == {(0, 2), (1, 2)}
+        assert hot_keys(rows, ["k"], 30) is None
+        assert as_set(hot_keys(rows, ["k"], 9)) == {(0, 4), (1, 4), (None, 2)}
+        a, b, c = hot_values([(rows, "k"), (spark.range(100), "id"), (rows.where("k < 2"), "k")], 9)
+        assert as_set(a) == {(0, 4), (1, 4), (None, 2)} and b is None and as_set(c) == {(0, 4), (1, 4)}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trilake.session import kept
@@ -45,42 +45,61 @@ def _hashable(df: DataFrame) -> list[str]:
 
 # Rows of one join key that a single task may get.
 HOT_ROWS = 1_000_000
+#: Hash values that rows are counted by before keys are. A task keeps a count for each of
+#: them, however many keys there are.
+HOT_HASHES = 1 << 14
+
+
+def _key_hash(on: Sequence[str], side: int = 0) -> Column:
+    """One of `HOT_HASHES` values of the key; those of different sides differ."""
+    return F.pmod(F.xxhash64(*on), F.lit(HOT_HASHES)) + side * HOT_HASHES
+
+
+def _full_hashes(hashes: DataFrame, limit: int) -> list[int]:
+    """The values of column ``_hash`` with more than `limit` rows: `HOT_HASHES` a side at most."""
+    counts = hashes.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n"))
+    return [row["_hash"] for row in counts.where(F.col("_n") > limit).select("_hash").collect()]
+
+
+def _counted(rows: DataFrame, on: Sequence[str], limit: int) -> DataFrame | None:
+    """Keys with more than `limit` rows in a written table, or None: the rows of each key are counted."""
+    counts = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
+    found = kept(counts.select(*on, F.ceil(F.col("_n") / limit).cast("int").alias("_parts")), "hot-keys")
+    return None if found.isEmpty() else found
 
 
 def hot_keys(rows: DataFrame, on: Sequence[str], hot_rows: int | None = None) -> DataFrame | None:
     """All keys with more than `hot_rows` rows and the number of parts to cut each into.
 
-    Reads the key columns only and counts before the shuffle; where all rows together are
-    no more than `hot_rows`, a plain count tells that no key is hot. The result is a
+    Reads the key columns only and counts before the shuffle. Rows are counted by a hash
+    of their key first: where no hash has more than `hot_rows` rows, no key has, and of
+    the others only the keys with such a hash are counted by themselves. The result is a
     written table, or None if no key is hot.
     """
     limit = hot_rows or HOT_ROWS
-    if rows.count() <= limit:
-        return None
-    counts = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
-    found = kept(counts.select(*on, F.ceil(F.col("_n") / limit).cast("int").alias("_parts")), "hot-keys")
-    return None if found.isEmpty() else found
+    full = _full_hashes(rows.select(_key_hash(on).alias("_hash")), limit)
+    return _counted(rows.where(_key_hash(on).isin(full)), on, limit) if full else None
 
 
 def hot_values(sides: Sequence[tuple[DataFrame, str]], hot_rows: int | None = None) -> list[DataFrame | None]:
     """`hot_keys` for several ``(rows, column)`` of one type, counted together.
 
-    Rows are counted first, each set of rows once; sides too small to hold a hot key are
-    not looked at again.
+    Each set of rows is read once for all its columns; only sides that may hold a hot key
+    are looked at again.
     """
     limit = hot_rows or HOT_ROWS
-    tables = list({id(rows): rows for rows, _ in sides}.values())
-    sized = [rows.select(F.lit(i).alias("_table")) for i, rows in enumerate(tables)]
-    counted = reduce(DataFrame.unionByName, sized).groupBy("_table").count().where(F.col("count") > limit)
-    large = {id(tables[row["_table"]]) for row in counted.collect()}
+    tables = {id(rows): rows for rows, _ in sides}
+    hashes = [
+        rows.select(F.explode(F.array(*[_key_hash([c], i) for i, (r, c) in enumerate(sides) if r is rows])).alias("_hash"))
+        for rows in tables.values()
+    ]
+    full = _full_hashes(reduce(DataFrame.unionByName, hashes), limit)
     keys = [
-        rows.select(F.lit(i).alias("_side"), F.col(column).alias("_key"))
+        rows.where(_key_hash([column], i).isin(own)).select(F.lit(i).alias("_side"), F.col(column).alias("_key"))
         for i, (rows, column) in enumerate(sides)
-        if id(rows) in large
+        if (own := [value for value in full if value // HOT_HASHES == i])
     ]
-    if not keys:
-        return [None] * len(sides)
-    found = hot_keys(reduce(DataFrame.unionByName, keys), ["_side", "_key"], hot_rows)
+    found = _counted(reduce(DataFrame.unionByName, keys), ["_side", "_key"], limit) if keys else None
     if found is None:
         return [None] * len(sides)
     split = []
