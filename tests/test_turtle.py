@@ -2,7 +2,7 @@ import pytest
 from conftest import as_set
 
 from trilake.sinks.rdf import turtle_subject_blocks, write_ntriples, write_turtle, write_turtle_grouped
-from trilake.sources import turtle_lines
+from trilake.sources import turtle_lines, turtle_text
 from trilake.sources.files import load_stats
 from trilake.sources.ntriples import read_ntriples
 from trilake.sources.turtle import read_turtle, scan_turtle
@@ -240,6 +240,79 @@ def test_relative_iris(spark):
     assert {r.ref: r.iri for r in rows.withColumn("iri", turtle_lines.resolve(rows.base, rows.ref)).collect()} == REFERENCES
 
 
+def test_relative_iris_within_a_chunk():
+    """Chunks resolve references themselves, as columns do."""
+    assert {r: turtle_text.resolved("http://a/b/c/d;p?q", r) for r in REFERENCES} == REFERENCES
+    assert [turtle_text.resolved(b, r) for b, r in (("http://a", "g"), ("urn:x:y", "z"), ("http://a/b/../c#f", "g"), ("http://a/b#f", "#h"))] == [
+        "http://a/g", "urn:z", "http://a/g", "http://a/b#h",
+    ]
+
+
+@pytest.mark.parametrize(
+    "text, ends",
+    [
+        (":a :p :b.:c :d . :e :f :g . :h", 2), (":a :p .5 . :b :c :d .", 2), (':a :p "x"@en.foo . :b', 1), (":a :p 'x . y' . # no .\n:b <http://a. b> .", 3),
+        (':a :p """x .\n" .\n""" . :c :p """ . \n', 1), (':a :p "open .\n:b :p "x . y" .', 2), (":a :p :b\\\n# no .\n .", 1),
+    ],
+)
+def test_statement_ends(spark, text, ends):
+    """A chunk is cut where its lines would be, one by one."""
+    found, left = turtle_text._cut(text + "\n", 0)
+    assert len(found) == ends and ("" if not found[-1][0] else "".join(piece for piece, _ in found) + left) in ("", text + "\n")
+    half = text.find("\n") + 1
+    if '"""' not in text and half:  # lines that do not depend on those before them
+        assert sum(len(turtle_text._cut(line + "\n", 0)[0]) for line in text.split("\n")) == ends
+
+
+@pytest.mark.parametrize("lines", [4, 1 << 14])
+def test_names_bound_before_their_chunk(spark, tmp_path, monkeypatch, lines):
+    """Prefixes and bases from earlier chunks, some of them relative to a base from there."""
+    monkeypatch.setattr(turtle_lines, "CHUNK_LINES", lines)
+    text, base, own, want = "@prefix once: <http://once.example/> .\n", None, {}, set()
+    for i in range(60):
+        if i % 7 == 0:
+            base = f"http://b.example/{i}/"
+            text += f"BASE <{base}>\n"
+        if i % 7 == 4:
+            base = f"{base}r{i}/"
+            text += f"@base <r{i}/> .\n"
+        if i % 5 == 0:
+            own[i % 2] = f"{base}v{i}#"
+            text += f"PREFIX p{i % 2}: <v{i}#>\n"
+        name = min(own, key=lambda k: (k + i) % 2)
+        text += f"<s{i}> p{name}:q once:{i} ,\n 'x'^^<t>.\n"
+        want |= {(f"{base}s{i}", f"{own[name]}q", f"http://once.example/{i}", None), (f"{base}s{i}", f"{own[name]}q", "x", f"{base}t")}
+    path = write(tmp_path / "a.ttl", text)
+    assert as_set(read_turtle(spark, path).select("s", "p", "o", "o_dtype")) == want
+
+
+def test_chunks_settle_what_they_bind(spark, tmp_path):
+    """A base and a prefix for each statement: only what a chunk's ends cut is left for other tables."""
+    from trilake.sources.turtle import SOUND
+
+    n = 2_000
+    (tmp_path / "a.ttl").write_text("".join(f"BASE <http://b.example/{i}/>\nPREFIX : <v#> <s> :p ( <o> [ :q 'x' ] ) .\n" for i in range(n)))
+    file = spark.read.text(str(tmp_path)).select("_metadata.file_path").first()[0]
+    cut = turtle_lines.chunk_rows(spark, str(tmp_path), [file], [], SOUND)
+    kinds = {r.kind: r["count"] for r in cut.groupBy("kind").count().collect()}
+    assert kinds == {turtle_text.STATEMENT: n - 1, turtle_text.PIECE: 1, turtle_text.CHUNK: 1}
+    assert cut.where("kind = 0 and opens is not null").isEmpty() and cut.where("size(found) > 2").isEmpty()
+    assert read_turtle(spark, str(tmp_path)).count() == n * 6
+
+
+def test_nested_query_parses_its_text_once(spark, tmp_path):
+    """Eleven patterns over text with brackets read its triples from a table."""
+    from trilake.plans.registry import QUERIES
+
+    spark.createDataFrame([(i, i % 3, f"S{i % 2}") for i in range(20)], "c_custkey long, c_nationkey int, c_mktsegment string").write.parquet(str(tmp_path / "customer.parquet"))
+    spark.createDataFrame([(i, i % 20, "F") for i in range(50)], "o_orderkey long, o_custkey long, o_orderstatus string").write.parquet(str(tmp_path / "orders.parquet"))
+    found = QUERIES["read_turtle_nested"](spark, str(tmp_path))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Window" not in plan and "raise_error" not in plan
+    want = {(f"c{i}", str(i % 3), "http://base.example/y") for i in range(20)} | {(f"o{i}", f"http://base.example/x/c{i % 20}", "F") for i in range(50)}
+    assert as_set(found) == want and found.count() == 70
+
+
 def test_base_holds_from_its_place_on(spark, tmp_path):
     path = write(tmp_path / "a.ttl", "@base <http://b/x/> . @prefix : <v#> .\n<s> :p <../o> .\nBASE <deep/>\n<s> :p <#f> , 'x'^^<t> .\n@prefix : <w#> .\n<s> :p :o .\n")
     assert {(r.s, r.p, r.o, r.o_dtype) for r in read_turtle(spark, path).collect()} == {

@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from trilake.operators.joins import lookup_join
 from trilake.session import kept
 from trilake.sources.ntriples import BNODE, IRI, LANG, LITERAL_BODY, accepted, decode_pieces
-from trilake.sources.turtle_lines import NAME, SUFFIX, resolve, scan_lines
+from trilake.sources.turtle_lines import resolve, scan_lines
+from trilake.sources.turtle_text import NAME, SUFFIX, TERM
 from trilake.vocab import RDF_TYPE, XSD_BOOLEAN, XSD_DECIMAL, XSD_DOUBLE, XSD_INTEGER
 
 # A line that binds a prefix. A file with literals that span lines is read another way, so a line start is safe.
@@ -45,9 +46,8 @@ _STRING_OR_COMMENT = rf"{LITERAL_BODY}(?!\")|{IRI}|#[^\n]*+"
 # string, without escapes, and outside of it nothing that opens a string, bracket or comment.
 _PLAIN = r"""^[^"'#\[(\\]++(?:"[^"\\]*+"[^"'#\[(\\]*+)?+\z"""
 # Tokens one a line: subject, predicate, objects with "," between, more after ";".
-_TERM = r"""(?:[^\n,;.'"\[\](){}@][^\n]*+|\.[^\n]++|"[^\n]++)"""
-_OBJECTS = rf"{_TERM}\n(?:,\n{_TERM}\n)*+"
-SOUND = rf"^{_TERM}\n{_TERM}\n{_OBJECTS}(?:(?:;\n)++(?:{_TERM}\n{_OBJECTS})?+)*+$"
+_OBJECTS = rf"{TERM}\n(?:,\n{TERM}\n)*+"
+SOUND = rf"^{TERM}\n{TERM}\n{_OBJECTS}(?:(?:;\n)++(?:{TERM}\n{_OBJECTS})?+)*+$"
 
 _NUMBERS = (
     (r"^[+-]?\d+$", XSD_INTEGER),
@@ -64,12 +64,12 @@ def scan_records(spark: SparkSession, path: str | list[str], **options: str) ->
 
 
 def file_facts(lines: DataFrame) -> DataFrame:
-    """Rows ``(file, prefixes map, hard)``, one per file, from its lines (``value``, ``file``).
+    """Rows ``(file, prefixes map, hard, long)``, one per file, from its lines (``value``, ``file``).
 
     `hard`: the file can not be read record by record. Long strings may hold what looks
     like a statement end, a comment may cut a statement, and of a prefix bound to two
-    namespaces it depends on the place which one holds. Most lines are plain, which one
-    look tells; of the others all is computed.
+    namespaces it depends on the place which one holds. `long`: it may have strings that go
+    on over lines. Most lines are plain, which one look tells; of the others all is computed.
     """
     lower = F.lower("value")
     ended = F.col("value").endswith(" .") | F.col("value").endswith(" ;")
@@ -88,17 +88,18 @@ def file_facts(lines: DataFrame) -> DataFrame:
         ),
     )
     # Inlined as a one-row array: the flag is then computed once a line, not once a binding.
-    flags = F.struct("file", F.coalesce(odd | loose | cut, F.lit(False)).alias("hard"), binds.alias("binds"))
-    found = lines.select(F.inline(F.array(flags))).select("file", "hard", F.explode_outer("binds").alias("b"))
+    hard, long = odd | loose | cut, value.contains('"""') | value.contains("'''")
+    flags = F.struct("file", *[F.coalesce(flag, F.lit(False)).alias(name) for flag, name in ((hard, "hard"), (long, "long"))], binds.alias("binds"))
+    found = lines.select(F.inline(F.array(flags))).select("file", "hard", "long", F.explode_outer("binds").alias("b"))
     # Flags first: the least and greatest of texts are found by sorting, here of few rows.
-    bound = found.groupBy("file", "b.prefix", "b.namespace").agg(F.max("hard").alias("hard"))
+    bound = found.groupBy("file", "b.prefix", "b.namespace").agg(F.max("hard").alias("hard"), F.max("long").alias("long"))
     per_prefix = bound.groupBy("file", "prefix").agg(
-        F.min("namespace").alias("low"), F.max("namespace").alias("high"), F.max("hard").alias("hard")
+        F.min("namespace").alias("low"), F.max("namespace").alias("high"), F.max("hard").alias("hard"), F.max("long").alias("long")
     )
     entry = F.when(F.col("prefix").isNotNull(), F.struct("prefix", F.col("low").alias("namespace")))
     hard = F.max(F.col("hard") | F.coalesce(F.col("low") != F.col("high"), F.lit(False)))
     return per_prefix.groupBy("file").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("prefixes"), hard.alias("hard")
+        F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("prefixes"), hard.alias("hard"), F.max("long").alias("long")
     )
 
 
@@ -128,7 +129,7 @@ def _token_rows(records: DataFrame, keep: list[str]) -> DataFrame:
         return F.substring_index(lines, "\n", 1)
 
     def rest(lines: str) -> Column:
-        return F.col(lines).substr(F.length(head(lines)) + 2, F.length(lines))
+        return F.substr(F.col(lines), F.length(head(lines)) + 2)
 
     statements = (
         records.select(*keep, F.concat(feed, F.rtrim(F.col("lined"), feed), feed).alias("lined"))
@@ -160,7 +161,7 @@ def parse_turtle(records: DataFrame, graph: str | None = None, bnode_scope: str
     def full(token: Column) -> Column:
         """IRI reference or prefixed name -> absolute IRI; null if it is neither."""
         prefix = F.substring_index(token, ":", 1)
-        local = token.substr(F.length(prefix) + 2, F.length(token))
+        local = F.substr(token, F.length(prefix) + 2)
         unescaped = F.when(local.contains("\\"), F.regexp_replace(local, r"\\(.)", "$1")).otherwise(local)
         inner = token.substr(F.lit(2), F.length(token) - 2)
         absolute = F.when(token.rlike("^<[A-Za-z][A-Za-z0-9+.-]*:"), inner)
@@ -237,10 +238,11 @@ def scan_turtle(
         plain = joined.where(~F.coalesce("hard", F.lit(False))).withColumn("prefixes", F.when(F.col("hard").isNull(), common).otherwise(F.col("own")))
         easy = parse_turtle(_lined(plain.drop("hard", "own")), graph, bnode_scope)
     # names of files, as many as the driver lists anyway
-    hard = [r.file for r in facts.where("hard").select("file").collect()]
+    found = facts.where("hard").select("file", "long").collect()
+    hard, long = [r.file for r in found], [r.file for r in found if r.long]
     if not hard:
         return easy if easy is not None else parse_turtle(_lined(records.withColumn("prefixes", F.create_map().cast("map<string,string>"))), graph, bnode_scope)
-    read = parse_turtle(scan_lines(spark, path, hard, SOUND, **options), graph, bnode_scope)
+    read = parse_turtle(scan_lines(spark, path, hard, SOUND, long, **options), graph, bnode_scope)
     return read if easy is None else easy.unionByName(read)
 
 

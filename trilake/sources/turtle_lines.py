@@ -1,60 +1,47 @@
 """Turtle files of any shape, cut at their real statement ends by many tasks.
 
-A file is read line by line. What a line means depends on whether it starts inside a
+A file is read in chunks of lines. What a chunk means depends on whether it starts inside a
 long string, which only lines with triple quotes can change. Each of those is a function
 from the state before it to the state after it; composing the functions, first within
-chunks of lines and then over the chunks of a file, gives every line its state without
-reading the file in order. Lines are then cut after the full stops that end statements,
-and the pieces of a statement meet under its number.
+chunks of lines and then over the chunks of a file, gives every chunk its state without
+reading the file in order. Files without such lines are read without that step.
 
-Nested terms come out as statements of their own: a bracket's tokens are found by their
-depth, and its node is named after the file, the statement and the place in it.
+A chunk is then cut into statements by one look at its text (`turtle_text`). Names bound
+within it are settled there; statements cut by its ends, and names bound before it, meet
+with the rest of their file in tables that have a few rows for each chunk.
+
+Nested terms come out as statements of their own; a node is named after the file, the
+statement and the place of its bracket in it.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from trilake.operators.joins import lookup_join
 from trilake.session import kept
-from trilake.sources.ntriples import IRI, LANG, LITERAL_BODY
-from trilake.vocab import RDF
+from trilake.sources import turtle_text
+from trilake.sources.ntriples import IRI
+from trilake.sources.turtle_text import CLOSE, LONG, NAME, SCHEME
 
 #: Lines of one chunk.
 CHUNK_LINES = 1 << 14
 
-NAME = r"""(?:[^\s;,"'<>\[\](){}@#\\.]++|\\.|\.(?=[^\s;,"'<>\[\](){}@#.]))++"""
-SUFFIX = rf"(?:\^\^(?:{IRI}|{NAME})|{LANG})?+"
-SINGLE_BODY = LITERAL_BODY.replace('"', "\0").replace("'", '"').replace("\0", "'")
-_CLOSE = {1: r'(?:[^"\\]++|\\.|"(?!""))*+"""', 2: r"(?:[^'\\]++|\\.|'(?!''))*+'''"}
-_LONG = rf'(?:"""{_CLOSE[1]}|\'\'\'{_CLOSE[2]})'
 # What may stand in a line outside of strings that go on after it, but for full stops.
 _SKIP = (
-    rf"(?:\s++|#[^\n]*+|{_LONG}|\"(?!\"\")(?:[^\"\\]++|\\.)*+\"|'(?!'')(?:[^'\\]++|\\.)*+'"
+    rf"(?:\s++|#[^\n]*+|{LONG}|\"(?!\"\")(?:[^\"\\]++|\\.)*+\"|'(?!'')(?:[^'\\]++|\\.)*+'"
     rf"|{IRI}|{NAME}|(?!\"\"\"|''')[^.])"
 )
 _OPENED = rf"^(?:{_SKIP}|\.)*+(\"\"\"|''')?"
-# From a line's start, or the last end in it, up to the next end of a statement.
-_TO_END = {
-    0: rf"\G{_SKIP}*+\.",
-    1: rf"\G(?:\A{_CLOSE[1]}|(?!\A){_SKIP})*+(?!\A)\.",
-    2: rf"\G(?:\A{_CLOSE[2]}|(?!\A){_SKIP})*+(?!\A)\.",
-}
-_TOKEN = (
-    r"(?s)(?:\s|#[^\n]*+)*+"
-    rf"({_LONG}{SUFFIX}|{LITERAL_BODY}{SUFFIX}|{SINGLE_BODY}{SUFFIX}|{IRI}|[;,.]|{NAME}|\S|$)"
-)
-_QUOTED = r"(?s)^(\"\"\"|'''|')(.*)\1([^\"']*)$"
-# Directives among tokens one a line: kind, prefix, IRI.
-_DIRECTIVE = r"(?:@\n)?((?i:prefix|base))\n(?:([^\s:<]*):\n)?<([^\n]*)>\n(?:\.\n)?"
-_DIRECTIVES = rf"^(?:(?:@\n)?(?:(?i:prefix)\n[^\s:<]*:|(?i:base))\n<[^\n]*>\n(?:\.\n)?)++"
-_SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:"
 SAME = "012"
 #: Relative bases in a row that are resolved in one go.
 RUN_BLOCK = 1_000
-#: The place of what a statement has after its directives.
-LAST = (1 << 31) - 1
+#: The places before a statement's directives and after them.
+FIRST, LAST = -1, (1 << 31) - 1
 
 
 def _after(text: Column) -> Column:
@@ -67,7 +54,7 @@ def _function(line: Column) -> Column:
     """The states after a line that starts in state 0, 1 and 2, as three digits."""
 
     def closed(state: int) -> Column:
-        close = "^" + _CLOSE[state]
+        close = "^" + CLOSE[state]
         return F.when(line.rlike(close), _after(F.regexp_replace(line, close, ""))).otherwise(str(state))
 
     return F.concat(_after(line), closed(1), closed(2))
@@ -97,65 +84,47 @@ def _running(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return rows.select(*names, "f").groupBy(*keys).applyInPandas(scan, schema)
 
 
-def line_states(lines: DataFrame) -> DataFrame:
-    """`lines` (file, block, at, chunk, line, f) with the state that each starts in.
+def chunk_states(lines: DataFrame) -> DataFrame:
+    """Rows ``(file, block, chunk, state)``: the state that each chunk of `lines` starts in.
 
-    Only lines with triple quotes have an `f`. A chunk holds ``CHUNK_LINES`` lines at most,
-    and one row stands for a chunk when those of a file are put in order.
+    `lines`: file, block, at, chunk, line, f. Only lines with triple quotes have an `f`. A
+    chunk holds ``CHUNK_LINES`` lines at most, and one row stands for a chunk when those of
+    a file are put in order.
     """
     chunk = ["file", "block", "chunk"]
-    turning = lines.where("f is not null").select("file", "block", "chunk", "at", "f")
-    turning = kept(_running(turning.select("block", "chunk", "at", "file", "f"), chunk, ["at"]), "turtle-turns")
+    turning = lines.where("f is not null").select("block", "chunk", "at", "file", "f")
+    turning = kept(_running(turning, chunk, ["at"]), "turtle-turns")
     whole = turning.groupBy(*chunk).agg(F.max_by(_then(F.col("before"), F.col("f")), "at").alias("f"))
     chunks = lines.select(*chunk).distinct().join(whole, chunk, "left").withColumn("f", F.coalesce("f", F.lit(SAME)))
-    starts = _running(chunks, ["file"], ["block", "chunk"]).select(*chunk, F.substr("before", F.lit(1), F.lit(1)).cast("int").alias("start"))
-    turned = lines.join(turning.select("file", "block", "at", "before"), ["file", "block", "at"], "left").join(starts, chunk)
-    earlier = Window.partitionBy(*chunk).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    last = F.last(_then(F.col("before"), F.col("f")), True).over(earlier)
-    state = F.substr(F.coalesce(F.col("before"), last, F.lit(SAME)), F.col("start") + 1, F.lit(1)).cast("int")
-    return turned.withColumn("state", state).drop("before", "start", "f")
+    return _running(chunks, ["file"], ["block", "chunk"]).select(*chunk, F.substr("before", F.lit(1), F.lit(1)).cast("int").alias("state"))
 
 
-def statements(spark: SparkSession, path: str | list[str], files: list[str], **options: str) -> DataFrame:
-    """Rows ``(file, n, text)``: the statements of some of the files of a path, numbered in order."""
+def chunk_rows(spark: SparkSession, path: str | list[str], files: list[str], long: list[str], sound: str, **options: str) -> DataFrame:
+    """What `turtle_text.cut_chunks` makes of some of the files of a path; `long`: those of them with triple quotes."""
     read = spark.read.options(**options).option("lineSep", "\n").text(path)
     where = F.col("_metadata.file_path")
-    placed = read.where(where.isin(files)).select(
-        where.alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line")
-    )
-    line = F.col("line")
-    turns = line.contains('"""') | line.contains("'''")
-    lines = kept(
-        placed.select("file", "block", "at", F.floor(F.col("at") / CHUNK_LINES).alias("chunk"), "line", F.when(turns, _function(line)).alias("f")),
-        "turtle-lines",
-    )
-    ended = F.coalesce(*[F.when(F.col("state") == s, F.regexp_replace(line, pattern, "$0\n")) for s, pattern in _TO_END.items()])
-    cut = kept(line_states(lines).select("file", "block", "chunk", "at", "state", F.split(ended, "\n").alias("pieces")), "turtle-pieces")
-    ends = F.size("pieces") - 1
+    at = F.monotonically_increasing_id()
     chunk = ["file", "block", "chunk"]
-    sums = cut.groupBy(*chunk).agg(F.sum(ends).alias("ends"))
-    by_file = Window.partitionBy("file").orderBy("block", "chunk").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select(*chunk, F.coalesce(F.sum("ends").over(by_file), F.lit(0)).alias("start"))
-    earlier = Window.partitionBy(*chunk).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    numbered = cut.join(starts, chunk).withColumn("start", F.col("start") + F.coalesce(F.sum(ends).over(earlier), F.lit(0)))
-    pieces = numbered.select("file", "block", "at", "state", "start", F.posexplode("pieces").alias("pos", "piece"))
-    pieces = pieces.where((F.trim("piece") != "") | ((F.col("state") > 0) & (F.col("pos") == 0)))
-    grouped = pieces.groupBy("file", (F.col("start") + F.col("pos")).alias("n"))
-    parts = F.array_sort(F.collect_list(F.struct("block", "at", "pos", "piece")))
-    return grouped.agg(F.array_join(F.transform(parts, lambda p: p["piece"]), "\n").alias("text"))
-
 
-def _lined(text: Column) -> Column:
-    """The tokens of a statement one a line; all strings short and in double quotes."""
+    def placed(some: list[str]) -> DataFrame:
+        rows = read.where(where.isin(some)).select(where.alias("file"), F.col("_metadata.file_block_start").alias("block"), at.alias("at"), F.col("value").alias("line"))
+        return rows.withColumn("chunk", F.floor(F.col("at") / CHUNK_LINES))
 
-    def one_line(t: Column) -> Column:
-        inner = F.regexp_replace(F.regexp_extract(t, _QUOTED, 2), r'(?s)\G((?:\\.|[^"\\])*+)"', '$1\\\\"')
-        held = F.concat(F.lit('"'), inner, F.lit('"'), F.regexp_extract(t, _QUOTED, 3))
-        held = F.replace(F.replace(held, F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r"))
-        return F.when((F.length(t) > 1) & t.rlike("^(?:\"\"\"|')"), held).otherwise(t)
+    def cut(rows: DataFrame) -> DataFrame:
+        rows = rows.select(*chunk, "state", F.col("line").cast("binary").alias("line"))
+        return rows.mapInArrow(turtle_text.cut_chunks(sound), turtle_text.CUT_DDL)
 
-    tokens = F.transform(F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(1)), one_line)
-    return F.concat(F.rtrim(F.array_join(tokens, "\n"), F.lit("\n")), F.lit("\n"))
+    found = []
+    if short := sorted(set(files) - set(long)):
+        # a task reads a split from front to back, so chunks come in one piece
+        found.append(cut(placed(short).withColumn("state", F.lit(0))))
+    if long:
+        line = F.col("line")
+        turns = line.contains('"""') | line.contains("'''")
+        lines = kept(placed(long).withColumn("f", F.when(turns, _function(line))), "turtle-lines")
+        stated = lines.drop("f").join(chunk_states(lines), chunk)
+        found.append(cut(stated.repartition(*chunk).sortWithinPartitions(*chunk, "at")))
+    return reduce(DataFrame.unionByName, found)
 
 
 def _without_dots(path: Column) -> Column:
@@ -172,14 +141,14 @@ def _without_dots(path: Column) -> Column:
 
 def resolve(base: Column, reference: Column) -> Column:
     """An IRI reference against a base; null if it is relative and there is no base."""
-    root = F.regexp_extract(base, rf"({_SCHEME}(?://[^/?#]*)?)", 1)
-    path = F.regexp_extract(base, rf"{_SCHEME}(?://[^/?#]*)?([^?#]*)", 1)
+    root = F.regexp_extract(base, rf"({SCHEME}(?://[^/?#]*)?)", 1)
+    path = F.regexp_extract(base, rf"{SCHEME}(?://[^/?#]*)?([^?#]*)", 1)
     folder = F.when((path == "") & root.contains("//"), "/").otherwise(F.regexp_replace(path, "[^/]*$", ""))
     own = F.regexp_extract(reference, "^([^?#]*)", 1)
     tail = F.substr(reference, F.length(own) + 1)
     return (
-        F.when(reference.rlike(_SCHEME), reference)
-        .when(reference.startswith("//"), F.concat(F.regexp_extract(base, f"({_SCHEME})", 1), reference))
+        F.when(reference.rlike(SCHEME), reference)
+        .when(reference.startswith("//"), F.concat(F.regexp_extract(base, f"({SCHEME})", 1), reference))
         .when((reference == "") | reference.startswith("#"), F.concat(F.regexp_replace(base, "#.*$", ""), reference))
         .when(reference.startswith("?"), F.concat(root, path, reference))
         .when(reference.startswith("/"), F.concat(root, _without_dots(own), tail))
@@ -187,8 +156,8 @@ def resolve(base: Column, reference: Column) -> Column:
     )
 
 
-def _held(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """`rows` (keys, n, i, iri) with `iri` as the last one that is not null, up to the row, by n and i.
+def _held(rows: DataFrame, keys: list[str], more: list[str] = []) -> DataFrame:  # noqa: B006
+    """`rows` (keys, n, i, iri, more) with `iri` as the last one that is not null, up to the row, by n and i.
 
     First within chunks of statements, then over the chunks, so no task gets all rows of a key.
     """
@@ -200,7 +169,7 @@ def _held(rows: DataFrame, keys: list[str]) -> DataFrame:
     inside = Window.partitionBy(*chunk).orderBy("n", "i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     here = chunked.withColumn("iri", F.last("iri", True).over(inside))
     same = [F.col(c) == F.col(f"_{c}") for c in chunk]
-    return here.join(starts, same).select(*keys, "n", "i", F.coalesce("iri", "start").alias("iri"))
+    return here.join(starts, same).select(*keys, "n", "i", F.coalesce("iri", "start").alias("iri"), *more)
 
 
 def _bases(directives: DataFrame) -> DataFrame:
@@ -210,7 +179,7 @@ def _bases(directives: DataFrame) -> DataFrame:
     are resolved in order, in one row for each absolute base that has such after it.
     """
     bases = directives.where(F.lower("kind") == "base").select("file", "n", "i", "iri")
-    absolute = F.col("iri").rlike(_SCHEME)
+    absolute = F.col("iri").rlike(SCHEME)
     if bases.where(~absolute).isEmpty():
         return bases
     marks = bases.select("file", "n", "i", F.when(absolute, F.to_json(F.struct("n", "i", "iri"))).alias("iri"))
@@ -234,121 +203,83 @@ def _bases(directives: DataFrame) -> DataFrame:
     return kept(bases.where(absolute).unionByName(resolved.select("file", "at.n", "at.i", "iri")), "turtle-bases")
 
 
-def bindings(directives: DataFrame, bodies: DataFrame) -> DataFrame:
-    """Rows ``(file, n, prefixes, base)``: what holds in each statement, of the prefixes it has.
+def bindings(directives: DataFrame, uses: DataFrame) -> DataFrame:
+    """Rows ``(file, n, i, prefixes, base)``: what holds at each place, of the names used there.
 
-    `directives`: file, n, found (kind, prefix, iri, in order); those of a statement come
-    before what else is in it. `bodies`: file, n, lined. Each use of a prefix or of the
-    base is put in order with what binds it, so a file may bind as often as it likes.
+    `directives`: file, n, i, kind, prefix, iri; those of a statement come before what else
+    is in it. `uses`: file, n, i, key, as `turtle_text` names it. Each use of a prefix or of
+    the base is put in order with what binds it, so a file may bind as often as it likes.
     """
-    each = kept(directives.select("file", "n", F.posexplode("found").alias("i", "d")).select("file", "n", "i", "d.*"), "turtle-directives")
+    each = kept(directives.select("file", "n", "i", "kind", "prefix", "iri"), "turtle-directives")
     bases = _bases(each)
-    of_base = bases.select("file", F.lit(None).cast("string").alias("prefix"), "n", "i", "iri")
-    named = each.where(F.lower("kind") != "base").select("file", "prefix", "n", "i", "iri")
-    absolute = F.col("iri").rlike(_SCHEME)
+    of_base = bases.select("file", F.lit("base").alias("key"), "n", "i", "iri")
+    # a key of its own for the base, as null keys do not meet in a join
+    named = each.where(F.lower("kind") != "base").select("file", F.concat(F.lit(":"), F.col("prefix")).alias("key"), "n", "i", "iri")
+    absolute = F.col("iri").rlike(SCHEME)
     full = named.where(absolute)
     if not named.where(~absolute).isEmpty():
-        asked = named.where(~absolute).select("file", "n", "i", F.lit(None).cast("string").alias("iri"))
+        asked = named.where(~absolute).select("file", "n", "i", F.lit(None).cast("string").alias("iri")).distinct()
         known = _held(bases.unionByName(asked), ["file"]).withColumnRenamed("iri", "base")
         joined = named.where(~absolute).join(known, ["file", "n", "i"])
-        full = full.unionByName(joined.select("file", "prefix", "n", "i", resolve(F.col("base"), F.col("iri")).alias("iri")))
-
-    def name(token: Column) -> Column:
-        """The prefix of a name, of itself or of a literal's datatype; null for the base."""
-        suffix = F.substring_index(token, '"', -1)
-        shown = F.when(~token.startswith('"'), token).when(suffix.startswith("^^"), F.substr(suffix, F.lit(3))).otherwise("")
-        prefix = F.when(shown.startswith("<"), F.when(shown.rlike("^<[A-Za-z][A-Za-z0-9+.-]*:"), "_")).otherwise(F.substring_index(shown, ":", 1))
-        return F.when(shown.startswith("<") | shown.contains(":"), prefix).otherwise("_")
-
-    prefixes = F.array_distinct(F.transform(F.split("lined", "\n"), name))
-    used = bodies.select("file", "n", F.explode(prefixes).alias("prefix")).where("prefix is null or prefix <> '_'")
-    uses = used.select("file", "prefix", "n", F.lit(LAST).alias("i"), F.lit(None).cast("string").alias("iri"))
-    # a key of its own for the base, as null keys do not meet in a join
-    key = F.coalesce(F.concat(F.lit(":"), F.col("prefix")), F.lit("base"))
-    rows = full.unionByName(of_base).unionByName(uses).withColumn("prefix", key)
-    held = _held(rows, ["file", "prefix"]).where((F.col("i") == LAST) & F.col("iri").isNotNull())
-    found = held.groupBy("file", "n").agg(F.collect_list(F.struct("prefix", "iri")).alias("found"))
-    is_base = lambda x: x["prefix"] == "base"
-    entries = F.transform(F.filter("found", lambda x: ~is_base(x)), lambda x: F.struct(F.substr(x["prefix"], F.lit(2)).alias("key"), x["iri"].alias("value")))
-    held = found.select("file", "n", F.map_from_entries(entries).alias("prefixes"), F.get(F.filter("found", is_base), F.lit(0))["iri"].alias("base"))
+        full = full.unionByName(joined.select("file", "key", "n", "i", resolve(F.col("base"), F.col("iri")).alias("iri")))
+    asking = uses.select("file", "key", "n", "i", F.lit(None).cast("string").alias("iri"), F.lit(True).alias("asked"))
+    rows = full.unionByName(of_base).withColumn("asked", F.lit(False)).unionByName(asking)
+    held = _held(rows, ["file", "key"], ["asked"]).where(F.col("asked") & F.col("iri").isNotNull())
+    found = held.groupBy("file", "n", "i").agg(F.collect_list(F.struct("key", "iri")).alias("found"))
+    is_base = lambda x: x["key"] == "base"
+    entries = F.transform(F.filter("found", lambda x: ~is_base(x)), lambda x: F.struct(F.substr(x["key"], F.lit(2)).alias("key"), x["iri"].alias("value")))
+    held = found.select("file", "n", "i", F.map_from_entries(entries).alias("prefixes"), F.get(F.filter("found", is_base), F.lit(0))["iri"].alias("base"))
     return kept(held, "turtle-bindings")
 
 
-def _node(n: Column, pos: Column) -> Column:
-    """The label of the node of a bracket."""
-    place = F.concat_ws("x", F.lower(F.hex(F.xxhash64("file"))), n.cast("string"), pos.cast("string"))
-    return F.concat(F.lit("_:anon"), place)
-
+def scan_lines(spark: SparkSession, path: str | list[str], files: list[str], sound: str, long: list[str] | None = None, **options: str) -> DataFrame:
+    """Records ``(file, prefixes, base, lined)`` of some of the files of a path, for `parse_turtle`.
 
-def flattened(nested: DataFrame, sound: str) -> DataFrame:
-    """Rows ``(file, n, lined)``: statements without brackets for those of `nested` (file, n, lined).
-
-    A statement with brackets that do not match, or with a part that is not `sound`, stays
-    as it is and so is refused as a whole.
+    `long`: those with triple quotes, all if it is not given.
     """
-    own = ["file", "n"]
-    text = F.regexp_replace(F.rtrim("lined", F.lit("\n")), r"\n\.$", "")
-    tokens = nested.select(*own, F.posexplode(F.split(text, "\n")).alias("pos", "token"))
-    opens, closes = F.col("token").isin("[", "("), F.col("token").isin("]", ")")
-    in_order = Window.partitionBy(*own).orderBy("pos")
-    depth = F.sum(F.when(opens, 1).when(closes, -1).otherwise(0)).over(in_order)
-    deep = tokens.withColumn("depth", depth).withColumn("next", F.lead("token").over(in_order))
-
-    def role(level: Column, name: str) -> Column:
-        return F.struct(level.cast("int").alias("level"), F.lit(name).alias("role"))
-
-    level = F.col("depth")
-    roles = F.when(opens, F.array(role(level - 1, "term"), role(level, "head"))).when(closes, F.array(role(level + 1, "tail"))).otherwise(F.array(role(level, "term")))
-    placed = deep.select(*own, "pos", "token", "next", "depth", F.inline(roles))
-    inside = Window.partitionBy(*own, "level").orderBy("pos")
-    head = F.when(F.col("role") == "head", F.struct("pos", "token"))
-    owned = placed.withColumn("head", F.when(F.col("level") > 0, F.last(head, True).over(inside)))
-    owned = owned.withColumn("owner", F.coalesce("head.pos", F.lit(-1))).withColumn("kind", F.coalesce("head.token", F.lit("")))
-    filled = opens & ~F.col("next").isin("]", ")")
-    term = F.when(opens & (F.col("token") == "(") & ~filled, F.lit(f"<{RDF}nil>")).when(opens, _node(F.col("n"), F.col("pos"))).otherwise(F.col("token"))
-    wrong = (F.col("depth") < 0) | ((F.col("role") == "tail") & (F.translate("token", "])", "[(") != F.col("kind")))
-    item = F.when(F.col("role") == "term", F.struct("pos", term.alias("term"), (filled & (F.col("token") == "[")).alias("node")))
-    groups = owned.groupBy(*own, "owner", "kind").agg(
-        F.array_sort(F.collect_list(item)).alias("items"),
-        F.max(F.coalesce(wrong, F.lit(True))).alias("wrong"),
-        F.sum(F.when(F.col("role") == "head", 1).when(F.col("role") == "tail", -1).otherwise(0)).alias("open"),
-    )
-    items, terms = F.col("items"), F.transform("items", lambda x: x["term"])
-    line = F.concat(F.array_join(terms, "\n"), F.lit("\n"))
-    node = _node(F.col("n"), F.col("owner"))
-    cell = lambda i: F.when(i == 0, node).otherwise(F.concat(node, F.lit("c"), i.cast("string")))
-    rest = lambda i: F.when(i + 1 == F.size(items), F.lit(f"<{RDF}nil>")).otherwise(cell(i + 1))
-    cells = F.transform(
-        terms, lambda t, i: F.concat(cell(i), F.lit(f"\n<{RDF}first>\n"), t, F.lit(f"\n;\n<{RDF}rest>\n"), rest(i), F.lit("\n"))
-    )
-    none = F.array().cast("array<string>")
-    alone = (F.size(items) == 1) & F.element_at(items, 1)["node"]
-    parts = (
-        F.when(F.col("owner") < 0, F.when(alone, none).otherwise(F.array(line)))
-        .when(F.size(items) == 0, none)
-        .when(F.col("kind") == "[", F.array(F.concat(node, F.lit("\n"), line)))
-        .otherwise(cells)
-    )
-    ordered = F.array_sort(F.collect_list(F.struct("owner", "parts")))
-    whole = groups.withColumn("parts", parts).groupBy(*own).agg(
-        F.flatten(F.transform(ordered, lambda x: x["parts"])).alias("parts"), (F.max("wrong") | (F.sum("open") != 0)).alias("wrong")
-    )
-    good = ~F.col("wrong") & F.forall("parts", lambda x: x.rlike(sound))
-    return whole.select(*own, F.when(good, F.array_join("parts", ".\n")).otherwise("[\n").alias("lined"))
-
-
-def scan_lines(spark: SparkSession, path: str | list[str], files: list[str], sound: str, **options: str) -> DataFrame:
-    """Records ``(file, prefixes, base, lined)`` of some of the files of a path, for `parse_turtle`."""
-    heads = F.regexp_extract("all", _DIRECTIVES, 0)
-    read = statements(spark, path, files, **options).select("file", "n", _lined(F.col("text")).alias("all"))
-    read = read.select("file", "n", heads.alias("heads"), F.substr("all", F.length(heads) + 1).alias("lined"))
-    read = kept(read, "turtle-statements")
-    fields = [F.regexp_extract_all("heads", F.lit(_DIRECTIVE), F.lit(i)) for i in (1, 2, 3)]
-    found = F.arrays_zip(*[f.alias(name) for f, name in zip(fields, ("kind", "prefix", "iri"))])
-    directives = read.where("heads <> ''").select("file", "n", found.alias("found"))
-    bodies = read.where(F.trim("lined", F.lit("\n")) != "").select("file", "n", "lined")
-    nested = F.concat(F.lit("\n"), F.col("lined")).rlike(r"\n[\[(\])]\n")
-    flat = bodies.where(~nested).unionByName(flattened(bodies.where(nested), sound))
-    bound = flat.join(bindings(directives, bodies), ["file", "n"], "left")
+    cut = kept(chunk_rows(spark, path, files, files if long is None else long, sound, **options), "turtle-cut")
+    chunk = ["file", "block", "chunk"]
+    by_file = Window.partitionBy("file").orderBy("block", "chunk").rowsBetween(Window.unboundedPreceding, -1)
+    ends = cut.where(F.col("kind") == turtle_text.CHUNK).select(*chunk, "k", "opens", "found")
+    chunks = kept(ends.select(*chunk, F.coalesce(F.sum("k").over(by_file), F.lit(0)).alias("start"), "opens", "found"), "turtle-chunks")
+    starts = chunks.select(*chunk, "start")
+
+    def numbered(kind: int) -> DataFrame:
+        return cut.where(F.col("kind") == kind).join(starts, chunk).withColumn("n", F.col("start") + F.col("k"))
+
+    parts = F.array_sort(F.collect_list(F.struct("block", "chunk", F.get("lined", F.lit(0)).alias("piece"))))
+    texts = numbered(turtle_text.PIECE).groupBy("file", "n").agg(F.array_join(F.transform(parts, lambda p: p["piece"]), "\n").alias("text"))
+    whole = kept(texts.mapInArrow(turtle_text.parse_statements(sound), turtle_text.WHOLE_DDL), "turtle-statements")
+    late = numbered(turtle_text.LATE).select("file", "n", "lined", "opens")
+
+    bound_there = chunks.select("file", "start", F.inline("found")).withColumn("n", F.col("start") + F.col("k"))
+    directives = bound_there.drop("start", "k").unionByName(whole.select("file", "n", F.inline("found")).drop("k"))
+    each = whole.select("file", "n", "lined", "opens").unionByName(late)
+    first = F.col("start") + 1  # the statement before it began before the chunk
+    asked = each.select("file", "n", F.lit(LAST).alias("i"), "opens").unionByName(chunks.select("file", first.alias("n"), F.lit(FIRST).alias("i"), "opens"))
+    bound = bindings(directives, asked.select("file", "n", "i", F.explode(F.split("opens", "\n")).alias("key")))
+
+    before = chunks.join(bound.where(F.col("i") == FIRST).withColumn("start", F.col("n") - 1).drop("n", "i"), ["file", "start"], "left")
+    # how labels of nodes begin on a line of their own
+    node = F.concat(F.lit("\n_:anon"), F.lower(F.hex(F.xxhash64("file"))), F.lit("x"))
+    before = before.select(*chunk, "start", F.col("prefixes").alias("bound"), F.col("base").alias("based"), node.alias("node"))
+    plain = lookup_join(cut.where(F.col("kind") == turtle_text.STATEMENT).select(*chunk, "k", "lined", "own", "base", "opens"), before, chunk)
     none = F.create_map().cast("map<string,string>")
-    return bound.select("file", F.coalesce("prefixes", none).alias("prefixes"), "base", "lined")
+    own = F.coalesce(F.str_to_map("own", F.lit("\n"), F.lit("\t")), none)
+    # what is bound in the chunk holds from its place on
+    more = F.map_filter(F.coalesce("bound", none), lambda k, _: ~F.map_contains_key(own, k))
+    open_ = F.col("opens").isNotNull()
+    plain = plain.select(
+        "file",
+        (F.col("start") + F.col("k")).alias("n"),
+        F.when(open_, F.map_concat(own, more)).otherwise(own).alias("prefixes"),
+        F.when(open_, F.coalesce("base", "based")).otherwise(F.col("base")).alias("base"),
+        "lined",
+        "node",
+    )
+    rest = each.join(bound.where(F.col("i") == LAST).drop("i"), ["file", "n"], "left")
+    rest = rest.select("file", "n", F.coalesce("prefixes", none).alias("prefixes"), "base", "lined", node.alias("node"))
+    every = plain.unionByName(rest).select("file", "n", "prefixes", "base", "node", F.explode("lined").alias("lined"))
+    lined, place = F.concat(F.lit("\n"), F.col("lined")), F.lit(f"\n{turtle_text.PLACE}")
+    named = F.substr(F.replace(lined, place, F.concat("node", F.col("n").cast("string"), F.lit("x"))), F.lit(2))
+    return every.select("file", "prefixes", "base", F.when(lined.contains(place), named).otherwise(F.col("lined")).alias("lined"))
