@@ -289,9 +289,9 @@ def read_turtle_nested(spark, sf_dir):
     )
 
     def write(path: str) -> None:
-        customer.select(first.alias("value")).unionByName(orders.select(second.alias("value"))).write.text(path)
+        customer.select(first.alias("value")).unionByName(orders.select(second.alias("value"))).write.options(**PACKED).text(path)
 
-    read = kept(read_turtle(spark, _scratch(spark, sf_dir, "nested", write)), "nested-read")
+    read = kept(read_turtle(spark, _scratch(spark, sf_dir, "nested", write)), "nested-read", compression="zstd")
     base, v = "http://base.example/x/", "http://base.example/x/v#"
     first, rest = (f"http://www.w3.org/1999/02/22-rdf-syntax-ns#{x}" for x in ("first", "rest"))
     addresses = bgp(

@@ -44,8 +44,8 @@ def scratch_dir(spark: SparkSession, label: str = "run") -> str:
     return path
 
 
-def kept(df: DataFrame, label: str) -> DataFrame:
+def kept(df: DataFrame, label: str, **options: str) -> DataFrame:
     """The same rows, written to the shared folder and read from there: computed once."""
     path = scratch_dir(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
